@@ -50,6 +50,12 @@ def find(boxes: DataFrame, limit: int, other: DataFrame | None = None) -> DataFr
     return hot
 
 
+def crowded(rows: DataFrame, limit: int, key: str = "image_id") -> DataFrame | None:
+    """Keys with more than ``limit`` rows, or None when there is none."""
+    many = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(key)
+    return cut_lineage(many) if many.limit(1).count() else None
+
+
 def _cell(x, y):
     gx = F.floor((x - F.col("__left")) / F.col("__wide"))
     gy = F.floor((y - F.col("__top")) / F.col("__high"))

@@ -103,12 +103,16 @@ def match_boxes(
     graded by the caller.
     """
     hot = hot_images.find(pred, hot_limit, gold)
-    pairs = overlap_pairs(pred, gold, at_least, class_aware, hot)
+    return _assign_each(overlap_pairs(pred, gold, at_least, class_aware, hot), hot, ("image_id",))
+
+
+def _assign_each(pairs: DataFrame, hot: DataFrame | None, keys) -> DataFrame:
     if hot is None:
-        return assign(pairs)
+        return assign(pairs, keys)
     pairs = cut_lineage(pairs)
-    small = assign(pairs.join(hot, "image_id", "left_anti"))
-    return small.unionByName(assign_by_rounds(pairs.join(hot, "image_id", "left_semi").select(*pairs.columns)))
+    small = assign(pairs.join(hot, "image_id", "left_anti"), keys)
+    large = pairs.join(hot, "image_id", "left_semi").select(*pairs.columns)
+    return small.unionByName(assign_by_rounds(large, keys))
 
 
 def match_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5, hot_limit: int = MATCH_HOT) -> DataFrame:
@@ -119,11 +123,14 @@ def match_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5,
     hot = hot_images.find(pred, hot_limit, gold)
     pairs = overlap_pairs(pred, gold, at_least, False, hot, extra=[F.col("a.score").alias("score")])
     steps = F.array(*[F.lit(float(t)) for t in cuts])
-    spread = pairs.select("*", F.explode(F.filter(steps, lambda t: t <= F.col("score"))).alias("tau")).drop("score")
-    keys = ("tau", "image_id")
-    if hot is None:
-        return assign(spread, keys)
-    spread = cut_lineage(spread)
-    small = assign(spread.join(hot, "image_id", "left_anti"), keys)
-    large = spread.join(hot, "image_id", "left_semi").select(*spread.columns)
-    return small.unionByName(assign_by_rounds(large, keys))
+    spread = pairs.withColumn("tau", F.explode(F.filter(steps, lambda t: t <= F.col("score")))).drop("score")
+    return _assign_each(spread, hot, ("tau", "image_id"))
+
+
+def match_at_limits(pred: DataFrame, gold: DataFrame, limits, hot_limit: int = MATCH_HOT) -> DataFrame:
+    """Class-aware matches per overlap limit ``at``, from one computation of the overlaps."""
+    hot = hot_images.find(pred, hot_limit, gold)
+    pairs = overlap_pairs(pred, gold, min(limits), True, hot)
+    steps = F.array(*[F.lit(float(x)) for x in limits])
+    spread = pairs.withColumn("at", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))
+    return _assign_each(spread, hot, ("at", "image_id"))

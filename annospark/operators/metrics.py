@@ -6,9 +6,10 @@ map-side combine. Input tables are ``(image_id, box_ord, x1, y1, x2, y2, label)`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from annospark.operators.matching import match_at_cuts, match_boxes
+from annospark.operators.matching import match_at_cuts, match_at_limits, match_boxes
+from annospark.operators.order_stats import running
 
 
 def per_image_counts(boxes: DataFrame, name: str) -> DataFrame:
@@ -200,44 +201,40 @@ def validator_metrics(rows: DataFrame, actual: str = "y", predicted: str = "yhat
     return with_f1(c, "tp", "__said", "__are").drop("__said", "__are")
 
 
-def average_precision(scored: DataFrame, gold: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """Average precision per class at one overlap limit, area under the interpolated curve.
+# Overlap limits averaged by the stricter detection score.
+AP_LIMITS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+
 
-    Detections of a class are matched class-aware. Precision is made non-increasing from the right, and
-    recall steps are summed. Running counts work on distinct scores, so tied detections move together
-    and a class may hold any share of the detections.
+def average_precision(scored: DataFrame, gold: DataFrame, limits=AP_LIMITS) -> DataFrame:
+    """Average precision per overlap limit and class: area under the interpolated curve.
+
+    Detections are matched class-aware at every limit. Precision is made non-increasing from the right,
+    and recall steps are summed. Running counts work on distinct scores, so tied detections move
+    together; a class may hold any share of the detections.
     """
-    hits = match_boxes(scored, gold, at_least, class_aware=True).select(
-        "image_id", F.col("pi").alias("box_ord"), F.lit(1).alias("hit")
-    )
+    limits = [float(x) for x in limits]
+    hits = match_at_limits(scored, gold, limits).groupBy("at", "image_id", "pi").agg(F.lit(1).alias("hit"))
+    asked = F.explode(F.array(*[F.lit(x) for x in limits]))
     steps = (
-        scored.select("image_id", F.col("box_ord").cast("long").alias("box_ord"), "label", "score")
-        .join(hits, ["image_id", "box_ord"], "left")
-        .groupBy("label", "score")
+        scored.select(asked.alias("at"), "image_id", F.col("box_ord").cast("long").alias("pi"), "label", "score")
+        .join(hits, ["at", "image_id", "pi"], "left")
+        .groupBy("at", "label", "score")
         .agg(F.count("*").alias("n"), F.count("hit").alias("tp"))
     )
-    down = Window.partitionBy("label").orderBy(F.desc("score"))
-    up = Window.partitionBy("label").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.select(
-        "label", "score", "tp", (F.sum("tp").over(down) / F.sum("n").over(down)).alias("precision")
-    ).withColumn("precision", F.max("precision").over(up))
-    area = curve.groupBy("label").agg(F.sum(F.col("tp") * F.col("precision")).alias("area"))
-    objects = gold.groupBy("label").agg(F.count("*").alias("n_gold"))
-    return objects.join(area, "label", "left").select(
-        "label", "n_gold", F.coalesce(F.col("area") / F.col("n_gold"), F.lit(0.0)).alias("ap")
+    key = ["at", "label"]
+    curve = running(steps, [F.desc("score")], {"cum_n": F.col("n"), "cum_tp": F.col("tp")}, key)
+    curve = curve.withColumn("precision", F.col("cum_tp") / F.col("cum_n"))
+    best = running(curve, ["score"], {"envelope": F.col("precision")}, key, largest=True)
+    area = best.groupBy(*key).agg(F.sum(F.col("tp") * F.col("envelope")).alias("area"))
+    objects = gold.groupBy("label").agg(F.count("*").alias("n_gold")).select(asked.alias("at"), "label", "n_gold")
+    return objects.join(area, key, "left").select(
+        *key, "n_gold", F.coalesce(F.col("area") / F.col("n_gold"), F.lit(0.0)).alias("ap")
     )
 
 
-# Overlap limits averaged by the stricter detection score.
-AP_LIMITS = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
-
-
-def mean_average_precision(scored: DataFrame, gold: DataFrame, limits=AP_LIMITS) -> DataFrame:
-    """``map50`` and the mean over ``limits``, averaged over classes that have gold boxes."""
-    rows = None
-    for limit in limits:
-        one = average_precision(scored, gold, limit).agg(F.avg("ap").alias("ap")).withColumn("at", F.lit(float(limit)))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.agg(
+def mean_average_precision(per_class: DataFrame) -> DataFrame:
+    """``map50`` and the mean over all limits, averaged over classes that have gold boxes."""
+    per_limit = per_class.groupBy("at").agg(F.avg("ap").alias("ap"))
+    return per_limit.agg(
         F.max(F.when(F.col("at") == 0.5, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95")
     )

@@ -49,30 +49,43 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
     return counted.withColumn("reached", reached).where(F.col("reached") >= k).agg(F.max("v")).first()[0]
 
 
-def running_total(df: DataFrame, order, amount: Column, name: str) -> DataFrame:
-    """Running sum of ``amount`` in ``order`` over the whole table, including the row itself.
+def running(df: DataFrame, order, totals: dict, keys=(), largest: bool = False) -> DataFrame:
+    """Running sums (or, with ``largest``, running maxima) of columns in ``order``, including the row.
 
-    Rows are range-partitioned and sorted; each partition is summed on its own, and the sums of the
-    partitions before it are added. The partition sums are a table with one row per partition.
+    With ``keys`` the runs start anew for each key. A key may hold any share of the rows: rows are
+    range-partitioned by key and order, each partition is summed on its own, and what the partitions
+    before it hold of the same key is added. Those sums have about one row per partition.
     """
+    total = F.max if largest else F.sum
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = df.withColumns({f"__v_{n}": c for n, c in totals.items()})
+    ranged = ranged.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__part", F.spark_partition_id())
     # written once: the range bounds are sampled, so both uses below must see the same partitions
-    ranged = cut_lineage(ranged.withColumn("__amount", amount.cast("long")))
-    totals = ranged.groupBy("__part").agg(F.sum("__amount").alias("__total"))
-    before = F.coalesce(
-        F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    offsets = totals.select("__part", before.alias("__before"))
-    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        ranged.withColumn("__sum", F.sum("__amount").over(inside))
-        .join(offsets, "__part")
-        .withColumn(name, F.col("__before") + F.col("__sum"))
-        .drop("__part", "__amount", "__sum", "__before")
-    )
+    ranged = cut_lineage(ranged)
+    held = ranged.groupBy("__part", *keys).agg(*[total(f"__v_{n}").alias(f"__t_{n}") for n in totals])
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select("__part", *keys, *[total(f"__t_{n}").over(earlier).alias(f"__b_{n}") for n in totals])
+    inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumns({n: total(f"__v_{n}").over(inside) for n in totals}).join(before, ["__part", *keys])
+    joined = F.greatest if largest else (lambda x, y: x + F.coalesce(y, F.lit(0)))
+    out = out.withColumns({n: joined(F.col(n), F.col(f"__b_{n}")) for n in totals})
+    return out.select(*df.columns, *totals)
 
 
 def dense_ids(df: DataFrame, order, name: str = "id") -> DataFrame:
     """Number rows 1..n in ``order``, which must be unique."""
-    return running_total(df, order, F.lit(1), name)
+    return running(df, order, {name: F.lit(1).cast("long")})
+
+
+def numbered(rows: DataFrame, order, name: str, hot: DataFrame | None, key: str = "image_id") -> DataFrame:
+    """Number the rows of each ``key`` from 0.
+
+    ``hot`` names the keys that hold too many rows for one task; those are numbered across tasks.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    window = (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long")
+    if hot is None:
+        return rows.withColumn(name, window)
+    small = rows.join(hot, key, "left_anti").withColumn(name, window)
+    large = running(rows.join(hot, key, "left_semi"), order, {name: F.lit(1).cast("long")}, [key])
+    return small.unionByName(large.withColumn(name, F.col(name) - 1))

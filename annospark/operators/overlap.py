@@ -303,7 +303,11 @@ def overlapping(left: DataFrame, right: DataFrame, condition: Column, hot_limit:
 
     The condition uses the aliases ``a`` and ``b`` and must imply a positive shared area.
     """
-    hot = hot_images.find(left, hot_limit, right)
+    return overlapping_on(hot_images.find(left, hot_limit, right), left, right, condition)
+
+
+def overlapping_on(hot: DataFrame | None, left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    """``overlapping`` with the grid of the hot images already at hand."""
     a = hot_images.cells(left, hot).alias("a")
     b = hot_images.cells(right, hot).select("image_id", "__cell", "x1", "y1", "x2", "y2").alias("b")
     same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.__cell") == F.col("b.__cell"))
