@@ -70,22 +70,27 @@ def for_images(images: DataFrame, labels: DataFrame) -> DataFrame:
     return keyed.join(labels, "stem").drop("stem")
 
 
-def read_ownership(spark: SparkSession, path: str, images: DataFrame, files: DataFrame) -> DataFrame:
-    """Human-owned images: a JSON list of image names, limited to images that exist.
+def read_ownership(spark: SparkSession, path: str, images: DataFrame, files: DataFrame, layout: str = "list") -> DataFrame:
+    """Human-owned images, limited to images that exist.
 
-    Where the list is missing or unreadable, every image with a label file counts as human.
+    ``list`` is one JSON list of image names, ``lines`` one JSON object per image. Where the record is
+    missing or unreadable, every image with a label file counts as human.
     """
     try:
-        text = spark.read.option("wholetext", "true").text(path)
-        parsed = text.select(F.from_json("value", "array<string>").alias("names"))
-        readable = parsed.where(F.col("names").isNotNull()).limit(1).count() > 0
+        if layout == "lines":
+            listed = spark.read.schema("image_id string").json(path).where(F.col("image_id").isNotNull())
+            readable = True
+        else:
+            text = spark.read.option("wholetext", "true").text(path)
+            names = text.select(F.from_json("value", "array<string>").alias("names")).where(F.col("names").isNotNull())
+            readable = names.limit(1).count() > 0
+            listed = names.select(F.explode("names").alias("image_id"))
     except AnalysisException:
         readable = False
-    if not readable:
-        keyed = images.select("image_id", stem(F.col("image_id")).alias("stem"))
-        return keyed.join(files, "stem", "left_semi").select("image_id")
-    listed = parsed.select(F.explode("names").alias("image_id"))
-    return images.join(listed, "image_id", "left_semi").select("image_id")
+    if readable:
+        return images.join(listed, "image_id", "left_semi").select("image_id")
+    keyed = images.select("image_id", stem(F.col("image_id")).alias("stem"))
+    return keyed.join(files, "stem", "left_semi").select("image_id")
 
 
 def read_classes(spark: SparkSession, path: str) -> tuple[str | None, list[str]]:
