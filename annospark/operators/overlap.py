@@ -266,7 +266,7 @@ def dedup(boxes: DataFrame, use_containment: bool, order: Column | None = None,
     """Clean-up before saving: near-duplicates in list order, then boxes inside larger ones."""
     order = F.lit(0.0) if order is None else order
     kept = greedy(boxes, order, DEDUP_OVER, False, hot_limit)
-    return drop_contained(kept, hot_limit=hot_limit) if use_containment else kept
+    return drop_contained(cut_lineage(kept), hot_limit=hot_limit) if use_containment else kept
 
 
 def drop_contained(boxes: DataFrame, flag: Column | None = None, hot_limit: int = HOT_IMAGE) -> DataFrame:
@@ -292,9 +292,8 @@ def drop_contained(boxes: DataFrame, flag: Column | None = None, hot_limit: int
 
 def merge_proposals(existing: DataFrame, new: DataFrame, hot_limit: int = HOT_IMAGE) -> DataFrame:
     """Proposals that overlap neither a box already on the image nor an earlier added proposal."""
-    free = new.join(
-        overlapping(new, existing, iou(box("a"), box("b")) > DEDUP_OVER, hot_limit), ["image_id", "box_ord"], "left_anti"
-    )
+    taken = overlapping(new, existing, iou(box("a"), box("b")) > DEDUP_OVER, hot_limit)
+    free = cut_lineage(new.join(taken, ["image_id", "box_ord"], "left_anti"))
     return greedy(free, F.lit(0.0), DEDUP_OVER, False, hot_limit)
 
 

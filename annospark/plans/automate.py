@@ -10,6 +10,7 @@ from annospark.functions.geometry import box, centre_from_pixels
 from annospark.functions.scores import band
 from annospark.operators import acceptance as ac, density, overlap
 from annospark.operators.status import fit_pool, targets
+from annospark.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,11 @@ class Decision:
 
 
 def candidates_view(raw: DataFrame, decision: Decision) -> DataFrame:
-    """Raw detections without duplicates; how nested boxes count follows the seed."""
-    return overlap.nms(raw, decision.containment)
+    """Raw detections without duplicates; how nested boxes count follows the seed.
+
+    Written once: the fit, the selection and the clean-up all read this view.
+    """
+    return cut_lineage(overlap.nms(raw, decision.containment))
 
 
 def seed_figures(seed_boxes: DataFrame) -> ac.Seed:
@@ -112,7 +116,7 @@ def automate_all(
         accepted, _, _ = apply_method(view, method, seed_figures(seed_boxes), decision)
     if fold_share is not None:
         accepted = ac.fold_gate(accepted, fold_share)
-    clean = overlap.dedup(accepted, decision.containment, order=-F.col("p_good"))
+    clean = overlap.dedup(cut_lineage(accepted), decision.containment, order=-F.col("p_good"))
     return _saved(clean, images).drop("score")
 
 
@@ -124,7 +128,7 @@ def automate_image(
     view = candidates_view(raw.join(fit_pool(images, ownership, image_id), "image_id", "left_semi"), decision)
     mine = view.where(F.col("image_id") == image_id)
     accepted, _, _ = apply_method(mine, method, seed_figures(seed_boxes), decision, pool=view)
-    clean = overlap.dedup(accepted, decision.containment, order=-F.col("p_good"))
+    clean = overlap.dedup(cut_lineage(accepted), decision.containment, order=-F.col("p_good"))
     return _saved(clean, images).select(
         "image_id", "box_ord", "cls", "cx", "cy", "w", "h", F.bround("score", 3).alias("score"), band(F.col("score")).alias("band")
     )

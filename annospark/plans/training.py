@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
@@ -66,7 +67,7 @@ def self_training_cycle(
     method: str = "count_guided",
     fold_share: float | None = 0.4,
     include_ai: bool = True,
-    run: str = "cycle",
+    run: str | None = None,
 ):
     """Rounds of: train, score all images, label all targets.
 
@@ -76,7 +77,7 @@ def self_training_cycle(
     and not from the plans of the rounds before. Returns the labels of the last round and a summary.
     """
     spark = images.sparkSession
-    folder = f"{shared_dir(spark)}/{run}"
+    folder = f"{shared_dir(spark)}/{run or 'cycle-' + uuid.uuid4().hex}"
     rounds = max(1, min(10, rounds))
     labels, summary = None, []
     n_targets = images.join(ownership, "image_id", "left_anti").count()
