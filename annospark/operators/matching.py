@@ -128,9 +128,9 @@ def match_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5,
 
 
 def match_at_limits(pred: DataFrame, gold: DataFrame, limits, hot_limit: int = MATCH_HOT) -> DataFrame:
-    """Class-aware matches per overlap limit ``at``, from one computation of the overlaps."""
+    """Class-aware matches per overlap limit ``iou_limit``, from one computation of the overlaps."""
     hot = hot_images.find(pred, hot_limit, gold)
     pairs = overlap_pairs(pred, gold, min(limits), True, hot)
     steps = F.array(*[F.lit(float(x)) for x in limits])
-    spread = pairs.withColumn("at", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))
-    return _assign_each(spread, hot, ("at", "image_id"))
+    spread = pairs.withColumn("iou_limit", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))
+    return _assign_each(spread, hot, ("iou_limit", "image_id"))

@@ -213,20 +213,20 @@ def average_precision(scored: DataFrame, gold: DataFrame, limits=AP_LIMITS) -> D
     together; a class may hold any share of the detections.
     """
     limits = [float(x) for x in limits]
-    hits = match_at_limits(scored, gold, limits).groupBy("at", "image_id", "pi").agg(F.lit(1).alias("hit"))
+    hits = match_at_limits(scored, gold, limits).groupBy("iou_limit", "image_id", "pi").agg(F.lit(1).alias("hit"))
     asked = F.explode(F.array(*[F.lit(x) for x in limits]))
     steps = (
-        scored.select(asked.alias("at"), "image_id", F.col("box_ord").cast("long").alias("pi"), "label", "score")
-        .join(hits, ["at", "image_id", "pi"], "left")
-        .groupBy("at", "label", "score")
+        scored.select(asked.alias("iou_limit"), "image_id", F.col("box_ord").cast("long").alias("pi"), "label", "score")
+        .join(hits, ["iou_limit", "image_id", "pi"], "left")
+        .groupBy("iou_limit", "label", "score")
         .agg(F.count("*").alias("n"), F.count("hit").alias("tp"))
     )
-    key = ["at", "label"]
+    key = ["iou_limit", "label"]
     curve = running(steps, [F.desc("score")], {"cum_n": F.col("n"), "cum_tp": F.col("tp")}, key)
     curve = curve.withColumn("precision", F.col("cum_tp") / F.col("cum_n"))
     best = running(curve, ["score"], {"envelope": F.col("precision")}, key, largest=True)
     area = best.groupBy(*key).agg(F.sum(F.col("tp") * F.col("envelope")).alias("area"))
-    objects = gold.groupBy("label").agg(F.count("*").alias("n_gold")).select(asked.alias("at"), "label", "n_gold")
+    objects = gold.groupBy("label").agg(F.count("*").alias("n_gold")).select(asked.alias("iou_limit"), "label", "n_gold")
     return objects.join(area, key, "left").select(
         *key, "n_gold", F.coalesce(F.col("area") / F.col("n_gold"), F.lit(0.0)).alias("ap")
     )
@@ -234,7 +234,7 @@ def average_precision(scored: DataFrame, gold: DataFrame, limits=AP_LIMITS) -> D
 
 def mean_average_precision(per_class: DataFrame) -> DataFrame:
     """``map50`` and the mean over all limits, averaged over classes that have gold boxes."""
-    per_limit = per_class.groupBy("at").agg(F.avg("ap").alias("ap"))
+    per_limit = per_class.groupBy("iou_limit").agg(F.avg("ap").alias("ap"))
     return per_limit.agg(
-        F.max(F.when(F.col("at") == 0.5, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95")
+        F.max(F.when(F.col("iou_limit") == 0.5, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95")
     )

@@ -6,7 +6,7 @@ from annospark.registry import base
 
 
 def _load() -> None:
-    from annospark.registry import boxes, policies  # noqa: F401
+    from annospark.registry import boxes, draws, policies, quality  # noqa: F401
 
 
 def queries():

@@ -289,7 +289,7 @@ def automate_summary(t):
     return status.automate_summary(status.targets(t.images, t.ownership), _all(t))
 
 
-POOL40 = ("pool40", "SELECT * FROM candidates WHERE image_id % 20 <> 0 OR image_id = 40")
+POOL40 = ("pool40", "SELECT * FROM candidates WHERE image_id % 20 <> 0 OR image_id = 60")
 
 
 @register(
@@ -297,7 +297,7 @@ POOL40 = ("pool40", "SELECT * FROM candidates WHERE image_id % 20 <> 0 OR image_
     q.query(
         f"""SELECT *, (SELECT round_even(p_good, 3) FROM clean c WHERE c.image_id = s.image_id AND c.box_ord = s.box_ord) AS score,
       (SELECT CASE WHEN p_good >= 0.65 THEN 'green' WHEN p_good >= 0.35 THEN 'amber' ELSE 'red' END FROM clean c
-       WHERE c.image_id = s.image_id AND c.box_ord = s.box_ord) AS band FROM ({SAVED}) s WHERE image_id = 40""",
+       WHERE c.image_id = s.image_id AND c.box_ord = s.box_ord) AS band FROM ({SAVED}) s WHERE image_id = 60""",
         POOL40,
         q.fold("view", "pool40", "p_good DESC, box_ord", 0.45, "d.containment"),
         GUIDED,
@@ -306,7 +306,7 @@ POOL40 = ("pool40", "SELECT * FROM candidates WHERE image_id % 20 <> 0 OR image_
 )
 def automate_image(t):
     """A human-owned image: it joins the pool the method is fitted on."""
-    return automate.automate_image(t.images, t.candidates, t.ownership, t.human, 40)
+    return automate.automate_image(t.images, t.candidates, t.ownership, t.human, 60)
 
 
 @register(

@@ -20,6 +20,12 @@ TABLES = (
 ).split()
 
 
+# how column types of the two engines correspond
+SAME_TYPE = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT",
+}
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for name in TABLES:
@@ -57,6 +63,10 @@ def compare(spark, con, name, query, sql, sf_dir):
     result = con.execute(sql)
     theirs = rows_of([d[0] for d in result.description], result.fetchall())
     took = (round(took, 2), round(time.time() - t, 2))
+    kinds = {d[0]: str(d[1]) for d in result.description}
+    odd = [f"{c}:{k}/{kinds.get(c)}" for c, k in df.dtypes if kinds.get(c) != SAME_TYPE.get(k, k)]
+    if odd:
+        print("types", name, *odd)
     if mine[0] != theirs[0]:
         return False, f"columns {mine[0]} vs {theirs[0]}", took
     if mine[1] != theirs[1]:
