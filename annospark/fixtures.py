@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from annospark.functions.geometry import Box, box, centre_from_pixels, named
-from annospark.session import shared_dir
+from annospark.session import shared_dir, spread_out
 
 WIDTH, HEIGHT = 640, 480
 
@@ -38,7 +38,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _WRITTEN:
         name = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
         path = f"{shared_dir(spark)}/annospark-{key[0]}/candidates-{name}"
-        derive_candidates(spark, sf_dir).write.mode("overwrite").parquet(path)
+        spread_out(derive_candidates(spark, sf_dir), "image_id").write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 

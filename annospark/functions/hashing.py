@@ -25,10 +25,26 @@ def order_key(seed: int, *keys) -> Column:
     return _hex(F.substring(_digest(seed, keys), 1, 13)).cast("long")
 
 
+def _parts(digest: Column) -> list[Column]:
+    return [_hex(F.substring(digest, 1 + 8 * i, 8)).cast("double") / F.lit(4294967296.0) for i in range(4)]
+
+
 def uniforms(seed: int, *keys) -> list[Column]:
     """Four numbers in [0, 1) from one digest."""
-    digest = _digest(seed, keys)
-    return [_hex(F.substring(digest, 1 + 8 * i, 8)).cast("double") / F.lit(4294967296.0) for i in range(4)]
+    return _parts(_digest(seed, keys))
+
+
+def attempts(numbers: Column, seed: int, kinds, *keys) -> Column:
+    """An array of ``(attempt, u)`` to explode: per attempt four uniforms for every kind, in order.
+
+    The numbers come out of the generator, so filters above it read them instead of hashing again.
+    """
+    digests = F.transform(
+        numbers, lambda a: F.struct(a.alias("attempt"), *[_digest(seed, [F.lit(k), *keys, a]).alias(k) for k in kinds])
+    )
+    return F.transform(
+        digests, lambda d: F.struct(d["attempt"].alias("attempt"), F.array(*[u for k in kinds for u in _parts(d[k])]).alias("u"))
+    )
 
 
 def spread(u: Column, low, high) -> Column:

@@ -12,13 +12,13 @@ from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from annospark.functions.geometry import Box, between, box, clip_to, iou
-from annospark.functions.hashing import spread, uniforms
+from annospark.functions.geometry import Box, between, box, clip_to, iou, touches
+from annospark.functions.hashing import attempts, spread, uniforms
 from annospark.functions.scores import crop_label
 from annospark.operators import hot_images
 from annospark.operators.order_stats import numbered
 from annospark.operators.overlap import overlapping_on
-from annospark.session import cut_lineage
+from annospark.session import cut_lineage, spread_out
 
 # Attempts, size jitter and limits of the negative rules.
 EMPTY_ATTEMPTS, DEVIATED_ATTEMPTS = 50, 100
@@ -149,11 +149,15 @@ def _ground_truth(gold: DataFrame, hot_limit: int):
     return gt, per_image, hot
 
 
-def _free_of(attempts: DataFrame, gold: DataFrame, limit: float, at_limit: bool, key: str, hot) -> DataFrame:
+def _free_of(attempts_: DataFrame, gold: DataFrame, limit: float, at_limit: bool, key: str, hot) -> DataFrame:
     """Attempts that stay below (or, without ``at_limit``, up to) an overlap limit with all ground truth."""
     value = iou(box("a"), box("b"))
     hit = (value >= limit) if at_limit else (value > limit)
-    tagged = attempts.withColumn("box_ord", F.col(key))
+    if hot is None:
+        a, b = box("a"), box("b")
+        near = (F.col("a.image_id") == F.col("b.image_id")) & touches(a, b)
+        return attempts_.alias("a").join(gold.select("image_id", *Box._fields).alias("b"), near & hit, "left_anti")
+    tagged = cut_lineage(attempts_.withColumn("box_ord", F.col(key)))
     return tagged.join(overlapping_on(hot, tagged, gold, hit), ["image_id", "box_ord"], "left_anti").drop("box_ord")
 
 
@@ -189,7 +193,7 @@ def fabricate_deviated(
     limit = rule.negative_iou_reject if rule.refined else rule.deviation_max_iou
     at_limit = rule.refined if inclusive is None else not inclusive
     for wave in WAVES:
-        tries = _deviated_attempts(waiting, rule, seed, wave, recheck_area)
+        tries = _deviated_attempts(spread_out(waiting, "image_id", "slot"), rule, seed, wave, recheck_area)
         good = _free_of(tries, gold, limit, at_limit, "try_no", hot)
         first = good.groupBy("image_id", "slot").agg(F.min_by(F.struct("gt_no", *Box._fields), "attempt").alias("b"))
         first = cut_lineage(first.select("image_id", "slot", "b.*"))
@@ -202,10 +206,9 @@ def fabricate_deviated(
 
 def _deviated_attempts(slots: DataFrame, rule: Rule, seed: int, wave, recheck_area: bool) -> DataFrame:
     numbers = F.sequence(F.lit(wave[0]).cast("long"), F.lit(wave[1] - 1).cast("long"))
-    tries = slots.withColumn("attempt", F.explode(numbers))
-    key = ("image_id", "slot", "attempt")
-    size = uniforms(seed, F.lit("size"), *key)
-    move = uniforms(seed, F.lit("move"), *key)
+    draws = attempts(numbers, seed, ("size", "move"), "image_id", "slot")
+    tries = slots.select("*", F.inline(draws))
+    size, move = ([F.col("u")[i] for i in span] for span in (range(0, 4), range(4, 8)))
     g = Box(*(F.col("g_" + c) for c in Box._fields))
     wide, high = g.x2 - g.x1, g.y2 - g.y1
     if rule.refined:
@@ -258,9 +261,10 @@ def fabricate_empty(
         if waiting.limit(1).count() == 0:
             break
         upto = F.least(F.col("budget"), F.col("next") + per_open * F.col("open"))
-        step = waiting.withColumn("upto", upto)
-        tries = step.withColumn("attempt", F.explode(F.sequence(F.col("next"), F.col("upto") - 1)))
-        boxes = _empty_attempts(tries, gt, rule, seed)
+        step = spread_out(waiting, "image_id").withColumn("upto", upto)
+        numbers = F.sequence(F.col("next"), F.col("upto") - 1)
+        tries = step.select("*", F.inline(attempts(numbers, seed, ("empty", "place"), "image_id")))
+        boxes = _empty_attempts(tries, gt, rule)
         good = _free_of(boxes, gold, limit, at_limit, "attempt", hot)
         placed = numbered(good, "attempt", "place", hot_images.crowded(good, hot_limit))
         taken = cut_lineage(placed.where(F.col("place") < F.col("open")).select("image_id", "attempt", *Box._fields))
@@ -274,9 +278,8 @@ def fabricate_empty(
     )
 
 
-def _empty_attempts(tries: DataFrame, gt: DataFrame, rule: Rule, seed: int) -> DataFrame:
-    key = ("image_id", "attempt")
-    a, b = uniforms(seed, F.lit("empty"), *key), uniforms(seed, F.lit("place"), *key)
+def _empty_attempts(tries: DataFrame, gt: DataFrame, rule: Rule) -> DataFrame:
+    a, b = ([F.col("u")[i] for i in span] for span in (range(0, 4), range(4, 8)))
     width, height = F.col("width"), F.col("height")
     largest = F.greatest(F.lit(2), F.floor(F.least(width, height) / 2))
     smallest = F.when(F.lit(EMPTY_MIN_SIDE) >= largest, F.greatest(F.lit(1), largest - 1)).otherwise(EMPTY_MIN_SIDE)

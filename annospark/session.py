@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and continue from the written copy.
+
+    A lost executor then costs a re-read, not a recomputation, and the copy's known size lets the
+    planner choose joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/annospark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def scalar_row(df: DataFrame):
-    """The single row of an aggregate (fits, counts). Never used on row data."""
-    return df.first()
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute rows over all shuffle partitions before work that multiplies them.
+
+    A small input would otherwise arrive as few partitions, however much is computed from each row.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
