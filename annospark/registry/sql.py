@@ -28,7 +28,7 @@ TABLES = {
         (x2-x1)/640.0::DOUBLE AS w, (y2-y1)/480.0::DOUBLE AS h FROM candidates""",
     "gold_norm": """SELECT image_id, box_ord, label AS cls, (x1+x2)/2/640.0::DOUBLE AS cx, (y1+y2)/2/480.0::DOUBLE AS cy,
         (x2-x1)/640.0::DOUBLE AS w, (y2-y1)/480.0::DOUBLE AS h FROM gold""",
-    "telemetry": """SELECT epoch_ms(ts) AS ts_ms, CAST(user_id AS VARCHAR) AS session_id,
+    "telemetry": """SELECT epoch_us(ts) // 1000 AS ts_ms, CAST(user_id AS VARCHAR) AS session_id,
         CASE event_type WHEN 'signup' THEN 'session_start' WHEN 'view' THEN 'candidate_rendered' WHEN 'click' THEN 'box_accept'
         WHEN 'error' THEN 'box_reject' WHEN 'purchase' THEN 'image_finalized' END AS event_type,
         CAST(event_id % 1000 AS VARCHAR) AS image_id, concat(event_id % 1000, ':', event_id % 5) AS box_id,

@@ -25,9 +25,16 @@ def label_lines(images: DataFrame, boxes: DataFrame) -> DataFrame:
     return images.select("stem").distinct().join(rows, "stem", "left").withColumn("line", F.coalesce("line", F.lit("")))
 
 
+def write_label_table(images: DataFrame, boxes: DataFrame, path: str) -> None:
+    """Label lines of all images as one table, the layout for large sets (see ``read_label_table``)."""
+    label_lines(images, boxes).withColumnRenamed("box_ord", "line_no").write.mode("overwrite").parquet(path)
+
+
 def write_labels(images: DataFrame, boxes: DataFrame, path: str) -> None:
     """One text file per image, in a folder ``stem=<stem>``; lines end with a line feed.
 
+    This is what other tools read, at the price of very many small files.
+
     Lines are written as they come, so no image is gathered in memory. Only the images that are written
     are replaced (dynamic overwrite), so labels of other images stay.
     """

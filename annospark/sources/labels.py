@@ -56,6 +56,11 @@ def read_labels(spark: SparkSession, folder: str, mode: str = "strict") -> DataF
     return parse_lines(read_lines(spark, folder), mode)
 
 
+def read_label_table(spark: SparkSession, path: str, mode: str = "strict") -> DataFrame:
+    """Labels from a table of lines ``(stem, line_no, line)``."""
+    return parse_lines(spark.read.parquet(path), mode)
+
+
 def label_files(spark: SparkSession, folder: str) -> DataFrame:
     """``stem`` of every label file, also of empty ones."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
