@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from annospark.functions.geometry import Box, box, centre_from_pixels, named
+from annospark.operators import hot_images
+from annospark.operators.order_stats import numbered
 from annospark.session import shared_dir, spread_out
 
 WIDTH, HEIGHT = 640, 480
+HOT_ORDER = 1_000_000  # lines of one order that a single task may number
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +49,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derive_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     image, part, supp, rank = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "box_ord"))
     keys = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    per_image = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey")
-    ranked = keys.withColumn("box_ord", (F.row_number().over(per_image) - 1).cast("long"))
+    hot = hot_images.crowded(keys, HOT_ORDER, "l_orderkey")
+    ranked = numbered(keys, ["l_partkey", "l_suppkey"], "box_ord", hot, "l_orderkey")
     x1 = ((image * 37 + (rank % 3) * 211) % 400 + part % 40).cast("double")
     y1 = ((image * 53 + (rank % 3) * 131) % 300 + supp % 40).cast("double")
     wide = (40 + part % 120).cast("double")

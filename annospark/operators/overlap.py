@@ -91,8 +91,14 @@ def _contested(lean: DataFrame, hot: DataFrame | None, over: float, use_containm
         clash = clash | (F.try_divide(both, F.least("a.area", "b.area")) >= CONTAINED_FROM)
     grid = hot_images.cells(lean, hot)
     same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.__cell") == F.col("b.__cell"))
-    apart = F.col("a.box_ord") != F.col("b.box_ord")
-    met = grid.alias("a").join(grid.alias("b"), same & apart & touches(a, b) & (both > 0) & clash, "left_semi")
+    if hot is None:
+        others, apart = grid, F.col("a.box_ord") != F.col("b.box_ord")
+    else:  # equal boxes count once on the looked-up side, with the range of their positions
+        others = grid.groupBy("image_id", "__cell", "x1", "y1", "x2", "y2", "area").agg(
+            F.min("box_ord").alias("first"), F.max("box_ord").alias("last")
+        )
+        apart = (F.col("a.box_ord") != F.col("b.first")) | (F.col("a.box_ord") != F.col("b.last"))
+    met = grid.alias("a").join(others.alias("b"), same & apart & touches(a, b) & (both > 0) & clash, "left_semi")
     met = met.select(*lean.columns)
     return met if hot is None else met.dropDuplicates(["image_id", "box_ord"])
 
@@ -276,8 +282,10 @@ def drop_contained(boxes: DataFrame, flag: Column | None = None, hot_limit: int
     All boxes are judged at once against the input, so removal is a plain anti join.
     """
     mine = boxes.withColumn("__on", F.lit(True) if flag is None else flag)
-    grid = hot_images.cells(mine, hot_images.find(mine, hot_limit))
+    hot = hot_images.find(mine, hot_limit)
+    grid = hot_images.cells(mine, hot)
     outer = grid.where("__on").select("image_id", "__cell", "x1", "y1", "x2", "y2")
+    outer = outer if hot is None else outer.distinct()  # equal boxes never contain each other
     inner, o = box("i"), box("o")
     inside = (
         (F.col("i.image_id") == F.col("o.image_id"))
@@ -308,7 +316,8 @@ def overlapping(left: DataFrame, right: DataFrame, condition: Column, hot_limit:
 def overlapping_on(hot: DataFrame | None, left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     """``overlapping`` with the grid of the hot images already at hand."""
     a = hot_images.cells(left, hot).alias("a")
-    b = hot_images.cells(right, hot).select("image_id", "__cell", "x1", "y1", "x2", "y2").alias("b")
+    b = hot_images.cells(right, hot).select("image_id", "__cell", "x1", "y1", "x2", "y2")
+    b = (b if hot is None else b.distinct()).alias("b")
     same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.__cell") == F.col("b.__cell"))
     hit = a.join(b, same & touches(box("a"), box("b")) & condition, "left_semi").select("image_id", "box_ord")
     return hit if hot is None else hit.distinct()

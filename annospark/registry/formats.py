@@ -279,7 +279,7 @@ def quarantined_events(t):
 SESSIONS = """SELECT session_id, min(ts_ms) AS start_ms, max(ts_ms) + 1800000 AS end_ms, count(*) AS events,
       count(*) FILTER (event_type = 'box_accept') AS accepts, count(*) FILTER (event_type = 'box_reject') AS rejects FROM (
       SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS part FROM (
-      SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms) < 1800000 THEN 0 ELSE 1 END AS fresh FROM telemetry))
+      SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms) <= 1800000 THEN 0 ELSE 1 END AS fresh FROM telemetry))
       GROUP BY session_id, part"""
 
 
@@ -346,7 +346,7 @@ CLOSED = "(SELECT max(ts_ms) - 600000 FROM telemetry)"
 def stream_session_activity(t):
     """Sessions are written once the watermark has passed their end."""
     path = _scratch(t, "sessions")
-    ev.write_stream(ev.session_activity(ev.watermarked(_stream(t))), f"{path}/out", f"{path}/state")
+    ev.write_stream(ev.stream_session_activity(ev.watermarked(_stream(t))), f"{path}/out", f"{path}/state")
     return t.spark.read.parquet(f"{path}/out")
 
 
@@ -364,15 +364,16 @@ def stream_dwell_by_image(t):
 def stream_box_outcome(t):
     """Kept current in update mode; the reader takes the latest row of each box."""
     path = _scratch(t, "outcome")
-    ev.write_latest(ev.box_outcome(_stream(t)), f"{path}/out", f"{path}/state")
-    return ev.latest(t.spark.read.parquet(f"{path}/out"), "session_id", "image_id", "box_id")
+    ev.write_latest(ev.stream_box_outcome(ev.watermarked(_stream(t))), f"{path}/out", f"{path}/state")
+    daily = ev.latest(t.spark.read.parquet(f"{path}/out"), "session_id", "image_id", "box_id", "start_ms")
+    return ev.combine_outcomes(daily)
 
 
 @register("stream_action_mix", q.query(MIX))
 def stream_action_mix(t):
     path = _scratch(t, "mix")
-    ev.write_latest(ev.action_mix(_stream(t)), f"{path}/out", f"{path}/state")
-    return ev.latest(t.spark.read.parquet(f"{path}/out"), "session_id")
+    ev.write_latest(ev.stream_action_mix(ev.watermarked(_stream(t))), f"{path}/out", f"{path}/state")
+    return ev.combine_mix(ev.latest(t.spark.read.parquet(f"{path}/out"), "session_id", "start_ms"))
 
 
 @register(

@@ -6,7 +6,7 @@ applied to a stream, ``watermarked`` bounds their state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from annospark.schemas import EVENT, EVENT_TYPES
 
@@ -35,16 +35,40 @@ def watermarked(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", delay)
 
 
-def session_activity(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Events, accepts and rejects per session; a pause longer than ``gap`` starts a new one."""
+def _activity() -> list:
     kind = F.col("event_type")
+    return [
+        F.count("*").alias("events"),
+        F.count(F.when(kind.isin(*ACCEPTS), 1)).alias("accepts"),
+        F.count(F.when(kind.isin(*REJECTS), 1)).alias("rejects"),
+    ]
+
+
+def session_activity(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """Events, accepts and rejects per session of a table; a pause longer than the gap starts a new one.
+
+    Events in one time slot as long as the gap always belong together. So slots are counted first, with
+    map-side combine, and only slots are put in order: a session with very many events stays small.
+    """
+    gap = gap_minutes * 60_000
+    slots = events.groupBy("session_id", F.floor(F.col("ts_ms") / gap).alias("slot")).agg(
+        F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"), *_activity()
+    )
+    order = Window.partitionBy("session_id").orderBy("slot")
+    fresh = F.coalesce((F.col("first") - F.lag("last").over(order) > gap).cast("int"), F.lit(1))
+    marked = slots.withColumn("fresh", fresh).withColumn("part", F.sum("fresh").over(order))
+    return marked.groupBy("session_id", "part").agg(
+        F.min("first").alias("start_ms"),
+        (F.max("last") + gap).alias("end_ms"),
+        *[F.sum(c).alias(c) for c in ("events", "accepts", "rejects")],
+    ).drop("part")
+
+
+def stream_session_activity(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """``session_activity`` of a stream; with a watermark a session's state is dropped after its end."""
     return (
         events.groupBy("session_id", F.session_window("ts", gap).alias("span"))
-        .agg(
-            F.count("*").alias("events"),
-            F.count(F.when(kind.isin(*ACCEPTS), 1)).alias("accepts"),
-            F.count(F.when(kind.isin(*REJECTS), 1)).alias("rejects"),
-        )
+        .agg(*_activity())
         .select(
             "session_id",
             F.unix_millis("span.start").alias("start_ms"),
@@ -68,21 +92,52 @@ def dwell_by_image(events: DataFrame, width: str = "1 day") -> DataFrame:
     )
 
 
-def box_outcome(events: DataFrame) -> DataFrame:
-    """The last thing a person did to each box of a session and image."""
+def _last_action(events: DataFrame, *extra) -> DataFrame:
     acted = events.where(F.col("event_type").isin(*BOX_ACTIONS) & F.col("box_id").isNotNull())
-    return acted.groupBy("session_id", "image_id", "box_id").agg(
+    return acted.groupBy("session_id", "image_id", "box_id", *extra).agg(
         F.max_by("event_type", F.struct("ts_ms", "event_type")).alias("outcome"),
         F.max("ts_ms").alias("last_ms"),
         F.count("*").alias("actions"),
     )
 
 
+def box_outcome(events: DataFrame) -> DataFrame:
+    """The last thing a person did to each box of a session and image."""
+    return _last_action(events)
+
+
+def stream_box_outcome(events: DataFrame, width: str = "1 day") -> DataFrame:
+    """Last action per box and time window, so that state ends with the watermark."""
+    daily = _last_action(events, F.window("ts", width).alias("span"))
+    return daily.withColumn("start_ms", F.unix_millis("span.start")).drop("span")
+
+
+def combine_outcomes(daily: DataFrame) -> DataFrame:
+    """``box_outcome`` from its parts per time window."""
+    return daily.groupBy("session_id", "image_id", "box_id").agg(
+        F.max_by("outcome", F.struct("last_ms", "outcome")).alias("outcome"),
+        F.max("last_ms").alias("last_ms"),
+        F.sum("actions").alias("actions"),
+    )
+
+
+def _mix() -> list:
+    return [F.count(F.when(F.col("event_type") == a, 1)).alias(a) for a in BOX_ACTIONS]
+
+
 def action_mix(events: DataFrame) -> DataFrame:
     """Counts per session and kind of feedback."""
-    return events.groupBy("session_id").agg(
-        *[F.count(F.when(F.col("event_type") == a, 1)).alias(a) for a in BOX_ACTIONS]
-    )
+    return events.groupBy("session_id").agg(*_mix())
+
+
+def stream_action_mix(events: DataFrame, width: str = "1 day") -> DataFrame:
+    """``action_mix`` per time window, so that state ends with the watermark."""
+    daily = events.groupBy("session_id", F.window("ts", width).alias("span")).agg(*_mix())
+    return daily.withColumn("start_ms", F.unix_millis("span.start")).drop("span")
+
+
+def combine_mix(daily: DataFrame) -> DataFrame:
+    return daily.groupBy("session_id").agg(*[F.sum(a).alias(a) for a in BOX_ACTIONS])
 
 
 def outcome_vs_gold(outcomes: DataFrame, candidates: DataFrame, matches: DataFrame) -> DataFrame:
