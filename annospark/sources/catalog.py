@@ -27,8 +27,8 @@ def folder_of(path: Column) -> Column:
 
 def read_yamls(spark: SparkSession, folder: str) -> DataFrame:
     """``(path, text)`` of the dataset descriptions below a folder."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yaml")
-    return reader.text(folder).select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.yaml")
+    return reader.text(folder, wholetext=True).select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
 
 
 def _entry(text: Column, name: str) -> Column:

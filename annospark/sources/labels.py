@@ -62,11 +62,15 @@ def read_label_table(spark: SparkSession, path: str, mode: str = "strict") -> Da
 
 
 def label_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``stem`` of every label file, also of empty ones."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+    """``stem`` of every label file, also of empty ones.
+
+    Scans skip files without content, so this takes the listing that the reader holds anyway.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+    listed = spark.createDataFrame([(p,) for p in reader.text(folder).inputFiles()], "path string")
     path = decoded(F.col("path"))
     in_table = F.regexp_extract(path, r"/stem=([^/]+)/", 1)
-    return files.load(folder).select(F.when(in_table != "", in_table).otherwise(stem(path)).alias("stem")).distinct()
+    return listed.select(F.when(in_table != "", in_table).otherwise(stem(path)).alias("stem")).distinct()
 
 
 def for_images(images: DataFrame, labels: DataFrame) -> DataFrame:
@@ -86,7 +90,7 @@ def read_ownership(spark: SparkSession, path: str, images: DataFrame, files: Dat
             listed = spark.read.schema("image_id string").json(path).where(F.col("image_id").isNotNull())
             readable = True
         else:
-            text = spark.read.option("wholetext", "true").text(path)
+            text = spark.read.text(path, wholetext=True)
             names = text.select(F.from_json("value", "array<string>").alias("names")).where(F.col("names").isNotNull())
             readable = names.limit(1).count() > 0
             listed = names.select(F.explode("names").alias("image_id"))
@@ -101,7 +105,7 @@ def read_ownership(spark: SparkSession, path: str, images: DataFrame, files: Dat
 def read_classes(spark: SparkSession, path: str) -> tuple[str | None, list[str]]:
     """The image folder a class list was saved for (None in the old list-only format) and the list."""
     try:
-        text = spark.read.option("wholetext", "true").text(path)
+        text = spark.read.text(path, wholetext=True)
         row = text.select(
             F.from_json("value", "struct<images:string,classes:array<string>>").alias("o"),
             F.from_json("value", "array<string>").alias("l"),

@@ -10,7 +10,7 @@ LAYOUTS = ("document", "images", "boxes")
 
 
 def _overlay_maps(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.from_json("value", OVERLAY_DOCUMENT).alias("overlay"))
 
 
