@@ -45,12 +45,19 @@ def overlap_pairs(
     )
 
 
+ORDER = ("iou", "pi", "gi")  # by falling overlap; ties to the later prediction, then the later gold box
+
+
+def _fields(pairs: DataFrame, keys) -> list[str]:
+    return [*ORDER, *[c for c in pairs.columns if c not in (*ORDER, *keys)]]
+
+
 def assign(pairs: DataFrame, keys=("image_id",)) -> DataFrame:
     """Greedy one-to-one assignment inside each key, as an array fold over the sorted pairs."""
     keys = list(keys)
-    fields = ["iou", "pi", "gi", "pred_label", "gold_label"]
+    fields = _fields(pairs, keys)
     ranked = F.sort_array(F.collect_list(F.struct(*fields)), asc=False)
-    kind = "array<struct<iou:double,pi:bigint,gi:bigint,pred_label:int,gold_label:int>>"
+    kind = "array<" + pairs.select(F.struct(*fields).alias("s")).schema["s"].dataType.simpleString() + ">"
 
     def step(done: Column, p: Column) -> Column:
         taken = F.exists(done, lambda m: (m["pi"] == p["pi"]) | (m["gi"] == p["gi"]))
@@ -73,7 +80,7 @@ def assign_by_rounds(pairs: DataFrame, keys=("image_id",)) -> DataFrame:
     always qualifies, so the rounds end.
     """
     keys = list(keys)
-    order = F.struct("iou", "pi", "gi")
+    order = F.struct(*ORDER)
     open_pairs, done = cut_lineage(pairs), None
     while open_pairs.limit(1).count():
         by_pred = open_pairs.groupBy(*keys, "pi").agg(F.max(order).alias("best")).select(*keys, "best.*")
@@ -87,7 +94,7 @@ def assign_by_rounds(pairs: DataFrame, keys=("image_id",)) -> DataFrame:
             )
         )
         done = matched if done is None else done.unionByName(matched)
-    return (done if done is not None else pairs.limit(0)).select(*keys, "iou", "pi", "gi", "pred_label", "gold_label")
+    return (done if done is not None else pairs.limit(0)).select(*keys, *_fields(pairs, keys))
 
 
 def match_boxes(
@@ -128,9 +135,12 @@ def match_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5,
 
 
 def match_at_limits(pred: DataFrame, gold: DataFrame, limits, hot_limit: int = MATCH_HOT) -> DataFrame:
-    """Class-aware matches per overlap limit ``iou_limit``, from one computation of the overlaps."""
+    """Class-aware matches with their ``score`` per overlap limit ``iou_limit``.
+
+    Overlaps are computed once; a pair is then repeated for every limit it reaches.
+    """
     hot = hot_images.find(pred, hot_limit, gold)
-    pairs = overlap_pairs(pred, gold, min(limits), True, hot)
+    pairs = overlap_pairs(pred, gold, min(limits), True, hot, extra=[F.col("a.score").alias("score")])
     steps = F.array(*[F.lit(float(x)) for x in limits])
     spread = pairs.withColumn("iou_limit", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))
     return _assign_each(spread, hot, ("iou_limit", "image_id"))

@@ -213,19 +213,16 @@ def average_precision(scored: DataFrame, gold: DataFrame, limits=AP_LIMITS) -> D
     together; a class may hold any share of the detections.
     """
     limits = [float(x) for x in limits]
-    hits = match_at_limits(scored, gold, limits).groupBy("iou_limit", "image_id", "pi").agg(F.lit(1).alias("hit"))
-    asked = F.explode(F.array(*[F.lit(x) for x in limits]))
-    steps = (
-        scored.select(asked.alias("iou_limit"), "image_id", F.col("box_ord").cast("long").alias("pi"), "label", "score")
-        .join(hits, ["iou_limit", "image_id", "pi"], "left")
-        .groupBy("iou_limit", "label", "score")
-        .agg(F.count("*").alias("n"), F.count("hit").alias("tp"))
-    )
+    detected = scored.groupBy("label", "score").agg(F.count("*").alias("n"))
+    detected = running(detected, [F.desc("score")], {"cum_n": F.col("n")}, ["label"]).drop("n")
     key = ["iou_limit", "label"]
-    curve = running(steps, [F.desc("score")], {"cum_n": F.col("n"), "cum_tp": F.col("tp")}, key)
-    curve = curve.withColumn("precision", F.col("cum_tp") / F.col("cum_n"))
+    hits = match_at_limits(scored, gold, limits).groupBy("iou_limit", F.col("pred_label").alias("label"), "score")
+    hits = running(hits.agg(F.count("*").alias("tp")), [F.desc("score")], {"cum_tp": F.col("tp")}, key)
+    # between two hits precision only falls, so the envelope is decided at the hits
+    curve = hits.join(detected, ["label", "score"]).withColumn("precision", F.col("cum_tp") / F.col("cum_n"))
     best = running(curve, ["score"], {"envelope": F.col("precision")}, key, largest=True)
     area = best.groupBy(*key).agg(F.sum(F.col("tp") * F.col("envelope")).alias("area"))
+    asked = F.explode(F.array(*[F.lit(x) for x in limits]))
     objects = gold.groupBy("label").agg(F.count("*").alias("n_gold")).select(asked.alias("iou_limit"), "label", "n_gold")
     return objects.join(area, key, "left").select(
         *key, "n_gold", F.coalesce(F.col("area") / F.col("n_gold"), F.lit(0.0)).alias("ap")

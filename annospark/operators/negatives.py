@@ -30,7 +30,7 @@ BAND, BAND_FLOOR = 0.12, 0.05
 SHIFT_RANGE, COUNT_RANGE = (0.1, 2.0), (1, 30)
 
 # attempts per wave; nearly all slots are filled by the first
-WAVES = ((0, 10), (10, 40), (40, DEVIATED_ATTEMPTS))
+WAVES = ((0, 4), (4, 20), (20, DEVIATED_ATTEMPTS))
 EMPTY_WAVES = (4, 16, EMPTY_ATTEMPTS * 1_000_000)  # the last one is limited by the budget
 
 

@@ -8,6 +8,7 @@ from annospark.session import cut_lineage
 
 BINS = 4096
 FINE_ENOUGH = 50_000
+ONE_TASK = 200_000
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
@@ -54,13 +55,18 @@ def running(df: DataFrame, order, totals: dict, keys=(), largest: bool = False)
 
     With ``keys`` the runs start anew for each key. A key may hold any share of the rows: rows are
     range-partitioned by key and order, each partition is summed on its own, and what the partitions
-    before it hold of the same key is added. Those sums have about one row per partition.
+    before it hold of the same key is added. Those sums have about one row per partition. A table of
+    at most ``ONE_TASK`` rows is summed by a plain window.
     """
     total = F.max if largest else F.sum
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.withColumns({f"__v_{n}": c for n, c in totals.items()})
-    ranged = ranged.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__part", F.spark_partition_id())
-    # written once: the range bounds are sampled, so both uses below must see the same partitions
+    # written first: its size is then known, and finding the range bounds does not compute it again
+    stored = cut_lineage(df.withColumns({f"__v_{n}": c for n, c in totals.items()}))
+    if stored.count() <= ONE_TASK:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return stored.select(*df.columns, *[total(f"__v_{n}").over(upto).alias(n) for n in totals])
+    ranged = stored.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__part", F.spark_partition_id())
+    # written as well: the bounds are sampled, so both uses below must see the same partitions
     ranged = cut_lineage(ranged)
     held = ranged.groupBy("__part", *keys).agg(*[total(f"__v_{n}").alias(f"__t_{n}") for n in totals])
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

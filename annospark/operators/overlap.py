@@ -116,7 +116,7 @@ def greedy(
     rank: Column,
     over: float,
     use_containment: bool,
-    hot_limit: int = HOT_IMAGE,
+    hot_limit: int | None = HOT_IMAGE,
     block: int = BLOCK,
 ) -> DataFrame:
     """Boxes that survive greedy suppression in ascending ``(rank, box_ord)`` order."""
@@ -263,19 +263,19 @@ class _row:
     getField = __getitem__
 
 
-def nms(candidates: DataFrame, use_containment: bool, hot_limit: int = HOT_IMAGE) -> DataFrame:
+def nms(candidates: DataFrame, use_containment: bool, hot_limit: int | None = HOT_IMAGE) -> DataFrame:
     """Class-blind suppression by falling ``p_good``; equal scores keep their list order."""
     return greedy(candidates, -F.col("p_good"), NMS_OVER, use_containment, hot_limit)
 
 
-def dedup(boxes: DataFrame, use_containment: bool, order: Column | None = None, hot_limit: int = HOT_IMAGE) -> DataFrame:
+def dedup(boxes: DataFrame, use_containment: bool, order: Column | None = None, hot_limit: int | None = HOT_IMAGE) -> DataFrame:
     """Clean-up before saving: near-duplicates in list order, then boxes inside larger ones."""
     order = F.lit(0.0) if order is None else order
     kept = greedy(boxes, order, DEDUP_OVER, False, hot_limit)
     return drop_contained(cut_lineage(kept), hot_limit=hot_limit) if use_containment else kept
 
 
-def drop_contained(boxes: DataFrame, flag: Column | None = None, hot_limit: int = HOT_IMAGE) -> DataFrame:
+def drop_contained(boxes: DataFrame, flag: Column | None = None, hot_limit: int | None = HOT_IMAGE) -> DataFrame:
     """Remove a box that lies to 80% inside a strictly larger box of the same image.
 
     With ``flag`` only flagged boxes (model proposals) are removed, and only because of flagged ones.
@@ -298,14 +298,14 @@ def drop_contained(boxes: DataFrame, flag: Column | None = None, hot_limit: int
     return boxes.join(gone.distinct(), ["image_id", "box_ord"], "left_anti")
 
 
-def merge_proposals(existing: DataFrame, new: DataFrame, hot_limit: int = HOT_IMAGE) -> DataFrame:
+def merge_proposals(existing: DataFrame, new: DataFrame, hot_limit: int | None = HOT_IMAGE) -> DataFrame:
     """Proposals that overlap neither a box already on the image nor an earlier added proposal."""
     taken = overlapping(new, existing, iou(box("a"), box("b")) > DEDUP_OVER, hot_limit)
     free = cut_lineage(new.join(taken, ["image_id", "box_ord"], "left_anti"))
     return greedy(free, F.lit(0.0), DEDUP_OVER, False, hot_limit)
 
 
-def overlapping(left: DataFrame, right: DataFrame, condition: Column, hot_limit: int = HOT_IMAGE) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, condition: Column, hot_limit: int | None = HOT_IMAGE) -> DataFrame:
     """Keys of ``left`` boxes for which some ``right`` box of the image meets ``condition``.
 
     The condition uses the aliases ``a`` and ``b`` and must imply a positive shared area.
@@ -323,13 +323,13 @@ def overlapping_on(hot: DataFrame | None, left: DataFrame, right: DataFrame, con
     return hit if hot is None else hit.distinct()
 
 
-def overlaps_any(boxes: DataFrame, others: DataFrame, over: float = 0.1, hot_limit: int = HOT_IMAGE) -> DataFrame:
+def overlaps_any(boxes: DataFrame, others: DataFrame, over: float = 0.1, hot_limit: int | None = HOT_IMAGE) -> DataFrame:
     """Boxes whose overlap with any other-table box of the image is above ``over``."""
     hit = overlapping(boxes, others, iou(box("a"), box("b")) > over, hot_limit)
     return boxes.join(hit, ["image_id", "box_ord"], "left_semi")
 
 
-def pairs(left: DataFrame, right: DataFrame, condition: Column, columns, hot_limit: int = HOT_IMAGE) -> DataFrame:
+def pairs(left: DataFrame, right: DataFrame, condition: Column, columns, hot_limit: int | None = HOT_IMAGE) -> DataFrame:
     """All box pairs of an image that meet ``condition`` (aliases ``a`` and ``b``, shared area > 0)."""
     hot = hot_images.find(left, hot_limit, right)
     a, b = hot_images.cells(left, hot).alias("a"), hot_images.cells(right, hot).alias("b")
@@ -339,7 +339,7 @@ def pairs(left: DataFrame, right: DataFrame, condition: Column, columns, hot_lim
     return a.join(b, same & touches(box("a"), box("b")) & condition).select(F.col("a.image_id").alias("image_id"), *columns)
 
 
-def self_pairs(boxes: DataFrame, condition: Column, columns, ordered: bool = True, hot_limit: int = HOT_IMAGE) -> DataFrame:
+def self_pairs(boxes: DataFrame, condition: Column, columns, ordered: bool = True, hot_limit: int | None = HOT_IMAGE) -> DataFrame:
     """Pairs of two different boxes of one image: both directions, or each pair once."""
     apart = (F.col("a.box_ord") != F.col("b.box_ord")) if ordered else (F.col("a.box_ord") < F.col("b.box_ord"))
     return pairs(boxes, boxes, apart & condition, columns, hot_limit)

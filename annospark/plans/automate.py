@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from annospark.functions.geometry import box, centre_from_pixels
 from annospark.functions.scores import band
 from annospark.operators import acceptance as ac, density, overlap
+from annospark.operators.hot_images import HOT_IMAGE, crowded
 from annospark.operators.status import fit_pool, targets
 from annospark.session import cut_lineage
 
@@ -49,12 +50,17 @@ class Decision:
         return Decision(row["containment"], row["max_topk"])
 
 
-def candidates_view(raw: DataFrame, decision: Decision) -> DataFrame:
+def candidates_view(raw: DataFrame, decision: Decision, hot_limit: int | None = HOT_IMAGE) -> DataFrame:
     """Raw detections without duplicates; how nested boxes count follows the seed.
 
     Written once: the fit, the selection and the clean-up all read this view.
     """
-    return cut_lineage(overlap.nms(raw, decision.containment))
+    return cut_lineage(overlap.nms(raw, decision.containment, hot_limit))
+
+
+def _hot_limit(raw: DataFrame) -> int | None:
+    """None when no image is large: then no later step, which only removes boxes, has to look again."""
+    return HOT_IMAGE if crowded(raw, HOT_IMAGE) is not None else None
 
 
 def seed_figures(seed_boxes: DataFrame) -> ac.Seed:
@@ -107,7 +113,8 @@ def automate_all(
     """
     decision = Decision.of(seed_boxes)
     pool = raw.join(targets(images, ownership).select("image_id"), "image_id", "left_semi")
-    view = candidates_view(pool, decision)
+    limit = _hot_limit(raw)
+    view = candidates_view(pool, decision, limit)
     if method == "manual" and threshold is not None:
         if score not in ("p_good", "det_conf"):
             raise ValueError(f"unknown score column: {score}")
@@ -116,7 +123,7 @@ def automate_all(
         accepted, _, _ = apply_method(view, method, seed_figures(seed_boxes), decision)
     if fold_share is not None:
         accepted = ac.fold_gate(accepted, fold_share)
-    clean = overlap.dedup(cut_lineage(accepted), decision.containment, order=-F.col("p_good"))
+    clean = overlap.dedup(cut_lineage(accepted), decision.containment, order=-F.col("p_good"), hot_limit=limit)
     return _saved(clean, images).drop("score")
 
 
@@ -125,10 +132,11 @@ def automate_image(
 ) -> DataFrame:
     """Proposals for one image, fitted on the same pool as ``automate_all`` plus this image."""
     decision = Decision.of(seed_boxes)
-    view = candidates_view(raw.join(fit_pool(images, ownership, image_id), "image_id", "left_semi"), decision)
+    limit = _hot_limit(raw)
+    view = candidates_view(raw.join(fit_pool(images, ownership, image_id), "image_id", "left_semi"), decision, limit)
     mine = view.where(F.col("image_id") == image_id)
     accepted, _, _ = apply_method(mine, method, seed_figures(seed_boxes), decision, pool=view)
-    clean = overlap.dedup(cut_lineage(accepted), decision.containment, order=-F.col("p_good"))
+    clean = overlap.dedup(cut_lineage(accepted), decision.containment, order=-F.col("p_good"), hot_limit=limit)
     return _saved(clean, images).select(
         "image_id", "box_ord", "cls", "cx", "cy", "w", "h", F.bround("score", 3).alias("score"), band(F.col("score")).alias("band")
     )

@@ -120,11 +120,15 @@ def accept_global_tau(t):
 
 @register(
     "kth_largest",
-    q.query("SELECT 20000::BIGINT AS k, p_good AS value FROM candidates ORDER BY p_good DESC LIMIT 1 OFFSET 19999"),
+    q.query(
+        """SELECT c // 3 AS k, p_good AS value FROM (SELECT p_good, row_number() OVER (ORDER BY p_good DESC) AS i, count(*) OVER () AS c
+      FROM candidates) WHERE i = c // 3"""
+    ),
 )
 def kth_largest(t):
-    value = order_stats.kth_largest(t.candidates, "p_good", 20000)
-    return t.candidates.select(F.lit(20000).cast("long").alias("k"), F.lit(value).alias("value")).limit(1)
+    k = t.candidates.count() // 3
+    value = order_stats.kth_largest(t.candidates, "p_good", k)
+    return t.candidates.agg(F.first(F.lit(k)).cast("long").alias("k"), F.first(F.lit(value)).alias("value"))
 
 
 OTSU = [

@@ -122,7 +122,9 @@ def test_kth_largest_matches_sorting(spark, monkeypatch):
         assert order_stats.kth_largest(df, "v", 3001) is None
 
 
-def test_running_and_dense_ids(spark):
+@pytest.mark.parametrize("one_task", [10**6, 10])
+def test_running_and_dense_ids(spark, monkeypatch, one_task):
+    monkeypatch.setattr(order_stats, "ONE_TASK", one_task)
     rng = random.Random(4)
     rows = [(f"k{rng.choice([0, 0, 0, 1, 2])}", i, rng.randrange(9)) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, i long, v long").repartition(6)
