@@ -97,12 +97,22 @@ def assign_by_rounds(pairs: DataFrame, keys=("image_id",)) -> DataFrame:
     return (done if done is not None else pairs.limit(0)).select(*keys, *_fields(pairs, keys))
 
 
+def _match(pairs: DataFrame, hot: DataFrame | None, keys=("image_id",)) -> DataFrame:
+    """Assignment of pairs inside ``keys``: an array fold, and rounds for the images in ``hot``."""
+    if hot is None:
+        return assign(pairs, keys)
+    pairs = cut_lineage(pairs)
+    small = assign(pairs.join(hot, "image_id", "left_anti"), keys)
+    large = pairs.join(hot, "image_id", "left_semi").select(*pairs.columns)
+    return small.unionByName(assign_by_rounds(large, keys))
+
+
 def match_boxes(
     pred: DataFrame,
     gold: DataFrame,
     at_least: float = 0.5,
     class_aware: bool = False,
-    hot_limit: int = MATCH_HOT,
+    hot_limit: int | None = MATCH_HOT,
 ) -> DataFrame:
     """Matches ``(image_id, iou, pi, gi, pred_label, gold_label)``; ``pi``/``gi`` are ``box_ord`` values.
 
@@ -110,16 +120,7 @@ def match_boxes(
     graded by the caller.
     """
     hot = hot_images.find(pred, hot_limit, gold)
-    return _assign_each(overlap_pairs(pred, gold, at_least, class_aware, hot), hot, ("image_id",))
-
-
-def _assign_each(pairs: DataFrame, hot: DataFrame | None, keys) -> DataFrame:
-    if hot is None:
-        return assign(pairs, keys)
-    pairs = cut_lineage(pairs)
-    small = assign(pairs.join(hot, "image_id", "left_anti"), keys)
-    large = pairs.join(hot, "image_id", "left_semi").select(*pairs.columns)
-    return small.unionByName(assign_by_rounds(large, keys))
+    return _match(overlap_pairs(pred, gold, at_least, class_aware, hot), hot)
 
 
 def match_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5, hot_limit: int = MATCH_HOT) -> DataFrame:
@@ -130,8 +131,8 @@ def match_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5,
     hot = hot_images.find(pred, hot_limit, gold)
     pairs = overlap_pairs(pred, gold, at_least, False, hot, extra=[F.col("a.score").alias("score")])
     steps = F.array(*[F.lit(float(t)) for t in cuts])
-    spread = pairs.withColumn("tau", F.explode(F.filter(steps, lambda t: t <= F.col("score")))).drop("score")
-    return _assign_each(spread, hot, ("tau", "image_id"))
+    reached = F.explode(F.filter(steps, lambda t: t <= F.col("score")))
+    return _match(pairs.withColumn("tau", reached).drop("score"), hot, ("tau", "image_id"))
 
 
 def match_at_limits(pred: DataFrame, gold: DataFrame, limits, hot_limit: int = MATCH_HOT) -> DataFrame:
@@ -142,5 +143,5 @@ def match_at_limits(pred: DataFrame, gold: DataFrame, limits, hot_limit: int = M
     hot = hot_images.find(pred, hot_limit, gold)
     pairs = overlap_pairs(pred, gold, min(limits), True, hot, extra=[F.col("a.score").alias("score")])
     steps = F.array(*[F.lit(float(x)) for x in limits])
-    spread = pairs.withColumn("iou_limit", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))
-    return _assign_each(spread, hot, ("iou_limit", "image_id"))
+    reached = F.explode(F.filter(steps, lambda x: x <= F.col("iou")))
+    return _match(pairs.withColumn("iou_limit", reached), hot, ("iou_limit", "image_id"))
