@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from annospark.functions.geometry import box, iou
 from annospark.operators import hot_images
-from annospark.session import cut_lineage
+from annospark.operators.match_copies import copies, groups, match_groups
 
 MATCH_HOT = 400
 
@@ -72,39 +72,31 @@ def assign(pairs: DataFrame, keys=("image_id",)) -> DataFrame:
     )
 
 
-def assign_by_rounds(pairs: DataFrame, keys=("image_id",)) -> DataFrame:
-    """The same assignment for groups of any size, without gathering a group anywhere.
+def _match(pred, gold, hot, at_least, class_aware, keys=("image_id",), carry=(), limits=None) -> DataFrame:
+    """Matches inside ``keys``: an array fold for ordinary images, matching of copies for those in ``hot``.
 
-    A pair that is the best of its prediction and the best of its gold box is in the greedy result.
-    Each round takes those pairs and drops every pair they touch. The best remaining pair of all
-    always qualifies, so the rounds end.
+    ``keys`` may name a column of ``pred`` besides the image, or ``iou_limit`` with ``limits``.
     """
-    keys = list(keys)
-    order = F.struct(*ORDER)
-    open_pairs, done = cut_lineage(pairs), None
-    while open_pairs.limit(1).count():
-        by_pred = open_pairs.groupBy(*keys, "pi").agg(F.max(order).alias("best")).select(*keys, "best.*")
-        by_gold = open_pairs.groupBy(*keys, "gi").agg(F.max(order).alias("best")).select(*keys, "best.*")
-        on = [*keys, "pi", "gi"]
-        won = by_pred.select(*on).join(by_gold.select(*on), on)
-        matched = cut_lineage(open_pairs.join(won, on, "left_semi"))
-        open_pairs = cut_lineage(
-            open_pairs.join(matched.select(*keys, "pi"), [*keys, "pi"], "left_anti").join(
-                matched.select(*keys, "gi"), [*keys, "gi"], "left_anti"
-            )
-        )
-        done = matched if done is None else done.unionByName(matched)
-    return (done if done is not None else pairs.limit(0)).select(*keys, *_fields(pairs, keys))
-
-
-def _match(pairs: DataFrame, hot: DataFrame | None, keys=("image_id",)) -> DataFrame:
-    """Assignment of pairs inside ``keys``: an array fold, and rounds for the images in ``hot``."""
+    scope = [k for k in keys if k != "iou_limit"]
+    own = [F.col(f"a.{c}").alias(c) for c in (*[k for k in scope if k != "image_id"], *carry)]
+
+    def spread(pairs: DataFrame) -> DataFrame:
+        if limits is None:
+            return pairs
+        steps = F.array(*[F.lit(float(x)) for x in limits])
+        return pairs.withColumn("iou_limit", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))
+
     if hot is None:
-        return assign(pairs, keys)
-    pairs = cut_lineage(pairs)
-    small = assign(pairs.join(hot, "image_id", "left_anti"), keys)
-    large = pairs.join(hot, "image_id", "left_semi").select(*pairs.columns)
-    return small.unionByName(assign_by_rounds(large, keys))
+        return assign(spread(overlap_pairs(pred, gold, at_least, class_aware, None, own)), keys)
+    small = [t.join(hot.select("image_id"), "image_id", "left_anti") for t in (pred, gold)]
+    large = [t.join(hot.select("image_id"), "image_id", "left_semi") for t in (pred, gold)]
+    done = assign(spread(overlap_pairs(*small, at_least, class_aware, None, own)), keys)
+    own = [F.col(f"a.{c}").alias(c) for c in scope if c != "image_id"]
+    own += [F.col("a.pg").alias("pg"), F.col("a.n_pred").alias("n_pred"), F.col("b.gg").alias("gg"), F.col("b.n_gold").alias("n_gold")]
+    p, g = groups(large[0], scope, "pg", "n_pred"), groups(large[1], ["image_id"], "gg", "n_gold")
+    edges = spread(overlap_pairs(p, g, at_least, class_aware, hot, own)).drop("pi", "gi")
+    rest = match_groups(edges, copies(large[0], scope, "pg", "pi", carry), copies(large[1], ["image_id"], "gg", "gi"), keys, scope)
+    return done.unionByName(rest.select(*done.columns))
 
 
 def match_boxes(
@@ -119,20 +111,18 @@ def match_boxes(
     With ``class_aware`` only pairs of one class compete. Otherwise classes are ignored here and
     graded by the caller.
     """
-    hot = hot_images.find(pred, hot_limit, gold)
-    return _match(overlap_pairs(pred, gold, at_least, class_aware, hot), hot)
+    return _match(pred, gold, hot_images.find(pred, hot_limit, gold), at_least, class_aware)
 
 
 def match_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5, hot_limit: int = MATCH_HOT) -> DataFrame:
-    """Matches per score cut ``tau``: the assignment is redone among predictions with score >= tau.
-
-    Overlaps are computed once; a pair is then repeated for every cut its prediction reaches.
-    """
+    """Matches per score cut ``tau``: the assignment is redone among predictions with score >= tau."""
     hot = hot_images.find(pred, hot_limit, gold)
-    pairs = overlap_pairs(pred, gold, at_least, False, hot, extra=[F.col("a.score").alias("score")])
     steps = F.array(*[F.lit(float(t)) for t in cuts])
     reached = F.explode(F.filter(steps, lambda t: t <= F.col("score")))
-    return _match(pairs.withColumn("tau", reached).drop("score"), hot, ("tau", "image_id"))
+    if hot is None:  # overlaps once; a pair is then repeated for every cut its prediction reaches
+        pairs = overlap_pairs(pred, gold, at_least, False, None, [F.col("a.score").alias("score")])
+        return assign(pairs.withColumn("tau", reached).drop("score"), ("tau", "image_id"))
+    return _match(pred.withColumn("tau", reached), gold, hot, at_least, False, ("tau", "image_id"))
 
 
 def match_at_limits(pred: DataFrame, gold: DataFrame, limits, hot_limit: int = MATCH_HOT) -> DataFrame:
@@ -141,7 +131,4 @@ def match_at_limits(pred: DataFrame, gold: DataFrame, limits, hot_limit: int = M
     Overlaps are computed once; a pair is then repeated for every limit it reaches.
     """
     hot = hot_images.find(pred, hot_limit, gold)
-    pairs = overlap_pairs(pred, gold, min(limits), True, hot, extra=[F.col("a.score").alias("score")])
-    steps = F.array(*[F.lit(float(x)) for x in limits])
-    reached = F.explode(F.filter(steps, lambda x: x <= F.col("iou")))
-    return _match(pairs.withColumn("iou_limit", reached), hot, ("iou_limit", "image_id"))
+    return _match(pred, gold, hot, min(limits), True, ("iou_limit", "image_id"), ("score",), limits)

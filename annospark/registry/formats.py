@@ -252,7 +252,7 @@ def expand_split(t):
     files = _files(t)
     roots = t.spark.createDataFrame([(f"/data/{n}", "images/train") for n in NAMES] + [("/data/Bees", "list.txt")], "root string, entry string")
     lines = files.where(F.startswith("path", F.lit("/data/Bees/"))).select(
-        F.lit("/data/Bees/list.txt").alias("path"), F.concat(F.lit("./"), F.regexp_extract("path", r"/([0-9]+)\.", 1), F.lit(".jpg ")).alias("line")
+        F.regexp_replace("path", "/images/.*$", "/list.txt").alias("path"), F.concat(F.lit("./"), F.regexp_extract("path", r"/([0-9]+)\.", 1), F.lit(".jpg ")).alias("line")
     )
     return catalog.expand_split(roots, files, lines).select("path", "entry")
 

@@ -38,8 +38,11 @@ def _entry(text: Column, name: str) -> Column:
     return F.when(clean != "", clean)
 
 
-def class_names(yamls: DataFrame) -> DataFrame:
-    """``(path, cls, name)`` from the ``names`` entry, as an inline list or as a block of ``id: name``."""
+def class_names(yamls: DataFrame, use_count: bool = False) -> DataFrame:
+    """``(path, cls, name)`` from the ``names`` entry, as an inline list or as a block of ``id: name``.
+
+    With ``use_count`` a description without names but with a class count ``nc`` names classes by number.
+    """
     clean = lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", "")
     inline = F.regexp_extract("text", r"(?ms)^\s*names:\s*\[(.*?)\]", 1)
     listed = F.filter(F.transform(F.split(inline, ","), clean), lambda x: x != "")
@@ -52,7 +55,13 @@ def class_names(yamls: DataFrame) -> DataFrame:
     order = Window.partitionBy("path").orderBy("id")
     numbered = rows_block.select("path", F.col("p.i").cast("int").alias("id"), clean(F.col("p.n")).alias("name"))
     numbered = numbered.select("path", (F.row_number().over(order) - 1).alias("cls"), "name")
-    return rows_inline.unionByName(numbered)
+    found = rows_inline.unionByName(numbered)
+    if not use_count:
+        return found
+    count = _entry(F.col("text"), "nc").try_cast("int")
+    unnamed = yamls.join(found.select("path").distinct(), "path", "left_anti").where(count > 0)
+    by_number = unnamed.select("path", F.explode(F.sequence(F.lit(0), count - 1)).alias("cls"))
+    return found.unionByName(by_number.withColumn("name", F.col("cls").cast("string")))
 
 
 def image_folders(files: DataFrame, wide: bool = True) -> DataFrame:

@@ -151,6 +151,9 @@ def test_yaml_names(spark):
     for r in names.orderBy("path", "cls").collect():
         got.setdefault(r["path"], []).append(r["name"])
     assert got == {"a": ["car", "bus", "van"], "b": ["x", "y", "z"], "d": ["one"]}
+    counted = catalog.class_names(spark.createDataFrame(rows, "path string, text string"), use_count=True)
+    assert sorted(r["name"] for r in counted.where("path = 'c'").collect()) == ["0", "1"]
+    assert counted.count() == names.count() + 2
 
 
 def test_catalog_and_presets(spark):

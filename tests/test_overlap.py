@@ -150,6 +150,26 @@ def test_match_equals_plain_rule(make_boxes, limit):
     assert {(r["pi"], r["gi"]) for r in got.collect()} == expected
 
 
+def test_many_copies_on_both_sides(make_boxes):
+    """Copies pair up from the last position down; groups, not copies, are paired."""
+    pred = make_boxes([(0, 0, 10, 10)] * 300 + [(0, 0, 10, 9)] * 50)
+    gold = make_boxes([(0, 0, 10, 10)] * 280 + [(50, 50, 60, 60)] * 5)
+    got = {(r["pi"], r["gi"]) for r in matching.match_boxes(pred, gold, 0.5, hot_limit=10).collect()}
+    assert got == {(299 - k, 279 - k) for k in range(280)}
+
+
+@pytest.mark.parametrize("class_aware", [False, True])
+def test_cuts_and_limits_in_large_images(make_boxes, class_aware):
+    pred = make_boxes(crowd(21, 40)).withColumn("score", F.col("p_good"))
+    gold = make_boxes(crowd(22, 40))
+    if class_aware:
+        both = [matching.match_at_limits(pred, gold, (0.1, 0.3), hot_limit=n) for n in (10**9, 5)]
+    else:
+        both = [matching.match_at_cuts(pred, gold, (0.1, 0.6), 0.1, hot_limit=n) for n in (10**9, 5)]
+    a, b = (sorted(tuple(r) for r in df.select(*sorted(both[0].columns)).collect()) for df in both)
+    assert a and a == b
+
+
 def test_match_ties_fall_to_later_positions(make_boxes):
     pred = make_boxes([(0, 0, 10, 10), (0, 0, 10, 10)])
     gold = make_boxes([(0, 0, 10, 10), (0, 0, 10, 10), (0, 0, 10, 10)])
