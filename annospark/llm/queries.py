@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annospark.llm import exact_dedup, mixing, sharding
+from annospark.llm import exact_dedup, line_dedup, mixing, near_dedup, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def as_files(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("stem"), "text")
 
 
+def op2_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = as_files(table(spark, sf_dir, "documents"))
+    kept = line_dedup.LineIndex.of(files, min_files=10, min_chars=1).drop_common(files)
+    return kept.select(F.col("stem").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.histogram_shards(as_files(table(spark, sf_dir, "documents")), n_shards=16)
     return placed.withColumnRenamed("stem", "doc_id")
@@ -42,11 +48,30 @@ def op7_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"stem": "doc_id", "keep_stem": "keep_id"})
 
 
-QUERIES = {f.__name__: f for f in (op3_histogram_shards, op4_fair_mix, op7_exact_copies)}
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = near_dedup.Likeness(words=3, percent=85)
+    found = near_dedup.near_copies(as_files(table(spark, sf_dir, "documents")), rule)
+    return found.withColumnsRenamed({"stem": "doc_id", "component_stem": "component_id"})
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_common_lines, op3_histogram_shards, op4_fair_mix, op7_exact_copies, op10_near_copies)
+}
 
 BLANK = r"[\x20\x09-\x0D]+"
 
 ORACLES = {
+    "op2_common_lines": """
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM s),
+k AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM p),
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, c.key IS NOT NULL AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
     "op7_exact_copies": rf"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '{BLANK}', '', 'g') AS body FROM documents),
 w AS (SELECT body, count(*) AS group_size, first(doc_id ORDER BY n_chars DESC, doc_id) AS keep_id FROM n GROUP BY body)
