@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annospark.llm import exact_dedup, line_dedup, mixing, near_dedup, sharding
+from annospark.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, page_text, secret_scan, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def as_files(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("stem"), "text")
 
 
+def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.contaminated(as_files(docs), items)
+    return found.select(F.col("stem").alias("doc_id"), "item_id", "coverage", "n_windows", "consistency", "verbatim")
+
+
 def op2_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = as_files(table(spark, sf_dir, "documents"))
     kept = line_dedup.LineIndex.of(files, min_files=10, min_chars=1).drop_common(files)
@@ -43,11 +49,52 @@ def repeating_weights(files: DataFrame, weights, dataset: str = "dataset") -> di
     return {n: weights[i % len(weights)] for i, n in enumerate(names)}
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Whether a document's labels are kept from every fit."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def toxic_grammar(spark: SparkSession, sf_dir: str, docs: DataFrame):
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select(F.col("doc_id").alias("stem"), "toxic")
+    return toxicity.fit_grammar(as_files(docs), labels)
+
+
+def op5_toxic_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_files(as_files(docs), toxic_grammar(spark, sf_dir, docs), cut=0.7)
+    return scored.select(F.col("stem").alias("doc_id"), held_out("stem").alias("held_out"), "score", "predicted")
+
+
+def op6_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_copies(as_files(table(spark, sf_dir, "documents")))
     return found.withColumnsRenamed({"stem": "doc_id", "keep_stem": "keep_id"})
 
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_piece_counts(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES) -> DataFrame:
+    pieces = token_counts.read_pieces(vocabulary)
+    return token_counts.count_tokens(as_files(table(spark, sf_dir, "documents")), pieces).withColumnRenamed("stem", "doc_id")
+
+
+def op9_novel_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(as_files(table(spark, sf_dir, "documents")))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select(
+        F.col("stem").alias("doc_id"),
+        *[count(kind) for kind in ("assign", "access", "hex")],
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written("spans").alias("spans"),
+    )
+
+
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = near_dedup.Likeness(words=3, percent=85)
     found = near_dedup.near_copies(as_files(table(spark, sf_dir, "documents")), rule)
@@ -56,7 +103,18 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_common_lines, op3_histogram_shards, op4_fair_mix, op7_exact_copies, op10_near_copies)
+    for f in (
+        op1_template_leaks,
+        op2_common_lines,
+        op3_histogram_shards,
+        op4_fair_mix,
+        op5_toxic_clauses,
+        op6_page_wrappers,
+        op7_exact_copies,
+        op8_piece_counts,
+        op9_novel_secrets,
+        op10_near_copies,
+    )
 }
 
 BLANK = r"[\x20\x09-\x0D]+"
