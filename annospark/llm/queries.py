@@ -83,7 +83,11 @@ def op8_piece_counts(spark: SparkSession, sf_dir: str, vocabulary: str = PIECES)
 
 
 def op9_novel_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_secrets(as_files(table(spark, sf_dir, "documents")))
+    return secret_columns(secret_scan.scan_secrets(as_files(table(spark, sf_dir, "documents"))))
+
+
+def secret_columns(found: DataFrame) -> DataFrame:
+    """Counts and digests of the spans that a scan reports."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] != "novel")

@@ -27,7 +27,7 @@ def fit_grammar(files: DataFrame, labels: DataFrame, stem: str = "stem", text: s
     chosen = files.select(F.col(stem).alias("__stem"), text_of(text).alias("text")).join(F.broadcast(marks), "__stem")
     chosen = chosen.groupBy("text").agg(F.max("__toxic").alias("toxic"))  # copies teach once
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, pdf):
         pdf = pdf.sort_values("text")
         model = fitted(list(pdf["text"]), [int(y > 0) for y in pdf["toxic"]])
         return pd.DataFrame({"model": [json.dumps([model.words, model.stems, model.weights, model.bias])]})
