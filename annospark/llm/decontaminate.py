@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from annospark.llm.tables import text_of
-from annospark.llm.templates import TemplateWindows, canonical
+from annospark.llm.templates import TemplateWindows
 from annospark.session import cut_lineage
 
 WINDOW = 8  # template words
@@ -26,7 +26,7 @@ def _windows(size: int, wanted, keep: tuple[str, ...]):
         for batch in batches:
             owner, hashes, places, totals, slots = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                words, values = canonical(text)
+                words, values = maker.of(text)
                 found = maker.hashed(words)
                 if screen is None:
                     at = range(len(found))

@@ -24,7 +24,7 @@ class WordHashes(dict):
 
     LIMIT = 500_000
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)

@@ -5,9 +5,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import xxhash
 
-from annospark.llm.superminhash import STEP, mixed
+from annospark.llm.superminhash import STEP, WordHashes, mixed
 
 # Unit words, in the languages of the built-in texts.
 UNITS = frozenset(
@@ -21,33 +20,63 @@ EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 
 
-def canonical(text: str) -> tuple[list[str], list[str]]:
-    """The template words of a text and, for each, the value that a placeholder stands for ("" for a literal word).
+LITERAL, NUMBER_LIKE, UNIT_LIKE, CAPITAL = range(4)
+
+
+class Tokens(dict):
+    """What a token may be, remembered while a task works: ``(word, class, ends a sentence, ends one or a heading)``."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, token: str) -> tuple[str, int, bool, bool]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        bare = EDGE.sub("", token)
+        low = bare.lower()
+        if not bare:
+            kind = LITERAL
+        elif NUMBER.match(bare):
+            kind = NUMBER_LIKE
+        elif low in UNITS:
+            kind = UNIT_LIKE
+        else:
+            kind = CAPITAL if bare[0].isupper() else LITERAL
+        found = self[token] = (low, kind, token[-1] in ".!?", token[-1] in ".!?:")
+        return found
+
+
+def canonical(text: str, known: Tokens | None = None) -> tuple[list[str], dict[int, str]]:
+    """The template words of a text, and the values that its placeholders stand for by position.
 
     Digits make a number, a unit word after a number a unit, and a capitalised word that does not begin a
     sentence a name. Everything else is the lower-cased word without punctuation at its ends.
     """
-    words, values = [], []
-    begins = True
+    known = Tokens() if known is None else known
+    words: list[str] = []
+    values: dict[int, str] = {}
     for line in text.split("\n"):
         begins = True
         for token in line.split():
-            bare = EDGE.sub("", token)
-            if not bare:
-                begins = begins or token[-1] in ".!?"
+            low, kind, stops, ends = known[token]
+            if not low:
+                begins = begins or stops
                 continue
-            low = bare.lower()
-            if NUMBER.match(bare):
-                kind, value = NUM, low
-            elif low in UNITS and words and words[-1] == NUM:
-                kind, value = UNIT, low
-            elif bare[0].isupper() and not begins:
-                kind, value = NAME, low
+            if kind:
+                name = None
+                if kind == NUMBER_LIKE:
+                    name = NUM
+                elif kind == UNIT_LIKE and words and words[-1] == NUM:
+                    name = UNIT
+                elif not begins and (kind == CAPITAL or token != token.lower()):
+                    name = NAME
+                if name:
+                    values[len(words)] = low
+                    words.append(name)
+                else:
+                    words.append(low)
             else:
-                kind, value = low, ""
-            words.append(kind)
-            values.append(value)
-            begins = token[-1] in ".!?:"
+                words.append(low)
+            begins = ends
     return words, values
 
 
@@ -56,31 +85,25 @@ class TemplateWindows:
 
     def __init__(self, size: int):
         self.size = size
-        self.known: dict[str, int] = {}
+        self.tokens, self.words = Tokens(), WordHashes()
+
+    def of(self, text: str) -> tuple[list[str], dict[int, str]]:
+        return canonical(text, self.tokens)
 
     def hashed(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        each = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            each[i] = h
         size = min(self.size, len(words))
         if not size:
             return np.empty(0, np.int64)
+        each = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
         acc = np.full(len(words) - size + 1, size, np.uint64)
         for k in range(size):
             acc = mixed((acc + STEP) ^ each[k : len(words) - size + 1 + k])
         return acc.view(np.int64)
 
-    def slots(self, words: list[str], values: list[str], at: int) -> list[str]:
+    def slots(self, words: list[str], values: dict[int, str], at: int) -> list[str]:
         """The placeholders of the window at ``at``, each with its value."""
-        end = min(len(words), at + self.size)
-        return [f"{words[i]}{values[i]}" for i in range(at, end) if values[i]]
+        return [f"{words[i]}{values[i]}" for i in range(at, min(len(words), at + self.size)) if i in values]
 
-    def plain(self, values: list[str], at: int) -> int:
+    def plain(self, values: dict[int, str], at: int) -> int:
         """How many literal words the window has."""
-        return sum(not v for v in values[at : at + self.size])
+        return self.size - sum(i in values for i in range(at, at + self.size))
