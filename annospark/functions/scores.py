@@ -9,6 +9,11 @@ BAND_LOW, BAND_HIGH = 0.35, 0.65
 CROP_GOOD_ABOVE, CROP_NOISE_BELOW = 0.7, 0.5
 
 
+def usable(score: Column) -> Column:
+    """Whether a score takes part in fits and selections: not null, and not NaN, which sorts above all numbers."""
+    return score.isNotNull() & ~F.isnan(score)
+
+
 def band(score: Column, low: float = BAND_LOW, high: float = BAND_HIGH) -> Column:
     return F.when(score >= high, "green").when(score >= low, "amber").otherwise("red")
 

@@ -10,14 +10,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from annospark.functions.scores import bin_of, half_even, selection_score
+from annospark.functions.scores import bin_of, half_even, selection_score, usable
+from annospark.operators import hot_images
 from annospark.operators.density import k_star, target_total
-from annospark.operators.order_stats import kth_largest
+from annospark.operators.order_stats import kth_largest, numbered
 
 # Defaults of the acceptance policies.
 SCORE_FLOOR, FIXED_CUT, MIN_TOPK, MAX_TOPK, OTSU_BINS = 0.05, 0.5, 1, 100, 64
 COLLECTION_LEVELS = (0.02, 0.01, 0.005, 0.002, 0.001, 0.0005)
 
+GROUP_LIMIT = 1_000  # the largest bound that Spark applies to each task's rows before the shuffle
+
 
 @dataclass(frozen=True)
 class Seed:
@@ -52,18 +55,23 @@ def with_score(candidates: DataFrame, kind: str = "validator") -> DataFrame:
 
 
 def at_least(candidates: DataFrame, tau: float) -> DataFrame:
-    """Everything at or above a cut; ties at the cut are all kept."""
-    return candidates.where(F.col("score") >= tau)
+    """Everything at or above a cut; ties at the cut are all kept, rows without a usable score never."""
+    return candidates.where(usable(F.col("score")) & (F.col("score") >= tau))
 
 
-def ranked(candidates: DataFrame, bound: int, name: str = "place") -> DataFrame:
+def ranked(candidates: DataFrame, bound: int, name: str = "place", score: str = "score") -> DataFrame:
     """The ``bound`` best of each image with their place.
 
     The bound is a literal, so every map task drops all but ``bound`` rows per image before the
-    shuffle: an image with very many candidates does not reach a single task.
+    shuffle: an image with very many candidates does not reach a single task. For a bound above
+    ``GROUP_LIMIT`` no such limit exists; images with more rows than that are then numbered across tasks.
     """
-    order = Window.partitionBy("image_id").orderBy(F.desc("score"), F.asc("box_ord"))
-    return candidates.withColumn(name, F.row_number().over(order)).where(F.col(name) <= int(bound))
+    scored, order = candidates.where(usable(F.col(score))), [F.desc(score), F.asc("box_ord")]
+    if bound <= GROUP_LIMIT:
+        place = F.row_number().over(Window.partitionBy("image_id").orderBy(*order))
+        return scored.withColumn(name, place).where(F.col(name) <= int(bound))
+    placed = numbered(scored, order, name, hot_images.crowded(scored, GROUP_LIMIT))
+    return placed.withColumn(name, (F.col(name) + 1).cast("int")).where(F.col(name) <= int(bound))
 
 
 def top_k(candidates: DataFrame, seed: Seed, low=MIN_TOPK, high=MAX_TOPK, floor=SCORE_FLOOR):
@@ -74,8 +82,9 @@ def top_k(candidates: DataFrame, seed: Seed, low=MIN_TOPK, high=MAX_TOPK, floor=
 
 
 def score_mass(candidates: DataFrame) -> DataFrame:
-    """Expected objects per image: the sum of its non-negative scores."""
-    return candidates.groupBy("image_id").agg(F.sum(F.greatest(F.lit(0.0), "score")).alias("mass"))
+    """Expected objects per image: the sum of its non-negative scores; an unusable score counts as zero."""
+    mass = F.when(usable(F.col("score")), F.greatest(F.lit(0.0), "score")).otherwise(0.0)
+    return candidates.groupBy("image_id").agg(F.sum(mass).alias("mass"))
 
 
 def image_budgets(candidates: DataFrame, seed_mean: float, low=MIN_TOPK, high=MAX_TOPK) -> DataFrame:
@@ -102,7 +111,7 @@ def adaptive_k(candidates: DataFrame, seed: Seed, low=MIN_TOPK, high=MAX_TOPK, f
 
 def global_tau(candidates: DataFrame, seed: Seed, floor=SCORE_FLOOR):
     """One cut so that about ``seed mean x images with candidates`` boxes are accepted."""
-    n, images = candidates.agg(F.count("*"), F.countDistinct("image_id")).first()
+    n, images = candidates.agg(F.count(F.when(usable(F.col("score")), 1)), F.countDistinct("image_id")).first()
     target = target_total(seed.mean, images)
     if target <= 0 or n == 0:
         tau = 1.0
@@ -117,7 +126,7 @@ def global_tau(candidates: DataFrame, seed: Seed, floor=SCORE_FLOOR):
 
 def otsu_curve(candidates: DataFrame, bins: int = OTSU_BINS) -> DataFrame:
     """Variance between the classes below and above every bin edge, one row per usable bin."""
-    scores = candidates.select("score").where(F.col("score").isNotNull() & ~F.isnan("score"))
+    scores = candidates.select("score").where(usable(F.col("score")))
     counted = scores.groupBy(bin_of(F.col("score"), bins).alias("bin")).agg(F.count("*").alias("n"))
     weight = F.col("n") * ((F.col("bin") + 0.5) / bins)
     upto, whole = Window.orderBy("bin"), Window.partitionBy()  # at most ``bins`` rows
@@ -148,7 +157,7 @@ def otsu(candidates: DataFrame, floor=SCORE_FLOOR, bins: int = OTSU_BINS):
 
 def rate(candidates: DataFrame, share: float = 0.5, floor=SCORE_FLOOR):
     """Accept the best ``share`` of all candidates."""
-    share, n = min(1.0, max(0.0, float(share))), candidates.count()
+    share, n = min(1.0, max(0.0, float(share))), candidates.where(usable(F.col("score"))).count()
     if n == 0 or share <= 0:
         tau = 1.0
     else:
@@ -164,22 +173,22 @@ def manual(candidates: DataFrame, human_images: DataFrame, column: str, tau: flo
     """The confidence slider: a cut on one raw score, on images no human owns."""
     if column not in ("p_good", "det_conf"):
         raise ValueError(f"unknown score column: {column}")
-    return candidates.where(F.col(column) >= tau).join(human_images, "image_id", "left_anti")
+    return candidates.where(usable(F.col(column)) & (F.col(column) >= tau)).join(human_images, "image_id", "left_anti")
 
 
 def fold_gate(accepted: DataFrame, drop_share: float) -> DataFrame:
     """Drop the lowest share by ``p_good``: keep values at or above the one at index int(share * n)."""
-    n = accepted.count()
+    good = usable(F.col("p_good"))
+    n = accepted.where(good).count()
     if n == 0 or not 0.0 < drop_share < 1.0:
         return accepted
     index = min(int(drop_share * n), n - 1)
-    return accepted.where(F.col("p_good") >= kth_largest(accepted, "p_good", n - index))
+    return accepted.where(good & (F.col("p_good") >= kth_largest(accepted, "p_good", n - index)))
 
 
 def cap_per_image(candidates: DataFrame, n: int = 100) -> DataFrame:
     """The ``n`` most confident detections of each image."""
-    order = Window.partitionBy("image_id").orderBy(F.desc("det_conf"), F.asc("box_ord"))
-    return candidates.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= n).drop("__rank")
+    return ranked(candidates, n, "__rank", "det_conf").drop("__rank")
 
 
 def adaptive_collection(candidates: DataFrame, first_level: float = 0.05, levels=COLLECTION_LEVELS) -> DataFrame:
@@ -187,6 +196,7 @@ def adaptive_collection(candidates: DataFrame, first_level: float = 0.05, levels
 
     The candidates are scored once at the lowest level; an image's level follows from its best score.
     """
+    candidates = candidates.where(usable(F.col("det_conf")))
     best = candidates.groupBy("image_id").agg(F.max("det_conf").alias("best"))
     order = dict.fromkeys([first_level, *levels])
     level = F.coalesce(*[F.when(F.col("best") >= value, F.lit(float(value))) for value in order])

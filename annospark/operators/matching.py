@@ -72,29 +72,23 @@ def assign(pairs: DataFrame, keys=("image_id",)) -> DataFrame:
     )
 
 
-def _match(pred, gold, hot, at_least, class_aware, keys=("image_id",), carry=(), limits=None) -> DataFrame:
+def _match(pred, gold, hot, at_least, class_aware, keys=("image_id",), carry=()) -> DataFrame:
     """Matches inside ``keys``: an array fold for ordinary images, matching of copies for those in ``hot``.
 
-    ``keys`` may name a column of ``pred`` besides the image, or ``iou_limit`` with ``limits``.
+    ``keys`` may name a column of ``pred`` besides the image.
     """
-    scope = [k for k in keys if k != "iou_limit"]
+    scope = list(keys)
     own = [F.col(f"a.{c}").alias(c) for c in (*[k for k in scope if k != "image_id"], *carry)]
 
-    def spread(pairs: DataFrame) -> DataFrame:
-        if limits is None:
-            return pairs
-        steps = F.array(*[F.lit(float(x)) for x in limits])
-        return pairs.withColumn("iou_limit", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))
-
     if hot is None:
-        return assign(spread(overlap_pairs(pred, gold, at_least, class_aware, None, own)), keys)
+        return assign(overlap_pairs(pred, gold, at_least, class_aware, None, own), keys)
     small = [t.join(hot.select("image_id"), "image_id", "left_anti") for t in (pred, gold)]
     large = [t.join(hot.select("image_id"), "image_id", "left_semi") for t in (pred, gold)]
-    done = assign(spread(overlap_pairs(*small, at_least, class_aware, None, own)), keys)
+    done = assign(overlap_pairs(*small, at_least, class_aware, None, own), keys)
     own = [F.col(f"a.{c}").alias(c) for c in scope if c != "image_id"]
     own += [F.col("a.pg").alias("pg"), F.col("a.n_pred").alias("n_pred"), F.col("b.gg").alias("gg"), F.col("b.n_gold").alias("n_gold")]
     p, g = groups(large[0], scope, "pg", "n_pred"), groups(large[1], ["image_id"], "gg", "n_gold")
-    edges = spread(overlap_pairs(p, g, at_least, class_aware, hot, own)).drop("pi", "gi")
+    edges = overlap_pairs(p, g, at_least, class_aware, hot, own).drop("pi", "gi")
     rest = match_groups(edges, copies(large[0], scope, "pg", "pi", carry), copies(large[1], ["image_id"], "gg", "gi"), keys, scope)
     return done.unionByName(rest.select(*done.columns))
 
@@ -128,7 +122,10 @@ def match_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5,
 def match_at_limits(pred: DataFrame, gold: DataFrame, limits, hot_limit: int = MATCH_HOT) -> DataFrame:
     """Class-aware matches with their ``score`` per overlap limit ``iou_limit``.
 
-    Overlaps are computed once; a pair is then repeated for every limit it reaches.
+    Pairs are taken by falling overlap, so what is matched at a limit is what the lowest limit matches with at
+    least that overlap: one assignment serves all limits.
     """
     hot = hot_images.find(pred, hot_limit, gold)
-    return _match(pred, gold, hot, min(limits), True, ("iou_limit", "image_id"), ("score",), limits)
+    matched = _match(pred, gold, hot, min(limits), True, carry=("score",))
+    steps = F.array(*[F.lit(float(x)) for x in limits])
+    return matched.withColumn("iou_limit", F.explode(F.filter(steps, lambda x: x <= F.col("iou"))))

@@ -70,9 +70,14 @@ def running(df: DataFrame, order, totals: dict, keys=(), largest: bool = False)
     ranged = cut_lineage(ranged)
     held = ranged.groupBy("__part", *keys).agg(*[total(f"__v_{n}").alias(f"__t_{n}") for n in totals])
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = held.select("__part", *keys, *[total(f"__t_{n}").over(earlier).alias(f"__b_{n}") for n in totals])
+    own = [F.col(k).alias(f"__k_{i}") for i, k in enumerate(keys)]
+    sums = [total(f"__t_{n}").over(earlier).alias(f"__b_{n}") for n in totals]
+    before = held.select(F.col("__part").alias("__at"), *own, *sums)
     inside = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.withColumns({n: total(f"__v_{n}").over(inside) for n in totals}).join(before, ["__part", *keys])
+    same = F.col("__part") == F.col("__at")  # null is a key like any other
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{i}"))
+    out = ranged.withColumns({n: total(f"__v_{n}").over(inside) for n in totals}).join(before, same)
     joined = F.greatest if largest else (lambda x, y: x + F.coalesce(y, F.lit(0)))
     out = out.withColumns({n: joined(F.col(n), F.col(f"__b_{n}")) for n in totals})
     return out.select(*df.columns, *totals)
@@ -92,6 +97,8 @@ def numbered(rows: DataFrame, order, name: str, hot: DataFrame | None, key: str
     window = (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long")
     if hot is None:
         return rows.withColumn(name, window)
-    small = rows.join(hot, key, "left_anti").withColumn(name, window)
-    large = running(rows.join(hot, key, "left_semi"), order, {name: F.lit(1).cast("long")}, [key])
+    hot = hot.select(F.col(key).alias("__hot"))
+    same = F.col(key).eqNullSafe(F.col("__hot"))
+    small = rows.join(hot, same, "left_anti").withColumn(name, window)
+    large = running(rows.join(hot, same, "left_semi"), order, {name: F.lit(1).cast("long")}, [key])
     return small.unionByName(large.withColumn(name, F.col(name) - 1))

@@ -24,6 +24,8 @@ from annospark.operators import hot_images
 from annospark.operators.hot_images import BLOCK, HOT_IMAGE
 from annospark.session import cut_lineage
 
+LEAST_OVER = 0.05  # the smallest overlap limit of any suppression
+
 STATE = "array<struct<rank:double,box_ord:bigint,x1:double,y1:double,x2:double,y2:double,area:double>>"
 
 
@@ -120,6 +122,8 @@ def greedy(
     block: int = BLOCK,
 ) -> DataFrame:
     """Boxes that survive greedy suppression in ascending ``(rank, box_ord)`` order."""
+    if over < LEAST_OVER:
+        raise ValueError(f"an overlap limit below {LEAST_OVER}")
     lean = _lean(boxes, rank)
     hot = hot_images.find(boxes, hot_limit)
     contested = _contested(lean, hot, over, use_containment)
@@ -144,9 +148,10 @@ class Suppression:
     """
 
     def __init__(self, over: float, use_containment: bool):
-        if over < 0.4:
-            raise ValueError("the grid lookup needs an overlap limit of at least 0.4")
         self.over, self.use_containment = over, use_containment
+        # two boxes that overlap by ``over`` share that part of each side, so the centre of one lies at most
+        # this part of the other's side outside of it
+        self.widen = max(0.25, 0.5 / over - 1)
 
     def losers_in_blocks(self, boxes: DataFrame, hot: DataFrame, block: int) -> DataFrame:
         kept = boxes.limit(0)
@@ -185,11 +190,11 @@ class Suppression:
     def _against(self, waiting, kept, hot, how, extra=None):
         """Waiting boxes with (semi) or without (anti) a kept box that blocks them.
 
-        A box is looked up by the cell of its centre: a blocking box, widened by a quarter of its
-        size, always covers that cell.
+        A box is looked up by the cell of its centre: a blocking box, widened as the overlap limit asks,
+        always covers that cell.
         """
         w = hot_images.centre_cell(waiting, hot).alias("w")
-        k = hot_images.cells(kept, hot, widen=0.25).alias("k")
+        k = hot_images.cells(kept, hot, widen=self.widen).alias("k")
         same = (F.col("w.image_id") == F.col("k.image_id")) & (F.col("w.__cell") == F.col("k.__cell"))
         hit = blocks(_row("k"), _row("w"), self.over, self.use_containment)
         condition = same & touches(box("w"), box("k")) & hit

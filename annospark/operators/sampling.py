@@ -118,7 +118,8 @@ def stratified_split(rows: DataFrame, key: str, label: str, share: float = 0.2,
     counts = counts.withColumn("__k", F.least(F.greatest(F.lit(1), wanted), n - 1)).drop("__n")
     placed = running(marked, ["__h", key], {"__place": F.lit(1).cast("long")}, [label])
     split = F.when(F.col("__place") <= F.col("__k"), "val").otherwise("train")
-    out = placed.join(counts, label).withColumn("split", split).drop("__k", "__place", "__h")
+    counts = counts.withColumnRenamed(label, "__label")  # a null label is a class like any other
+    out = placed.join(counts, F.col(label).eqNullSafe(F.col("__label"))).withColumn("split", split).drop("__k", "__place", "__h", "__label")
     if out.where(F.col("split") == "val").limit(1).count():
         return out
     moved = first_by_hash(rows, 1, seed, key).select(key, F.lit(True).alias("__moved"))

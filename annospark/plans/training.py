@@ -13,13 +13,16 @@ from annospark.plans.automate import automate_all
 from annospark.session import shared_dir
 
 
-def fabricate_training_set(gold: DataFrame, rule: ng.Rule, seed: int = 42) -> DataFrame:
+MOST_ROUNDS = 10
+
+
+def fabricate_training_set(gold: DataFrame, rule: ng.Rule, seed: int = 42, jitter: bool = True) -> DataFrame:
     """Good, empty and displaced crops per image: ``(image_id, kind, crop_ord, y, x1, y1, x2, y2)``.
 
-    ``gold`` has pixel corners with image sizes. Positives are jittered by ``rule.good_crop_jitter``; the
-    number of negatives follows the positives of the same image.
+    ``gold`` has pixel corners with image sizes. Positives are jittered by ``rule.good_crop_jitter`` unless
+    ``jitter`` is off; the number of negatives follows the positives of the same image.
     """
-    good = ng.good_boxes(ng.jitter_boxes(gold, rule.good_crop_jitter, seed))
+    good = ng.good_boxes(ng.jitter_boxes(gold, rule.good_crop_jitter, seed) if jitter else gold)
     wanted = ng.negative_counts(good, rule)
     empty = ng.fabricate_empty(gold, wanted, rule, seed)
     deviated = ng.fabricate_deviated(gold, wanted, rule, seed)
@@ -67,18 +70,20 @@ def self_training_cycle(
     method: str = "count_guided",
     fold_share: float | None = 0.4,
     include_ai: bool = True,
-    run: str | None = None,
+    output: str | None = None,
 ):
     """Rounds of: train, score all images, label all targets.
 
     ``train(boxes)`` gets pixel boxes (the human seed, from round two also accepted model boxes) and
     returns a model, ``score(model)`` returns raw candidates. The weakest ``fold_share`` is held back on
     all but the last round. Every round is written as a table of its own, so a round starts from files
-    and not from the plans of the rounds before. Returns the labels of the last round and a summary.
+    and not from the plans of the rounds before. ``output`` is the folder of these tables; without it they go
+    to the scratch folder of the session. Returns the labels of the last round and a summary.
     """
+    if not 1 <= rounds <= MOST_ROUNDS:
+        raise ValueError(f"between 1 and {MOST_ROUNDS} rounds, not {rounds}")
     spark = images.sparkSession
-    folder = f"{shared_dir(spark)}/{run or 'cycle-' + uuid.uuid4().hex}"
-    rounds = max(1, min(10, rounds))
+    folder = output or f"{shared_dir(spark)}/cycle-{uuid.uuid4().hex}"
     labels, summary = None, []
     n_targets = images.join(ownership, "image_id", "left_anti").count()
     for number in range(1, rounds + 1):

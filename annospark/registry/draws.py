@@ -1,6 +1,7 @@
 """Queries over seeds, splits, numbering and fabricated negatives."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -328,11 +329,25 @@ def fabricate_empty_refined(t):
 
 
 # -- training sets ------------------------------------------------------------------------------
-@register("fabricate_training_set")
+def _training_sql(source):
+    """All three kinds of crops; the steps of the background boxes get names of their own."""
+    clash = re.compile(r"\b(sized|placed|boxed|fitting|free)\b")
+    wanted = _wanted(source)
+    empties = [(clash.sub(r"e_\1", n), clash.sub(r"e_\1", body)) for n, body in _empty_sql(LIBRARY_REFINED, [])[len(GT) :]]
+    rows = f"""SELECT image_id, 'good' AS kind, box_ord AS crop_ord, 1::INT AS y, {R6} FROM good
+      UNION ALL SELECT image_id, 'empty', attempt, 0, {R6} FROM empties UNION ALL SELECT image_id, 'deviated', slot, 0, {R6} FROM deviated"""
+    return q.query(rows, *(JITTERED if source == "jittered" else []), *_deviated_sql(LIBRARY_REFINED, wanted), *empties)
+
+
+@register("fabricate_training_set", _training_sql("jittered"))
 def fabricate_training_set(t):
-    """Rows per kind; the three kinds are checked one by one in their own queries."""
-    crops = training.fabricate_training_set(t.gold_sized, LIBRARY_REFINED, SEED)
-    return crops.groupBy("kind", "y").agg(F.count("*").alias("n"))
+    return _r6(training.fabricate_training_set(t.gold_sized, LIBRARY_REFINED, SEED))
+
+
+@register("fabricate_training_set_plain", _training_sql("gold"))
+def fabricate_training_set_plain(t):
+    """The form without jitter on the positives."""
+    return _r6(training.fabricate_training_set(t.gold_sized, LIBRARY_REFINED, SEED, jitter=False))
 
 
 @register(

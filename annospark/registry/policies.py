@@ -72,6 +72,61 @@ def accept_topk(t):
     return ac.top_k(t.pool, t.seed)[0].select(*KEY)
 
 
+# scores as a broken model leaves them: every 7th candidate of the pool NaN, every 11th null
+BROKEN = "SELECT image_id, box_ord, CASE WHEN (image_id+box_ord) % 7 = 0 THEN 'NaN'::DOUBLE WHEN (image_id+box_ord) % 11 = 0 THEN NULL ELSE p_good END AS s FROM pool"
+SOUND = "SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY s DESC, box_ord) AS rk, row_number() OVER (ORDER BY s DESC) AS i, count(*) OVER () AS c FROM broken WHERE s IS NOT NULL AND NOT isnan(s)"
+
+
+def _broken(t):
+    place = F.col("image_id") + F.col("box_ord")
+    score = F.when(place % 7 == 0, F.lit(float("nan"))).when(place % 11 != 0, F.col("p_good"))
+    return t.pool.withColumns({"score": score, "p_good": score})
+
+
+def _sound(rows: str, *more):
+    return q.query(rows, ("broken", BROKEN), ("sound", SOUND), *more)
+
+
+@register("accept_threshold_nan", _sound("SELECT image_id, box_ord FROM sound WHERE s >= 0.5"))
+def accept_threshold_nan(t):
+    return ac.fixed(_broken(t), 0.5)[0].select(*KEY)
+
+
+@register(
+    "accept_topk_nan",
+    _sound("SELECT image_id, box_ord FROM sound WHERE s >= 0.05 AND rk <= (SELECT greatest(1, least(100, round_even(median_count, 0))) FROM seed)"),
+)
+def accept_topk_nan(t):
+    return ac.top_k(_broken(t), t.seed)[0].select(*KEY)
+
+
+@register("accept_topk_wide", q.query("SELECT image_id, box_ord, rk::INT AS place FROM ranked WHERE rk <= 1500", ("ranked", RANKED)))
+def accept_topk_wide(t):
+    """A bound beyond what the group limit covers."""
+    return ac.ranked(ac.at_least(t.pool, 0.05), 1500).select(*KEY, "place")
+
+
+@register("accept_rate_nan", _sound("SELECT image_id, box_ord FROM sound WHERE s >= greatest(0.05, (SELECT max(s) FROM sound WHERE i = greatest(1, round_even(0.5::DOUBLE*c, 0))))"))
+def accept_rate_nan(t):
+    return ac.rate(_broken(t), 0.5)[0].select(*KEY)
+
+
+@register(
+    "accept_global_tau_nan",
+    _sound(
+        """SELECT image_id, box_ord FROM sound WHERE s >= (SELECT CASE WHEN k >= c THEN 0.05 ELSE greatest(0.05, tau) END FROM (SELECT max(c) AS c,
+      max(k) AS k, max(s) FILTER (i = k) AS tau FROM sound, (SELECT round_even((SELECT mean_count FROM seed) * count(DISTINCT image_id), 0) AS k FROM broken)))"""
+    ),
+)
+def accept_global_tau_nan(t):
+    return ac.global_tau(_broken(t), t.seed)[0].select(*KEY)
+
+
+@register("fold_gate_nan", _sound("SELECT image_id, box_ord FROM sound WHERE s >= (SELECT min(s) FROM sound WHERE i <= c - floor(0.4::DOUBLE*c))"))
+def fold_gate_nan(t):
+    return ac.fold_gate(_broken(t), 0.4).select(*KEY)
+
+
 BUDGET = """SELECT image_id, greatest(1, least(100, round_even(round((SELECT mean_count FROM seed)
       * (r / (SELECT avg(r) FROM mass)), 9), 0))) AS k FROM mass"""
 MASS = "SELECT image_id, sum(greatest(p_good, 0)) AS r FROM pool GROUP BY image_id"

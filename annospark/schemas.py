@@ -41,6 +41,10 @@ EVENT = T.StructType(
     ]
 )
 
+# what a reader makes of a line that is no event
+CORRUPT = "_corrupt_record"
+EVENT_LINE = T.StructType([*EVENT.fields, T.StructField(CORRUPT, T.StringType())])
+
 # The closed vocabulary of annotator events.
 EVENT_TYPES = (
     "session_start",

@@ -26,14 +26,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ann
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session names none (tests, a laptop) a temporary folder is used instead.
+    A local session that names none (tests, a laptop) gets a temporary folder; any other is refused, since
+    each executor would write to a disk of its own.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    named = named or context.getCheckpointDir()
     if not named:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="annospark-")
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="annospark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named

@@ -24,15 +24,26 @@ def list_images(spark: SparkSession, folder: str, wide: bool = False) -> DataFra
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
-    """``(image_id, width, height, channels, data)``, decoded by Spark's image source (BGR rows)."""
-    i = spark.read.format("image").option("dropInvalid", "true").load(folder).select("image.*")
+    """``(image_id, width, height, channels, data, readable)``, decoded by Spark's image source (BGR rows).
+
+    Files with an image ending are read. One that cannot be decoded, as some formats cannot, keeps its row: ``readable`` is false, the rest null.
+    """
+    i = spark.read.format("image").option("dropInvalid", "false").load(folder).select("image.*")
+    i = i.where(ends_with_any(decoded(F.col("origin")), IMAGE_ENDINGS_WIDE, ignore_case=True))
+    ok = F.coalesce(F.col("width") > 0, F.lit(False))
+    shown = lambda column, name: F.when(ok, F.col(column)).alias(name)
     return i.select(
-        file_name(decoded(F.col("origin"))).alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data"
+        file_name(decoded(F.col("origin"))).alias("image_id"),
+        shown("width", "width"),
+        shown("height", "height"),
+        shown("nChannels", "channels"),
+        shown("data", "data"),
+        ok.alias("readable"),
     )
 
 
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return read_images(spark, folder).select("image_id", "width", "height")
+    return read_images(spark, folder).select("image_id", "width", "height", "readable")
 
 
 CROP_SCHEMA = "image_id string, box_id string, width int, height int, pixels binary"

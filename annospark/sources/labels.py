@@ -45,10 +45,10 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``(stem, line_no, line)`` of all label files below ``folder``; ``line_no`` only orders lines."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder)
     path = decoded(F.col("_metadata.file_path"))
-    in_table = F.regexp_extract(path, r"/stem=([^/]+)/", 1)  # files written by ``write_labels``
+    in_table = F.regexp_extract(path, r"/stem=([^/]+)/", 1)  # files written by ``write_labels``, escaped once more
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return raw.select(
-        F.when(in_table != "", in_table).otherwise(stem(path)).alias("stem"), at.alias("line_no"), F.col("value").alias("line")
+        F.when(in_table != "", decoded(in_table)).otherwise(stem(path)).alias("stem"), at.alias("line_no"), F.col("value").alias("line")
     )
 
 
@@ -70,7 +70,7 @@ def label_files(spark: SparkSession, folder: str) -> DataFrame:
     listed = spark.createDataFrame([(p,) for p in reader.text(folder).inputFiles()], "path string")
     path = decoded(F.col("path"))
     in_table = F.regexp_extract(path, r"/stem=([^/]+)/", 1)
-    return listed.select(F.when(in_table != "", in_table).otherwise(stem(path)).alias("stem")).distinct()
+    return listed.select(F.when(in_table != "", decoded(in_table)).otherwise(stem(path)).alias("stem")).distinct()
 
 
 def for_images(images: DataFrame, labels: DataFrame) -> DataFrame:
@@ -87,8 +87,11 @@ def read_ownership(spark: SparkSession, path: str, images: DataFrame, files: Dat
     """
     try:
         if layout == "lines":
-            listed = spark.read.schema("image_id string").json(path).where(F.col("image_id").isNotNull())
-            readable = True
+            lines = spark.read.text(path).where(F.trim("value") != "")
+            parsed = lines.select(F.from_json("value", "image_id string")["image_id"].alias("image_id"))
+            listed = parsed.where(F.col("image_id").isNotNull())
+            # no line at all says that nobody owns anything; lines of which none can be read say nothing
+            readable = listed.limit(1).count() > 0 or parsed.limit(1).count() == 0
         else:
             text = spark.read.text(path, wholetext=True)
             names = text.select(F.from_json("value", "array<string>").alias("names")).where(F.col("names").isNotNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annospark.schemas import EVENT, OVERLAY_DOCUMENT, OVERLAY_RECORD
+from annospark.schemas import CORRUPT, EVENT_LINE, OVERLAY_DOCUMENT, OVERLAY_RECORD
 
 LAYOUTS = ("document", "images", "boxes")
 
@@ -56,6 +56,6 @@ def overlay_image_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Annotator events from JSON lines; blank lines are skipped."""
-    rows = spark.read.schema(EVENT).json(path)
+    """Annotator events from JSON lines; blank lines are skipped, the text of malformed ones is kept."""
+    rows = spark.read.schema(EVENT_LINE).option("columnNameOfCorruptRecord", CORRUPT).json(path)
     return rows.withColumn("ts", F.timestamp_millis("ts_ms"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from annospark.schemas import EVENT, EVENT_TYPES
+from annospark.schemas import CORRUPT, EVENT_LINE, EVENT_TYPES
 
 ACCEPTS, REJECTS = ("box_accept",), ("box_reject", "box_delete")
 
@@ -18,16 +18,17 @@ BOX_ACTIONS = ("box_accept", "box_reject", "box_adjust", "class_change", "box_de
 
 def stream_events(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Events from JSON lines, one file per session, as they arrive."""
-    rows = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    reader = spark.readStream.schema(EVENT_LINE).option("columnNameOfCorruptRecord", CORRUPT)
+    rows = reader.option("maxFilesPerTrigger", files_per_batch).json(folder)
     return rows.withColumn("ts", F.timestamp_millis("ts_ms"))
 
 
 def valid(events: DataFrame) -> DataFrame:
-    return events.where(F.col("event_type").isin(*EVENT_TYPES))
+    return events.where(F.col("event_type").isin(*EVENT_TYPES)).drop(CORRUPT)
 
 
 def quarantined(events: DataFrame) -> DataFrame:
-    """Events outside the vocabulary."""
+    """Events outside the vocabulary, and the text of lines that are no events."""
     return events.where(F.col("event_type").isNull() | ~F.col("event_type").isin(*EVENT_TYPES))
 
 
@@ -193,14 +194,17 @@ def latest(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def log_events(events: DataFrame, path: str, checkpoint: str):
-    """Append valid events as JSON lines and the others next to them."""
-    for name, part in (("valid", valid(events)), ("quarantine", quarantined(events))):
-        query = (
-            part.drop("ts")
-            .writeStream.format("json")
-            .option("path", f"{path}/{name}")
-            .option("checkpointLocation", f"{checkpoint}/{name}")
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
+    """Append valid events as JSON lines and the others next to them. The source is read once.
+
+    Each batch goes to a folder of its own, so a batch that is run again after a failure replaces its files.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.drop("ts").persist()
+        for name, part in (("valid", valid(batch)), ("quarantine", quarantined(batch))):
+            # a reader would take the name of the corrupt text for its own
+            part.withColumnRenamed(CORRUPT, "line").write.mode("overwrite").json(f"{path}/{name}/batch={number}")
+        batch.unpersist()
+
+    query = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
