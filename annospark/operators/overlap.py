@@ -141,10 +141,14 @@ def greedy(
 class Suppression:
     """Greedy suppression of images that are too large for one array.
 
-    The boxes of such an image are taken in blocks of at most ``block`` by rank, from those that no
-    kept box blocks. Without containment a blocked box stays blocked, so it leaves at once. With
-    containment an eviction may free a box again. A round is then only final up to the first box that
-    an eviction freed; that box is free in the next round.
+    Without containment a kept box stays kept. Each round keeps every box that no better-ranked box still
+    waiting would block, all over the image at once, and drops what those block. A box waits only behind a
+    chain of ever better overlapping boxes, so the rounds grow with the length of such chains, not with the
+    boxes.
+
+    With containment an eviction may free a blocked box again. The boxes are then taken in blocks of at most
+    ``block`` by rank, from those that no kept box blocks. A round is only final up to the first box that an
+    eviction freed; that box is free in the next round.
     """
 
     def __init__(self, over: float, use_containment: bool):
@@ -153,17 +157,26 @@ class Suppression:
         # this part of the other's side outside of it
         self.widen = max(0.25, 0.5 / over - 1)
 
+    def losers_by_leaders(self, boxes: DataFrame, hot: DataFrame) -> DataFrame:
+        waiting, kept = boxes, None
+        better = F.struct("k.rank", "k.box_ord") < F.struct("w.rank", "w.box_ord")
+        while True:
+            leaders = cut_lineage(self._against(waiting, waiting, hot, "left_anti", better))
+            if leaders.limit(1).count() == 0:
+                break
+            kept = leaders if kept is None else kept.unionByName(leaders)
+            rest = waiting.join(leaders.select("image_id", "box_ord"), ["image_id", "box_ord"], "left_anti")
+            waiting = cut_lineage(self._unblocked(rest, leaders, hot))
+        lost = boxes if kept is None else boxes.join(kept, ["image_id", "box_ord"], "left_anti")
+        return lost.select("image_id", "box_ord")
+
     def losers_in_blocks(self, boxes: DataFrame, hot: DataFrame, block: int) -> DataFrame:
+        if not self.use_containment:
+            return self.losers_by_leaders(boxes, hot)
         kept = boxes.limit(0)
         waiting = boxes
         while True:
-            free = self._unblocked(waiting, kept, hot)
-            if self.use_containment:
-                head = hot_images.first_of_each(free, block)
-            else:
-                waiting = cut_lineage(free)
-                head = hot_images.first_of_each(waiting, block)
-            head = cut_lineage(head)
+            head = cut_lineage(hot_images.first_of_each(self._unblocked(waiting, kept, hot), block))
             if head.limit(1).count() == 0:
                 break
             until = self._round_end(head, waiting, kept, hot, block)
@@ -213,8 +226,6 @@ class Suppression:
         )
 
     def _evict(self, kept, chosen, hot):
-        if not self.use_containment:
-            return kept
         gone = self._evicted_at(kept, chosen.drop("kept"), hot)
         return kept.join(gone, ["image_id", "box_ord"], "left_anti")
 
@@ -224,8 +235,6 @@ class Suppression:
             F.when(F.count("*") >= block, F.max(F.struct("rank", "box_ord"))).alias("end")
         )
         until = full.select("image_id", "end", F.lit(True).alias("included"))
-        if not self.use_containment:
-            return until
         accepted = self._fold(head).drop("kept")
         gone = cut_lineage(self._evicted_at(kept, accepted, hot))
         if gone.limit(1).count() == 0:

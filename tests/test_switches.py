@@ -122,3 +122,18 @@ def test_malformed_events_keep_their_text(spark, tmp_path):
     kept = spark.read.json(str(tmp_path / "out" / "quarantine"))
     assert {r["line"] for r in kept.collect()} == {None, '{"ts_ms": broken'}
     assert spark.read.json(str(tmp_path / "out" / "valid")).count() == 1
+
+
+def test_rounds_on_a_large_image_stay_few(spark, monkeypatch):
+    """3,000 overlapping boxes with 1,000 copies among them: the rounds follow chains of better boxes, not the boxes."""
+    from annospark.operators import overlap
+
+    rounds = []
+    plain = overlap.cut_lineage
+    monkeypatch.setattr(overlap, "cut_lineage", lambda df: rounds.append(1) or plain(df))
+    place = lambda i: ((i * 7919) % 1900, (i * 104729) % 1400)
+    rows = [(1, i, *map(float, (*place(i % 2000), place(i % 2000)[0] + 60 + i % 2000 % 40, place(i % 2000)[1] + 60)), 0, (i * 6151 % 997) / 997) for i in range(3000)]
+    boxes = spark.createDataFrame(rows, "image_id long, box_ord long, x1 double, y1 double, x2 double, y2 double, label int, p_good double")
+    got = rows_of(greedy(boxes, -F.col("p_good"), 0.45, False, hot_limit=100).select("box_ord"))
+    assert len(rounds) <= 40
+    assert got == rows_of(greedy(boxes, -F.col("p_good"), 0.45, False, hot_limit=None).select("box_ord"))
