@@ -9,7 +9,7 @@ from annospark.operators import acceptance as ac, matching, status
 from annospark.registry import sql as q
 from annospark.registry.base import register
 from annospark.session import shared_dir
-from annospark.sinks import exports
+from annospark.sinks import documents, exports
 from annospark.sources import catalog, labels, overlay
 from annospark.streaming import events as ev
 
@@ -123,6 +123,53 @@ def cvat_xml(t):
     return rows.select(F.col("_id").alias("id"), F.col("_name").alias("name"), n.alias("boxes"), width.alias("width_sum"))
 
 
+def _elements(t, path, schema):
+    """The JSON elements of a document, one to a line, in any order."""
+    line = F.regexp_replace("value", "^,", "")
+    rows = t.spark.read.text(path).where(F.rlike(line, F.lit(r"^\{.*\}$")))
+    return rows.select(F.from_json(line, schema).alias("e")).select("e.*")
+
+
+@register(
+    "coco_document",
+    q.query(
+        """SELECT row_number() OVER (ORDER BY no, box_ord) AS id, no AS image_id, cls+1 AS category_id, round(x1, 6) AS x, round(y1, 6) AS y,
+      round(x2-x1, 6) AS w, round(y2-y1, 6) AS h, round((x2-x1)*(y2-y1), 4) AS area, 0 AS iscrowd FROM (
+      SELECT no, box_ord, cls, greatest(0.0::DOUBLE, (cx-w/2)*640) AS x1, greatest(0.0::DOUBLE, (cy-h/2)*480) AS y1,
+        least(640.0::DOUBLE, (cx+w/2)*640) AS x2, least(480.0::DOUBLE, (cy+h/2)*480) AS y2 FROM gold_norm
+        JOIN (SELECT image_id, row_number() OVER (ORDER BY image_id) AS no FROM images) USING (image_id)) WHERE x2 > x1 AND y2 > y1"""
+    ),
+)
+def coco_document(t):
+    """The annotations of a COCO document written in parts and read back."""
+    path = _scratch(t, "coco-document")
+    documents.write_coco_document(t.images, fx.with_centre(t.gold), t.classes, path)
+    kind = "id long, image_id long, category_id int, bbox array<double>, area double, iscrowd int"
+    rows = _elements(t, path, kind).where("bbox IS NOT NULL")
+    part = {name: F.round(F.col("bbox")[i], 6) for i, name in enumerate(("x", "y", "w", "h"))}
+    return rows.withColumns(part | {"area": F.round("area", 4)}).drop("bbox")
+
+
+@register(
+    "label_studio_document",
+    q.query(
+        f"""SELECT concat(image_id, ':', box_ord) AS box_id, class_name, 640 AS original_width, 480 AS original_height, round(x1*100/640, 6) AS x, round(y1*100/480, 6) AS y,
+      round((x2-x1)*100/640, 6) AS width, round((y2-y1)*100/480, 6) AS height, score, {BAND} AS band FROM acc""",
+        ACCEPTED,
+    ),
+)
+def label_studio_document(t):
+    """All fields of all regions of a task list written in parts and read back."""
+    path = _scratch(t, "tasks-document")
+    documents.write_label_studio_document(_metas(t), _accepted(t), path)
+    value = "value struct<x:double,y:double,width:double,height:double,rectanglelabels:array<string>>"
+    rows = _elements(t, path, f"original_width int, original_height int, {value}, meta struct<pg_box_id:string,pg_score:double,pg_band:string>")
+    rows = rows.where("meta IS NOT NULL")
+    side = [F.round(F.col("value")[c], 6).alias(c) for c in ("x", "y", "width", "height")]
+    meta = [F.col("meta.pg_box_id").alias("box_id"), F.col("meta.pg_score").alias("score"), F.col("meta.pg_band").alias("band")]
+    return rows.select(*meta, F.col("value.rectanglelabels")[0].alias("class_name"), "original_width", "original_height", *side)
+
+
 # -- round trips through files ------------------------------------------------------------------
 @register(
     "labels_round_trip",
