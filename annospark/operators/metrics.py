@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from annospark.functions.names import stem
 from annospark.operators.matching import match_at_cuts, match_at_limits, match_boxes
 from annospark.operators.order_stats import running
 
@@ -156,6 +157,17 @@ def image_accuracy(pseudo: DataFrame, gold: DataFrame, at_least: float = 0.5, cl
     return with_f1(rows, "matched", "pseudo_count", "gt_count")
 
 
+def pseudo_gt_join(unlabelled: DataFrame, pseudo: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pseudo labels and ground truth of the unlabelled images, both found by the image's stem.
+
+    ``pseudo`` and ``gold`` have ``stem``; the results have ``image_id`` instead, ready for ``image_accuracy``.
+    Two images that share a stem both get its labels; boxes of other images are left out.
+    """
+    keyed = unlabelled.select("image_id", stem(F.col("image_id")).alias("stem"))
+    both = [keyed.join(rows, "stem").drop("stem") for rows in (pseudo, gold)]
+    return both[0], both[1]
+
+
 def with_f1(rows: DataFrame, matched: str, predicted: str, actual: str, prefix: str = "") -> DataFrame:
     precision, recall = _share(F.col(matched), F.col(predicted), 0.0), _share(F.col(matched), F.col(actual), 0.0)
     p, r = F.col(prefix + "precision"), F.col(prefix + "recall")

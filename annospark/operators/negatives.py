@@ -34,6 +34,7 @@ WAVES = ((0, 4), (4, 20), (20, DEVIATED_ATTEMPTS))
 EMPTY_WAVES = (4, 16, EMPTY_ATTEMPTS * 1_000_000)  # the last one is limited by the budget
 
 
+# The settings that a rule starts from.
 @dataclass(frozen=True)
 class Rule:
     """How negatives are drawn. The defaults are those of the library; see ``APP_RULE`` for the app's."""
@@ -52,8 +53,9 @@ class Rule:
     def __post_init__(self):
         if self.negative_rule not in ("baseline", "refined"):
             raise ValueError(f"unknown negative rule: {self.negative_rule}")
-        if abs(self.good_crop_ratio + self.empty_crop_ratio + self.deviation_ratio - 1.0) >= 0.01:
-            raise ValueError("crop ratios must sum to 1")
+        whole = self.good_crop_ratio + self.empty_crop_ratio + self.deviation_ratio
+        if whole != 0 and abs(whole - 1.0) >= 0.01:
+            raise ValueError("crop ratios must sum to 1, or all be 0")
 
     @property
     def refined(self) -> bool:
@@ -69,7 +71,10 @@ def shift_band(shift: float) -> tuple[float, float]:
 
 
 def validate_rule(settings: dict | None, base: Rule = APP_RULE) -> Rule:
-    """Posted settings over ``base``: unknown keys dropped, ratios rescaled, shift and count limited."""
+    """Posted settings over ``base``: unknown keys dropped, ratios rescaled, shift and count limited.
+
+    Ratios that are no numbers, or sum to 0, ask for no crops by ratio at all.
+    """
     known = asdict(base)
     merged = {**known, **{k: v for k, v in (settings or {}).items() if k in known}}
 
@@ -82,10 +87,8 @@ def validate_rule(settings: dict | None, base: Rule = APP_RULE) -> Rule:
     names = ("good_crop_ratio", "empty_crop_ratio", "deviation_ratio")
     ratios = [number(merged[n], None) for n in names]
     if None in ratios:
-        raise ValueError("crop ratios must be numbers")
-    whole = sum(ratios)
-    if whole <= 0:
-        raise ValueError("crop ratios must not all be zero")
+        ratios = [0.0] * 3
+    whole = sum(ratios) or 1.0
     merged.update({n: r / whole for n, r in zip(names, ratios)})
     if merged["negative_rule"] not in ("baseline", "refined"):
         merged["negative_rule"] = "baseline"
@@ -170,12 +173,15 @@ def fabricate_deviated(
     recheck_area: bool = True,
     inclusive: bool | None = None,
     hot_limit: int = hot_images.HOT_IMAGE,
+    polar: bool | None = None,
 ) -> DataFrame:
     """Displaced copies of ground-truth boxes, at most ``n_deviated`` per image.
 
     ``gold`` has pixel corners and the image size, ``wanted`` has ``(image_id, n_deviated)``. Each slot
     picks one ground-truth box and makes up to 100 attempts; the first acceptable one is used. The
-    baseline rule accepts overlap at its limit, the refined rule does not (``inclusive`` overrides).
+    baseline rule accepts overlap at its limit, the refined rule does not (``inclusive`` overrides). The refined
+    rule moves boxes by a distance in the shift band and an angle, the baseline by each side (``polar``
+    overrides: a preview always uses band and angle).
     """
     gt, per_image, hot = _ground_truth(gold, hot_limit)
     slots = (
@@ -193,7 +199,7 @@ def fabricate_deviated(
     limit = rule.negative_iou_reject if rule.refined else rule.deviation_max_iou
     at_limit = rule.refined if inclusive is None else not inclusive
     for wave in WAVES:
-        tries = _deviated_attempts(spread_out(waiting, "image_id", "slot"), rule, seed, wave, recheck_area)
+        tries = _deviated_attempts(spread_out(waiting, "image_id", "slot"), rule, seed, wave, recheck_area, rule.refined if polar is None else polar)
         good = _free_of(tries, gold, limit, at_limit, "try_no", hot)
         first = good.groupBy("image_id", "slot").agg(F.min_by(F.struct("gt_no", *Box._fields), "attempt").alias("b"))
         first = cut_lineage(first.select("image_id", "slot", "b.*"))
@@ -204,14 +210,14 @@ def fabricate_deviated(
     return done
 
 
-def _deviated_attempts(slots: DataFrame, rule: Rule, seed: int, wave, recheck_area: bool) -> DataFrame:
+def _deviated_attempts(slots: DataFrame, rule: Rule, seed: int, wave, recheck_area: bool, polar: bool) -> DataFrame:
     numbers = F.sequence(F.lit(wave[0]).cast("long"), F.lit(wave[1] - 1).cast("long"))
     draws = attempts(numbers, seed, ("size", "move"), "image_id", "slot")
     tries = slots.select("*", F.inline(draws))
     size, move = ([F.col("u")[i] for i in span] for span in (range(0, 4), range(4, 8)))
     g = Box(*(F.col("g_" + c) for c in Box._fields))
     wide, high = g.x2 - g.x1, g.y2 - g.y1
-    if rule.refined:
+    if polar:
         far, turn = spread(move[0], *shift_band(rule.deviation_shift)), move[1] * (2 * math.pi)
         dx, dy = far * wide * F.cos(turn), far * high * F.sin(turn)
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from annospark.functions.geometry import Box, box, centre_to_corners
 from annospark.operators import negatives as ng
 from annospark.plans.automate import automate_all
-from annospark.session import shared_dir
+from annospark.session import cut_lineage, shared_dir
 
 
 MOST_ROUNDS = 10
@@ -39,6 +39,19 @@ def fabricate_training_set(gold: DataFrame, rule: ng.Rule, seed: int = 42, jitte
     )
 
 
+def crops_from_scores(scored: DataFrame, gold: DataFrame, rule: ng.Rule, seed: int = 42) -> DataFrame:
+    """Training crops ``(image_id, kind, crop_ord, y, x1, y1, x2, y2)`` labelled by a model's scores.
+
+    ``scored`` has pixel corners and ``score``. When the scores give crops of one class only, the set is
+    made from the ground truth by ``rule``, without jitter.
+    """
+    crops = cut_lineage(ng.model_based_crops(scored).select("image_id", "box_ord", "y", *Box._fields))
+    if not ng.has_both_classes(crops):
+        return fabricate_training_set(gold, rule, seed, jitter=False)
+    kind = F.when(F.col("y") == 1, "good").otherwise("noise").alias("kind")
+    return crops.select("image_id", kind, F.col("box_ord").cast("long").alias("crop_ord"), "y", *Box._fields)
+
+
 def class_head_dataset(boxes: DataFrame, images: DataFrame, least: int = 4) -> DataFrame:
     """Whole-pixel ground-truth crops of at least ``least`` pixels with their class."""
     c = centre_to_corners(*(F.col(n) for n in ("cx", "cy", "w", "h")))
@@ -71,6 +84,7 @@ def self_training_cycle(
     fold_share: float | None = 0.4,
     include_ai: bool = True,
     output: str | None = None,
+    measure: Callable[[object], dict] | None = None,
 ):
     """Rounds of: train, score all images, label all targets.
 
@@ -78,7 +92,8 @@ def self_training_cycle(
     returns a model, ``score(model)`` returns raw candidates. The weakest ``fold_share`` is held back on
     all but the last round. Every round is written as a table of its own, so a round starts from files
     and not from the plans of the rounds before. ``output`` is the folder of these tables; without it they go
-    to the scratch folder of the session. Returns the labels of the last round and a summary.
+    to the scratch folder of the session. ``measure(model)`` may give the round's ``map50`` and ``val_acc``.
+    Returns the labels of the last round and a summary.
     """
     if not 1 <= rounds <= MOST_ROUNDS:
         raise ValueError(f"between 1 and {MOST_ROUNDS} rounds, not {rounds}")
@@ -89,14 +104,17 @@ def self_training_cycle(
     for number in range(1, rounds + 1):
         use_ai = labels is not None and include_ai
         boxes = human_boxes.unionByName(_pixels(labels, images)) if use_ai else human_boxes
-        candidates = score(train(boxes))
+        model = train(boxes)
+        candidates, figures = score(model), measure(model) if measure else {}
         gate = None if number == rounds or not include_ai else fold_share
         automate_all(images, candidates, ownership, human_boxes, method, fold_share=gate).write.mode("overwrite").parquet(
             f"{folder}/round={number}"
         )
         labels = spark.read.parquet(f"{folder}/round={number}")
-        summary.append((number, "all" if use_ai else "human", n_targets, labels.count()))
-    return labels, spark.createDataFrame(summary, "round int, scope string, auto_labeled long, total_boxes long")
+        shown = (figures.get("map50"), figures.get("val_acc"))
+        summary.append((number, "all" if use_ai else "human", *shown, n_targets, labels.count()))
+    kinds = "round int, scope string, map50 double, val_acc double, auto_labeled long, total_boxes long"
+    return labels, spark.createDataFrame(summary, kinds)
 
 
 def _pixels(labels: DataFrame, images: DataFrame) -> DataFrame:

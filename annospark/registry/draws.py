@@ -196,19 +196,18 @@ GT = [
 ]
 
 
-def _deviated_sql(rule: ng.Rule, wanted, recheck=True, inclusive=None):
+def _deviated_sql(rule: ng.Rule, wanted, recheck=True, inclusive=None, polar=None):
     """Every slot makes all its attempts; the first acceptable one counts."""
     size = [_u(i, "'size'", *KEY) for i in range(2)]
     move = [_u(i, "'move'", *KEY) for i in range(4)]
-    if rule.refined:
+    reject, at_limit = (rule.negative_iou_reject, True) if rule.refined else (rule.deviation_max_iou, False)
+    if rule.refined if polar is None else polar:
         low, high = ng.shift_band(rule.deviation_shift)
         far, turn = _spread(move[0], low, high), f"({move[1]} * {2 * math.pi!r}::DOUBLE)"
         dx, dy = f"{far}*gw*cos({turn})", f"{far}*gh*sin({turn})"
-        reject, at_limit = rule.negative_iou_reject, True
     else:
         side = lambda u: f"(CASE WHEN {u} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END)"
         dx, dy = f"{side(move[0])}*{_spread(move[2], 0.5, 2.0)}*gw", f"{side(move[1])}*{_spread(move[3], 0.5, 2.0)}*gh"
-        reject, at_limit = rule.deviation_max_iou, False
     if inclusive is not None:
         at_limit = not inclusive
     again = " AND (x2-x1)*(y2-y1) >= least_area" if recheck else ""
@@ -273,6 +272,18 @@ def preview_deviated(t):
     return _deviated(t, ng.APP_RULE, recheck_area=False, inclusive=False)
 
 
+PREVIEW_BASELINE = ng.Rule(deviation_per_image=10)
+
+
+@register(
+    "preview_deviated_baseline",
+    q.query(DEVIATED_ROWS, _deviated_sql(PREVIEW_BASELINE, _wanted(deviated="10::BIGINT"), recheck=False, inclusive=False, polar=True)),
+)
+def preview_deviated_baseline(t):
+    """The review screen under the baseline rule moves boxes by band and angle all the same."""
+    return _deviated(t, PREVIEW_BASELINE, recheck_area=False, inclusive=False, polar=True)
+
+
 # -- background boxes ---------------------------------------------------------------------------
 def _empty_sql(rule: ng.Rule, wanted):
     a = [_u(i, "'empty'", "image_id", "attempt") for i in range(4)]
@@ -329,14 +340,20 @@ def fabricate_empty_refined(t):
 
 
 # -- training sets ------------------------------------------------------------------------------
-def _training_sql(source):
+def _training_parts(source):
     """All three kinds of crops; the steps of the background boxes get names of their own."""
     clash = re.compile(r"\b(sized|placed|boxed|fitting|free)\b")
     wanted = _wanted(source)
     empties = [(clash.sub(r"e_\1", n), clash.sub(r"e_\1", body)) for n, body in _empty_sql(LIBRARY_REFINED, [])[len(GT) :]]
-    rows = f"""SELECT image_id, 'good' AS kind, box_ord AS crop_ord, 1::INT AS y, {R6} FROM good
+    return [*(JITTERED if source == "jittered" else []), *_deviated_sql(LIBRARY_REFINED, wanted), *empties]
+
+
+TRAINING_ROWS = f"""SELECT image_id, 'good' AS kind, box_ord AS crop_ord, 1::INT AS y, {R6} FROM good
       UNION ALL SELECT image_id, 'empty', attempt, 0, {R6} FROM empties UNION ALL SELECT image_id, 'deviated', slot, 0, {R6} FROM deviated"""
-    return q.query(rows, *(JITTERED if source == "jittered" else []), *_deviated_sql(LIBRARY_REFINED, wanted), *empties)
+
+
+def _training_sql(source):
+    return q.query(TRAINING_ROWS, *_training_parts(source))
 
 
 @register("fabricate_training_set", _training_sql("jittered"))
@@ -377,6 +394,20 @@ def model_based_crops(t):
     return ng.model_based_crops(t.candidates.withColumn("score", F.col("p_good"))).select("image_id", "box_ord", "y")
 
 
+@register(
+    "model_crops_fallback",
+    q.query(
+        f"""SELECT kind, y, count(*) AS n FROM ({TRAINING_ROWS}) GROUP BY 1, 2""",
+        *_training_parts("gold"),
+    ),
+)
+def model_crops_fallback(t):
+    """Scores that leave no weak crop: the training set is made by rule instead."""
+    scored = t.candidates.withColumn("score", F.col("p_good") / 4 + 0.75)
+    crops = training.crops_from_scores(scored, t.gold_sized, LIBRARY_REFINED, SEED)
+    return crops.groupBy("kind", "y").agg(F.count("*").alias("n"))
+
+
 @register(
     "class_head_dataset",
     q.query(

@@ -8,7 +8,7 @@ from annospark import fixtures as fx
 from annospark.operators import acceptance as ac, matching, status
 from annospark.registry import sql as q
 from annospark.registry.base import register
-from annospark.session import shared_dir
+from annospark.session import cut_lineage, shared_dir
 from annospark.sinks import documents, exports
 from annospark.sources import catalog, labels, overlay
 from annospark.streaming import events as ev
@@ -383,6 +383,23 @@ def _stream(t):
     return fx.telemetry_from(raw)
 
 
+@register(
+    "stream_outcome_vs_gold",
+    q.query(
+        """SELECT e.session_id, e.image_id, e.box_id, e.event_type, e.ts_ms, c.p_good AS score, coalesce(m.pred_label = m.gold_label, false) AS correct, m.iou
+      FROM telemetry e JOIN candidates c ON concat(c.image_id, ':', c.box_ord) = e.box_id LEFT JOIN m ON m.image_id = c.image_id AND m.pi = c.box_ord
+      WHERE e.event_type IN ('box_accept', 'box_reject', 'box_delete')""",
+        q.match("m", "candidates", "gold", 0.5),
+    ),
+)
+def stream_outcome_vs_gold(t):
+    """A stream of decisions joined to the static table of boxes."""
+    boxes = cut_lineage(ev.boxes_vs_gold(ac.with_score(_with_box_id(t)), matching.match_boxes(t.candidates, t.gold)))
+    path = _scratch(t, "stream-vs-gold")
+    ev.write_stream(ev.stream_outcome_vs_gold(_stream(t), boxes), f"{path}/out", f"{path}/state")
+    return t.spark.read.parquet(f"{path}/out")
+
+
 CLOSED = "(SELECT max(ts_ms) - 600000 FROM telemetry)"
 
 

@@ -189,6 +189,20 @@ def batch_accuracy(t):
     return _rounded(metrics.batch_accuracy(metrics.image_accuracy(_accepted(t), t.gold)), "mean_matched_iou")
 
 
+@register(
+    "pseudo_gt_join",
+    q.query(
+        f"SELECT {MICRO} FROM (SELECT {TOTALS} FROM rates WHERE image_id % 20 <> 0)", ACCURACY
+    ),
+)
+def pseudo_gt_join(t):
+    """Accuracy on the images that no human owns; labels are found by the stem of the image's file."""
+    names = t.images.where(F.col("image_id") % 20 != 0).select(F.concat("image_id", F.lit(".jpg")).alias("image_id"))
+    by_stem = lambda rows: rows.withColumn("stem", F.col("image_id").cast("string")).drop("image_id")
+    pseudo, gold = metrics.pseudo_gt_join(names, by_stem(_accepted(t)), by_stem(t.gold))
+    return _rounded(metrics.batch_accuracy(metrics.image_accuracy(pseudo, gold)), "mean_matched_iou")
+
+
 @register(
     "macro_over_datasets",
     q.query(

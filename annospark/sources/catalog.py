@@ -38,23 +38,32 @@ def _entry(text: Column, name: str) -> Column:
     return F.when(clean != "", clean)
 
 
-def class_names(yamls: DataFrame, use_count: bool = False) -> DataFrame:
+def class_names(yamls: DataFrame, use_count: bool = False, keep_ids: bool = False) -> DataFrame:
     """``(path, cls, name)`` from the ``names`` entry, as an inline list or as a block of ``id: name``.
 
-    With ``use_count`` a description without names but with a class count ``nc`` names classes by number.
+    With ``use_count`` a description without names but with a class count ``nc`` names classes by number. A block
+    is numbered in the order of its ids; with ``keep_ids``, as a loader reads it, names keep their ids and ids
+    that are missing below the largest are named by their number.
     """
     clean = lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", "")
     inline = F.regexp_extract("text", r"(?ms)^\s*names:\s*\[(.*?)\]", 1)
     listed = F.filter(F.transform(F.split(inline, ","), clean), lambda x: x != "")
     rows_inline = yamls.where(inline != "").select("path", F.posexplode(listed).alias("cls", "name"))
     block = F.regexp_extract("text", r"(?m)^\s*names:[ \t]*\r?$\n?((?:^(?:[ \t]+.*|[ \t]*)\r?$\n?)*)", 1)
+    # The two line shapes of a class list.
     ids = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]+(\d+)\s*:\s*(.+?)[ \t\r]*$"), 1)
     names = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]+(\d+)\s*:\s*(.+?)[ \t\r]*$"), 2)
     pairs = F.arrays_zip(ids.alias("i"), names.alias("n"))
     rows_block = yamls.where(inline == "").select("path", F.explode(pairs).alias("p"))
     order = Window.partitionBy("path").orderBy("id")
     numbered = rows_block.select("path", F.col("p.i").cast("int").alias("id"), clean(F.col("p.n")).alias("name"))
-    numbered = numbered.select("path", (F.row_number().over(order) - 1).alias("cls"), "name")
+    if keep_ids:
+        last = numbered.groupBy("path").agg(F.max("id").alias("last"))
+        every = last.select("path", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("id"))
+        named = every.join(numbered.dropDuplicates(["path", "id"]), ["path", "id"], "left")
+        numbered = named.select("path", F.col("id").alias("cls"), F.coalesce("name", F.col("id").cast("string")).alias("name"))
+    else:
+        numbered = numbered.select("path", (F.row_number().over(order) - 1).alias("cls"), "name")
     found = rows_inline.unionByName(numbered)
     if not use_count:
         return found

@@ -146,13 +146,27 @@ def outcome_vs_gold(outcomes: DataFrame, candidates: DataFrame, matches: DataFra
 
     ``candidates`` has ``box_id`` and ``score``; ``matches`` are class-blind matches with ``pi``.
     """
+    return outcomes.join(boxes_vs_gold(candidates, matches), "box_id")
+
+
+def stream_outcome_vs_gold(events: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Every decision of a stream next to the score and the ground truth of its box, a static table.
+
+    ``boxes`` has ``box_id, score, correct, iou``. The join keeps no state; the last decision on a box is
+    taken when the result is read (see ``latest``).
+    """
+    decisions = valid(events).where(F.col("event_type").isin(*ACCEPTS, *REJECTS))
+    return decisions.select("session_id", "image_id", "box_id", "event_type", "ts_ms").join(boxes, "box_id")
+
+
+def boxes_vs_gold(candidates: DataFrame, matches: DataFrame) -> DataFrame:
+    """``box_id, score, correct, iou`` of candidates, from class-blind matches with ``pi``."""
     truth = matches.select(
         "image_id", F.col("pi").alias("box_ord"), (F.col("pred_label") == F.col("gold_label")).alias("right_class"), "iou"
     )
-    boxes = candidates.join(truth, ["image_id", "box_ord"], "left").select(
+    return candidates.join(truth, ["image_id", "box_ord"], "left").select(
         "box_id", "score", F.coalesce("right_class", F.lit(False)).alias("correct"), "iou"
     )
-    return outcomes.join(boxes, "box_id")
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
