@@ -10,7 +10,7 @@ from annospark.registry import sql as q
 from annospark.registry.base import register
 from annospark.session import cut_lineage, shared_dir
 from annospark.sinks import documents, exports
-from annospark.sources import catalog, labels, overlay
+from annospark.sources import catalog, images, labels, overlay
 from annospark.streaming import events as ev
 
 
@@ -170,6 +170,35 @@ def label_studio_document(t):
     return rows.select(*meta, F.col("value.rectanglelabels")[0].alias("class_name"), "original_width", "original_height", *side)
 
 
+# -- pixels -------------------------------------------------------------------------------------
+CROP = """SELECT *, vec_id % 6 AS x1, vec_id % 5 AS y1, vec_id % 6 + 1 + vec_id % 2 AS x2, vec_id % 5 + 1 + vec_id % 3 AS y2,
+      list_transform(embedding, lambda v: abs(floor(v::DOUBLE*100)::INT) % 256) AS px FROM embeddings"""
+
+
+def _pixels(t):
+    """Every embedding as a grey image of 8 x 8 pixels."""
+    byte = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.lpad(F.hex(F.abs(F.floor(v * 100)) % 256), 2, "0"))
+    e = t.table("embeddings").select(F.col("vec_id").cast("string").alias("image_id"), F.unhex(F.array_join(byte, "")).alias("data"))
+    return e.withColumns({"width": F.lit(8), "height": F.lit(8), "channels": F.lit(1)})
+
+
+@register(
+    "extract_crops",
+    q.query(
+        """SELECT vec_id::VARCHAR AS image_id, (x2-x1)::INT AS width, (y2-y1)::INT AS height, array_to_string(list_transform(flatten(list_transform(
+      range(y1, y2), lambda y: list_transform(range(x1, x2), lambda x: px[y*8+x+1]))), lambda v: repeat(printf('%02X', v), 3)), '') AS pixels FROM crop""",
+        ("crop", CROP),
+    ),
+)
+def extract_crops(t):
+    """All pixel values of a crop, three planes each."""
+    v = F.col("vec_id")
+    corners = {"x1": v % 6, "y1": v % 5, "x2": v % 6 + 1 + v % 2, "y2": v % 5 + 1 + v % 3}
+    boxes = t.table("embeddings").select(v.cast("string").alias("image_id"), v.cast("string").alias("box_id"), *[c.cast("double").alias(n) for n, c in corners.items()])
+    crops = images.extract_crops(_pixels(t), boxes)
+    return crops.select("image_id", "width", "height", F.hex("pixels").alias("pixels"))
+
+
 # -- round trips through files ------------------------------------------------------------------
 @register(
     "labels_round_trip",

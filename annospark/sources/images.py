@@ -56,54 +56,69 @@ def _planes(row):
     return np.repeat(pixels, 3, axis=2) if row.channels == 1 else pixels[:, :, :3]
 
 
-def extract_crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Pixels of every box that is not degenerate inside its image; the row keeps its ``box_id``."""
-    joined = images.join(boxes.select("image_id", "box_id", *Box._fields), "image_id")
-    w = crop_window(box(), F.col("width"), F.col("height"))
-    windows = joined.withColumns({f"c_{n}": c for n, c in zip(Box._fields, w)})
+BOXES_PER_ROW = 64  # boxes that are cut from one copy of an image, on average
+
+
+def _cut(images: DataFrame, boxes: DataFrame, window, make) -> DataFrame:
+    """Crops ``make(planes, row, box) -> (width, height, bytes)`` of all boxes whose ``window`` is not degenerate.
+
+    Boxes are gathered in chunks of about ``BOXES_PER_ROW``, so an image's pixels move once per chunk and are
+    decoded once for all boxes in it; an image with very many boxes spreads over its chunks.
+    """
+    own = boxes.select("image_id", "box_id", *Box._fields)
+    chunks = own.groupBy("image_id").agg(F.ceil(F.count("*") / BOXES_PER_ROW).alias("n"))
+    dealt = own.join(chunks, "image_id").withColumn("chunk", F.pmod(F.xxhash64("box_id", *Box._fields), F.col("n")))
+    gathered = dealt.groupBy("image_id", "chunk").agg(F.collect_list(F.struct("box_id", *Box._fields)).alias("boxes"))
+
+    def placed(x):
+        inside = window(Box(*(x[c] for c in Box._fields)), F.col("width"), F.col("height"))
+        return F.struct(x["box_id"].alias("box_id"), *[c.alias(n) for n, c in zip(Box._fields, inside)])
+
+    usable = F.filter(F.transform("boxes", placed), lambda x: (x["x2"] > x["x1"]) & (x["y2"] > x["y1"]))
+    rows = images.join(gathered, "image_id").withColumn("boxes", usable).where(F.size("boxes") > 0)
 
     def cut(batches):
         import pandas as pd
 
         for batch in batches:
-            rows = [
-                (r.image_id, r.box_id, r.c_x2 - r.c_x1, r.c_y2 - r.c_y1, _planes(r)[r.c_y1 : r.c_y2, r.c_x1 : r.c_x2].tobytes())
-                for r in batch.itertuples()
-            ]
-            yield pd.DataFrame(rows, columns=["image_id", "box_id", "width", "height", "pixels"])
+            found = []
+            for row in batch.itertuples():
+                planes = _planes(row)
+                found += [(row.image_id, b["box_id"], *make(planes, row, b)) for b in row.boxes]
+            yield pd.DataFrame(found, columns=["image_id", "box_id", "width", "height", "pixels"])
 
-    return windows.where((F.col("c_x2") > F.col("c_x1")) & (F.col("c_y2") > F.col("c_y1"))).mapInPandas(cut, CROP_SCHEMA)
+    return rows.select("image_id", "width", "height", "channels", "data", "boxes").mapInPandas(cut, CROP_SCHEMA)
+
+
+def extract_crops(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Pixels of every box that is not degenerate inside its image; the row keeps its ``box_id``."""
+
+    def whole(planes, row, b):
+        return b["x2"] - b["x1"], b["y2"] - b["y1"], planes[b["y1"] : b["y2"], b["x1"] : b["x2"]].tobytes()
+
+    return _cut(images, boxes, crop_window, whole)
 
 
 def crop_resize(images: DataFrame, boxes: DataFrame, side: int = 256) -> DataFrame:
     """Crops scaled to ``side x side`` by bilinear interpolation; boxes are ordered and clipped first."""
-    joined = images.join(boxes.select("image_id", "box_id", *Box._fields), "image_id")
-    w = crop_window_float(box(), F.col("width"), F.col("height"))
-    windows = joined.withColumns({f"c_{n}": c for n, c in zip(Box._fields, w)})
 
-    def scale(batches):
+    def scaled(planes, row, b):
         import numpy as np
-        import pandas as pd
 
         def axis(low, high, size):
             at = np.clip(low + (np.arange(side) + 0.5) * (high - low) / side - 0.5, 0, size - 1)
             first = np.floor(at).astype(int)
             return first, np.minimum(first + 1, size - 1), at - first
 
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                p = _planes(r).astype(np.float32)
-                x0, x1, fx = axis(r.c_x1, r.c_x2, r.width)
-                y0, y1, fy = axis(r.c_y1, r.c_y2, r.height)
-                fx, fy = fx[None, :, None], fy[:, None, None]
-                top = p[y0][:, x0] * (1 - fx) + p[y0][:, x1] * fx
-                low = p[y1][:, x0] * (1 - fx) + p[y1][:, x1] * fx
-                out = np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
-                rows.append((r.image_id, r.box_id, side, side, out.tobytes()))
-            yield pd.DataFrame(rows, columns=["image_id", "box_id", "width", "height", "pixels"])
-
-    return windows.where((F.col("c_x2") > F.col("c_x1")) & (F.col("c_y2") > F.col("c_y1"))).mapInPandas(scale, CROP_SCHEMA)
+        x0, x1, fx = axis(b["x1"], b["x2"], row.width)
+        y0, y1, fy = axis(b["y1"], b["y2"], row.height)
+        fx, fy = fx[None, :, None], fy[:, None, None]
+        upper, lower = planes[y0].astype(np.float32), planes[y1].astype(np.float32)
+        top = upper[:, x0] * (1 - fx) + upper[:, x1] * fx
+        low = lower[:, x0] * (1 - fx) + lower[:, x1] * fx
+        return side, side, np.rint(top * (1 - fy) + low * fy).astype(np.uint8).tobytes()
+
+    return _cut(images, boxes, crop_window_float, scaled)
 
 
 def read_crop_folders(spark: SparkSession, folder: str, good: str, noise: str) -> DataFrame:
