@@ -196,7 +196,8 @@ def _listed(buckets: DataFrame, rule: Likeness) -> DataFrame:
 def _stars(large: DataFrame) -> DataFrame:
     """``key, a, b``: every member of a large bucket with the bucket's centre, the set that most buckets agree on."""
     weight = large.groupBy("node").agg(F.sum("held").alias("w"))
-    centre = large.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("b"))
+    # written: the join below then deals both sides anew and can split the members of a large bucket
+    centre = cut_lineage(large.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("b")))
     return large.select("key", F.col("node").alias("a")).join(centre, "key")
 
 
@@ -216,7 +217,7 @@ def _blocks(large: DataFrame, stars: DataFrame, roots: DataFrame, sets: DataFram
     blocks = lambda kind: F.ceil(F.count(F.when(kind, 1)) / F.first("size")).cast("int")
     shape = placed.join(longest.select("key", size.alias("size")), "key").groupBy("key")
     shape = shape.agg(blocks(F.col("outside")).alias("no"), blocks(~F.col("outside")).alias("ni")).where("no > 0")
-    dealt = placed.join(shape, "key")
+    dealt = placed.join(cut_lineage(shape), "key")
     at = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("no")).otherwise(F.col("ni"))).cast("int")
     dealt = dealt.withColumn("at", at)
     others = F.sequence(F.lit(0), F.col("no") - 1)
