@@ -91,12 +91,12 @@ def _contested(lean: DataFrame, hot: DataFrame | None, over: float, use_containm
     clash = F.try_divide(both, F.col("a.area") + F.col("b.area") - both) > over
     if use_containment:
         clash = clash | (F.try_divide(both, F.least("a.area", "b.area")) >= CONTAINED_FROM)
-    grid = hot_images.cells(lean, hot)
+    grid, looked_up = hot_images.cells(lean, hot, "a"), hot_images.cells(lean, hot, "b")
     same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.__cell") == F.col("b.__cell"))
     if hot is None:
-        others, apart = grid, F.col("a.box_ord") != F.col("b.box_ord")
+        others, apart = looked_up, F.col("a.box_ord") != F.col("b.box_ord")
     else:  # equal boxes count once on the looked-up side, with the range of their positions
-        others = grid.groupBy("image_id", "__cell", "x1", "y1", "x2", "y2", "area").agg(
+        others = looked_up.groupBy("image_id", "__cell", "x1", "y1", "x2", "y2", "area").agg(
             F.min("box_ord").alias("first"), F.max("box_ord").alias("last")
         )
         apart = (F.col("a.box_ord") != F.col("b.first")) | (F.col("a.box_ord") != F.col("b.last"))
@@ -206,18 +206,19 @@ class Suppression:
         A box is looked up by the cell of its centre: a blocking box, widened as the overlap limit asks,
         always covers that cell.
         """
-        w = hot_images.centre_cell(waiting, hot).alias("w")
+        w = hot_images.centre_cells(waiting, hot).alias("w")
         k = hot_images.cells(kept, hot, widen=self.widen).alias("k")
         same = (F.col("w.image_id") == F.col("k.image_id")) & (F.col("w.__cell") == F.col("k.__cell"))
         hit = blocks(_row("k"), _row("w"), self.over, self.use_containment)
         condition = same & touches(box("w"), box("k")) & hit
         if extra is not None:
             condition = condition & extra
-        return w.join(k, condition, how).select(*[F.col(f"w.{c}") for c in waiting.columns])
+        hits = w.join(k, condition, "left_semi").select("w.image_id", "w.box_ord").distinct()
+        return waiting.join(hits, ["image_id", "box_ord"], how).select(*waiting.columns)
 
     def _evicted_at(self, kept, accepted, hot):
         """Kept boxes with the rank position of the first accepted box that evicts them."""
-        k = hot_images.centre_cell(kept, hot).alias("k")
+        k = hot_images.centre_cells(kept, hot).alias("k")
         c = hot_images.cells(accepted, hot, widen=0.25).alias("c")
         same = (F.col("k.image_id") == F.col("c.image_id")) & (F.col("k.__cell") == F.col("c.__cell"))
         found = k.join(c, same & touches(box("k"), box("c")) & evicts(_row("c"), _row("k")))
@@ -297,8 +298,8 @@ def drop_contained(boxes: DataFrame, flag: Column | None = None, hot_limit: int
     """
     mine = boxes.withColumn("__on", F.lit(True) if flag is None else flag)
     hot = hot_images.find(mine, hot_limit)
-    grid = hot_images.cells(mine, hot)
-    outer = grid.where("__on").select("image_id", "__cell", "x1", "y1", "x2", "y2")
+    grid = hot_images.cells(mine, hot, "a")
+    outer = hot_images.cells(mine, hot, "b").where("__on").select("image_id", "__cell", "x1", "y1", "x2", "y2")
     outer = outer if hot is None else outer.distinct()  # equal boxes never contain each other
     inner, o = box("i"), box("o")
     inside = (
@@ -330,7 +331,7 @@ def overlapping(left: DataFrame, right: DataFrame, condition: Column, hot_limit:
 def overlapping_on(hot: DataFrame | None, left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     """``overlapping`` with the grid of the hot images already at hand."""
     a = hot_images.cells(left, hot).alias("a")
-    b = hot_images.cells(right, hot).select("image_id", "__cell", "x1", "y1", "x2", "y2")
+    b = hot_images.cells(right, hot, "b").select("image_id", "__cell", "x1", "y1", "x2", "y2")
     b = (b if hot is None else b.distinct()).alias("b")
     same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.__cell") == F.col("b.__cell"))
     hit = a.join(b, same & touches(box("a"), box("b")) & condition, "left_semi").select("image_id", "box_ord")
@@ -346,7 +347,7 @@ def overlaps_any(boxes: DataFrame, others: DataFrame, over: float = 0.1, hot_lim
 def pairs(left: DataFrame, right: DataFrame, condition: Column, columns, hot_limit: int | None = HOT_IMAGE) -> DataFrame:
     """All box pairs of an image that meet ``condition`` (aliases ``a`` and ``b``, shared area > 0)."""
     hot = hot_images.find(left, hot_limit, right)
-    a, b = hot_images.cells(left, hot).alias("a"), hot_images.cells(right, hot).alias("b")
+    a, b = hot_images.cells(left, hot, "a").alias("a"), hot_images.cells(right, hot, "b").alias("b")
     same = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.__cell") == F.col("b.__cell"))
     if hot is not None:  # a pair meets in every shared cell; report it where its overlap begins
         same = same & hot_images.begins_here("a", "b")

@@ -137,3 +137,21 @@ def test_rounds_on_a_large_image_stay_few(spark, monkeypatch):
     got = rows_of(greedy(boxes, -F.col("p_good"), 0.45, False, hot_limit=100).select("box_ord"))
     assert len(rounds) <= 40
     assert got == rows_of(greedy(boxes, -F.col("p_good"), 0.45, False, hot_limit=None).select("box_ord"))
+
+
+def test_a_box_is_entered_in_few_cells(spark):
+    """Tiny boxes among boxes of the whole image, and large boxes only: few rows for each box, and the same pairs."""
+    from annospark.operators import hot_images
+    from annospark.operators.overlap import self_pairs
+    from annospark.functions.geometry import box, iou
+
+    tiny = [(1, i, float(i % 50 * 20), float(i // 50 * 20), i % 50 * 20 + 15.0, i // 50 * 20 + 15.0) for i in range(1500)]
+    whole = [(1, 1500 + i, 0.0, float(i), 1000.0, 600.0 + i) for i in range(6)]
+    large = [(2, i, float(i % 7), float(i % 11), 900.0 + i % 5, 500.0 + i % 3) for i in range(200)]
+    df = spark.createDataFrame(tiny + whole + large, "image_id long, box_ord long, x1 double, y1 double, x2 double, y2 double")
+    hot = hot_images.find(df, 50)
+    for side in ("a", "b"):
+        assert hot_images.cells(df, hot, side).count() <= 30 * df.count()
+    over = iou(box("a"), box("b")) > 0.0001
+    names = [F.col("a.box_ord").alias("p"), F.col("b.box_ord").alias("q")]
+    assert rows_of(self_pairs(df, over, names, False, 50)) == rows_of(self_pairs(df, over, names, False, None))
