@@ -21,6 +21,7 @@ BLOCK = 256  # members of one side of a block comparison
 HELD = 2_000_000  # shingles that one side of a block comparison may hold
 MISS = 1e-5  # chance that no band finds a pair exactly at the threshold
 ROWS = 4  # slots of a band
+TEXTS = 1_000  # texts whose shingles a task holds at once
 
 NODE = "node binary"
 
@@ -41,12 +42,19 @@ class Likeness:
         return 100 * shared >= self.percent * (n + m - shared)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``TEXTS``, which bounds what a task holds in Python."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _signed(words: int, slots: int, keep: tuple[str, ...]):
     """Signature rows ``keep..., n, node, bands`` of record batches with a ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = sm.WordHashes()
-        for batch in batches:
+        for batch in _pieces(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             sets = [sm.shingles(t, words, hashes) for t in texts]
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -73,7 +81,7 @@ def _sets(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = sm.WordHashes()
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = [sm.shingles(t, words, hashes) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],

@@ -9,7 +9,7 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 RANK_BITS = np.uint64(48)
 UNSET = np.uint64(2**64 - 1)
-ELEMENTS = 400_000  # shingles worked on at once
+ELEMENTS = 200_000  # shingles worked on at once
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -20,14 +20,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Hash of a word, remembered while the task works; forgotten when too many have been seen."""
+    """Hash of a word. The words met first are remembered while the task works, which the frequent ones are among."""
 
-    LIMIT = 500_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes | str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.LIMIT:
+            self[word] = value
         return value
 
 
