@@ -26,8 +26,7 @@ def _windows(size: int, wanted, keep: tuple[str, ...]):
         for batch in batches:
             owner, hashes, places, totals, slots = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                words, values = maker.of(text)
-                found = maker.hashed(words)
+                found, values, n_words = maker.of(text)
                 if screen is None:
                     at = range(len(found))
                 elif screen.dtype == np.int64:
@@ -37,12 +36,13 @@ def _windows(size: int, wanted, keep: tuple[str, ...]):
                     bit = (found.view(np.uint64) >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)
                     at = np.flatnonzero(screen[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
                 for p in at:
-                    if len(found) == 1 and len(words) <= size or maker.plain(values, p) >= LITERAL:
+                    own = maker.slots(values, p)
+                    if n_words <= size or size - len(own) >= LITERAL:
                         owner.append(i)
                         hashes.append(int(found[p]))
                         places.append(int(p))
                         totals.append(len(found))
-                        slots.append(maker.slots(words, values, p))
+                        slots.append(own)
             rows = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k).take(rows) for k in keep]

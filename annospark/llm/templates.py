@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
-from annospark.llm.superminhash import STEP, WordHashes, mixed
+from annospark.llm.superminhash import STEP, mixed
 
 # Unit words, in the languages of the built-in texts.
 UNITS = frozenset(
@@ -20,90 +21,92 @@ EDGE = re.compile(r"^[^\w$€£%°+-]+|[^\w$€£%°]+$")
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 
 
-LITERAL, NUMBER_LIKE, UNIT_LIKE, CAPITAL = range(4)
+LITERAL, NUMBER_LIKE, UNIT_LIKE, CAPITAL, CAPITAL_UNIT, NOTHING = range(6)
+
+
+def mark_of(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
 class Tokens(dict):
-    """What a token may be, remembered while a task works: ``(word, class, ends a sentence, ends one or a heading)``."""
+    """What a token may be: ``(word, its hash, class, ends a sentence, ends one or a heading)``.
+
+    The tokens met first are remembered while a task works, which the frequent ones are among.
+    """
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
-    def __missing__(self, token: str) -> tuple[str, int, bool, bool]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        bare = EDGE.sub("", token)
+    def __missing__(self, token: str) -> tuple[str, int, int, bool, bool]:
+        bare = token[:-1] if token[-1] in ".,;:!?" else token
+        if not bare or not (bare[0].isalnum() and bare[-1].isalnum()):  # most tokens need no closer look
+            bare = EDGE.sub("", token)
         low = bare.lower()
         if not bare:
-            kind = LITERAL
-        elif NUMBER.match(bare):
+            kind = NOTHING
+        elif (bare[0].isdigit() or bare[0] in "+-$€£") and NUMBER.match(bare):
             kind = NUMBER_LIKE
         elif low in UNITS:
-            kind = UNIT_LIKE
+            kind = CAPITAL_UNIT if bare[0].isupper() else UNIT_LIKE
         else:
             kind = CAPITAL if bare[0].isupper() else LITERAL
-        found = self[token] = (low, kind, token[-1] in ".!?", token[-1] in ".!?:")
+        found = (low, mark_of(low), kind, token[-1] in ".!?", token[-1] in ".!?:")
+        if len(self) < self.LIMIT:
+            self[token] = found
         return found
 
 
-def canonical(text: str, known: Tokens | None = None) -> tuple[list[str], dict[int, str]]:
-    """The template words of a text, and the values that its placeholders stand for by position.
+MARKS = {name: mark_of(name) for name in (NUM, NAME, UNIT)}
+
+
+def template(text: str, known: Tokens) -> tuple[list[int], dict[int, str]]:
+    """The hashes of a text's template words, and by position what each placeholder stands for, with its type.
 
     Digits make a number, a unit word after a number a unit, and a capitalised word that does not begin a
     sentence a name. Everything else is the lower-cased word without punctuation at its ends.
     """
-    known = Tokens() if known is None else known
-    words: list[str] = []
-    values: dict[int, str] = {}
+    marks: list[int] = []
+    slots: dict[int, str] = {}
+    push, number = marks.append, MARKS[NUM]
     for line in text.split("\n"):
         begins = True
-        for token in line.split():
-            low, kind, stops, ends = known[token]
-            if not low:
-                begins = begins or stops
-                continue
+        for low, mark, kind, stops, ends in map(known.__getitem__, line.split()):
             if kind:
+                if kind == NOTHING:
+                    begins = begins or stops
+                    continue
                 name = None
                 if kind == NUMBER_LIKE:
                     name = NUM
-                elif kind == UNIT_LIKE and words and words[-1] == NUM:
+                elif kind != CAPITAL and marks and marks[-1] == number:
                     name = UNIT
-                elif not begins and (kind == CAPITAL or token != token.lower()):
+                elif kind != UNIT_LIKE and not begins:
                     name = NAME
                 if name:
-                    values[len(words)] = low
-                    words.append(name)
-                else:
-                    words.append(low)
-            else:
-                words.append(low)
+                    slots[len(marks)] = name + low
+                    mark = MARKS[name]
+            push(mark)
             begins = ends
-    return words, values
+    return marks, slots
 
 
 class TemplateWindows:
     """Hashes of the windows of ``size`` template words; a shorter text is one window as a whole."""
 
     def __init__(self, size: int):
-        self.size = size
-        self.tokens, self.words = Tokens(), WordHashes()
+        self.size, self.tokens = size, Tokens()
 
-    def of(self, text: str) -> tuple[list[str], dict[int, str]]:
-        return canonical(text, self.tokens)
-
-    def hashed(self, words: list[str]) -> np.ndarray:
-        size = min(self.size, len(words))
+    def of(self, text: str) -> tuple[np.ndarray, dict[int, str], int]:
+        """The window hashes of a text, its placeholders by position, and the number of its words."""
+        marks, slots = template(text, self.tokens)
+        size = min(self.size, len(marks))
         if not size:
-            return np.empty(0, np.int64)
-        each = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        acc = np.full(len(words) - size + 1, size, np.uint64)
+            return np.empty(0, np.int64), slots, 0
+        each = np.array(marks, np.uint64)
+        acc = np.full(len(marks) - size + 1, size, np.uint64)
         for k in range(size):
-            acc = mixed((acc + STEP) ^ each[k : len(words) - size + 1 + k])
-        return acc.view(np.int64)
+            acc = mixed((acc + STEP) ^ each[k : len(marks) - size + 1 + k])
+        return acc.view(np.int64), slots, len(marks)
 
-    def slots(self, words: list[str], values: dict[int, str], at: int) -> list[str]:
+    def slots(self, slots: dict[int, str], at: int) -> list[str]:
         """The placeholders of the window at ``at``, each with its value."""
-        return [f"{words[i]}{values[i]}" for i in range(at, min(len(words), at + self.size)) if i in values]
-
-    def plain(self, values: dict[int, str], at: int) -> int:
-        """How many literal words the window has."""
-        return self.size - sum(i in values for i in range(at, at + self.size))
+        return [slots[i] for i in range(at, at + self.size) if i in slots]
