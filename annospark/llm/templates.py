@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -58,14 +59,16 @@ class Tokens(dict):
 MARKS = {name: mark_of(name) for name in (NUM, NAME, UNIT)}
 
 
-def template(text: str, known: Tokens) -> tuple[list[int], dict[int, str]]:
-    """The hashes of a text's template words, and by position what each placeholder stands for, with its type.
+def template(text: str, known: Tokens) -> tuple[list[int], dict[int, str], list[int]]:
+    """The hashes of a text's template words, by position what each placeholder stands for, with its type, and the
+    hashes of those words themselves.
 
     Digits make a number, a unit word after a number a unit, and a capitalised word that does not begin a
     sentence a name. Everything else is the lower-cased word without punctuation at its ends.
     """
     marks: list[int] = []
     slots: dict[int, str] = {}
+    words: list[int] = []
     push, number = marks.append, MARKS[NUM]
     for line in text.split("\n"):
         begins = True
@@ -83,30 +86,48 @@ def template(text: str, known: Tokens) -> tuple[list[int], dict[int, str]]:
                     name = NAME
                 if name:
                     slots[len(marks)] = name + low
+                    words.append(mark)
                     mark = MARKS[name]
             push(mark)
             begins = ends
-    return marks, slots
+    return marks, slots, words
 
 
 class TemplateWindows:
-    """Hashes of the windows of ``size`` template words; a shorter text is one window as a whole."""
+    """Hashes of the windows of a text's template words, in each of ``sizes``.
 
-    def __init__(self, size: int):
-        self.size, self.tokens = size, Tokens()
+    A window with fewer than ``least`` words that are no placeholder is left out if it is not the whole text.
+    """
+
+    def __init__(self, sizes: list[int], least: int, inside: bool):
+        """``inside``: a window that begins with a name or unit is also taken as the beginning of a sentence."""
+        self.sizes, self.least, self.inside, self.tokens = sizes, least, inside, Tokens()
+
+    def of(self, text: str, shorter: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, bool]]:
+        """``(hashes, positions, size, words skipped by the slots, whether by words)`` of a text's windows.
 
-    def of(self, text: str) -> tuple[np.ndarray, dict[int, str], int]:
-        """The window hashes of a text, its placeholders by position, and the number of its words."""
-        marks, slots = template(text, self.tokens)
-        size = min(self.size, len(marks))
-        if not size:
-            return np.empty(0, np.int64), slots, 0
+        With ``shorter``, a text below the largest size is one window as a whole.
+        """
+        marks, self.values, words = template(text, self.tokens)
+        n, places = len(marks), np.array(list(self.values), np.int64)
         each = np.array(marks, np.uint64)
-        acc = np.full(len(marks) - size + 1, size, np.uint64)
-        for k in range(size):
-            acc = mixed((acc + STEP) ^ each[k : len(marks) - size + 1 + k])
-        return acc.view(np.int64), slots, len(marks)
-
-    def slots(self, slots: dict[int, str], at: int) -> list[str]:
-        """The placeholders of the window at ``at``, each with its value."""
-        return [slots[i] for i in range(at, at + self.size) if i in slots]
+        raw = each.copy()
+        raw[places] = np.array(words, np.uint64)
+        filled = np.zeros(n + 1, np.int64)
+        filled[places + 1] = 1
+        upto = filled.cumsum()
+        for size in [min(n, max(self.sizes))] if shorter else self.sizes:
+            if not 0 < size <= n:
+                continue
+            acc = np.full(n - size + 1, size, np.uint64)
+            for k in range(size):
+                acc = mixed((acc + STEP) ^ each[k : n - size + 1 + k])
+            fixed = size - (upto[size:] - upto[: n - size + 1])
+            enough = fixed >= self.least
+            at = np.flatnonzero(enough | (n == size))
+            yield acc.view(np.int64)[at], at, size, 0, False
+
+    def slots(self, at: int, size: int, skipped: int) -> list[str]:
+        """The placeholders of a window of the last text, each with its value."""
+        values = self.values
+        return [values[i] for i in range(at + skipped, at + size) if i in values]

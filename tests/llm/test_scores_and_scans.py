@@ -189,3 +189,20 @@ def test_secret_digest_is_of_the_base_spans(spark):
     spans = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_base(text))
     row = queries.secret_columns(secret_scan.scan_secrets(edge.files(spark, [(1, text)]))).first()
     assert row["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest() and row["n_assign"] == 2
+
+
+def leaks(spark, rows, items):
+    found = dc.contaminated(edge.files(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r["stem"], r["item_id"]): r for r in found.collect()}
+
+
+def test_every_occurrence_of_a_question_is_judged_alone(spark):
+    swap = lambda *by: "".join(w if not by else dict(by).get(w, w) for w in re.split(r"(\W+)", ITEM))
+    one, two = swap(("Berlin", "Madrid"), ("Hamburg", "Toledo"), ("120", "300"), ("40", "70")), swap(("Berlin", "Paris"), ("Hamburg", "Lyon"), ("120", "500"), ("40", "90"), ("9", "11"))
+    longer = swap(("Berlin", "New York City"), ("Hamburg", "Salt Lake City"), ("120", "77"), ("40", "31"))
+    twice = "In the first test Anna has 3 red balls in the small bag. Later in the first test Omar has 8 red balls in the small bag."
+    rows = [(1, ITEM + " " + one), (2, "Sheet one.\n" + one + "\nSheet two.\n" + two), (3, twice), (4, two + " And then. " + longer)]
+    got = leaks(spark, rows, [(7, ITEM), (8, twice)])
+    assert set(got) == {(1, 7), (2, 7), (3, 8), (4, 7)}
+    assert got[1, 7]["verbatim"] and got[3, 8]["verbatim"] and not got[2, 7]["verbatim"]
+    assert all(r["coverage"] == 1.0 for r in got.values())
