@@ -29,7 +29,7 @@ def _windows(sizes: list[int], wanted, keep: tuple[str, ...]):
         for batch in batches:
             owner, hashes, places, widths, exact, slots = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for found, where, size, skipped, by_words in maker.of(text, True):
+                for found, where, size, skipped, by_words in maker.of(text, screen is None):
                     if screen is None:
                         at = range(len(found))
                     elif screen.dtype == np.int64:
@@ -178,7 +178,9 @@ def contaminated(
     ``verbatim`` says that all slots have the item's own values; otherwise the question was given new parameters.
     The figures are those of the occurrence that covers most.
 
-    An item shorter than a window is one window. Windows of hardly anything but placeholders do not count. Tasks
+    An item shorter than a window is one window, which is looked for at every place of a file. Windows of
+    hardly anything but placeholders are hashed by their words, so they are met by verbatim copies only; coverage is
+    of all windows or of the others, whichever is more. Tasks
     screen their windows against the items' hashes, or against a bit map of fixed size when those are many, and
     only windows that pass are joined, exactly.
 
@@ -190,7 +192,8 @@ def contaminated(
     rows = files.select(F.col(stem).alias("stem"), F.xxhash64(body).alias("text_key"), body.alias("text"))
     kind = rows.schema["stem"].dataType.simpleString()
     wanted = benchmark_windows(items, item, item_text, window)
-    passed = rows.mapInArrow(_windows([window], _screen(wanted), ("stem", "text_key")), f"stem {kind}, text_key long, {WINDOWS}")
+    sizes = sorted({window} | {r[0] for r in wanted.select("size").distinct().collect()})  # at most ``window`` of them
+    passed = rows.mapInArrow(_windows(sizes, _screen(wanted), ("stem", "text_key")), f"stem {kind}, text_key long, {WINDOWS}")
     passed = passed.select("stem", "text_key", "hash", F.col("pos").alias("at"), F.col("slots").alias("found")).distinct()
     hits = passed.join(wanted, "hash")
     grouped = hits.groupBy("stem", "text_key", "item_id").agg(

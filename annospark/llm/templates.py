@@ -93,10 +93,21 @@ def template(text: str, known: Tokens) -> tuple[list[int], dict[int, str], list[
     return marks, slots, words
 
 
+EXACT = 1 << 32  # what sets the hashes of words apart from those of template words
+
+
+def _rolled(each: np.ndarray, at: np.ndarray, size: int, start: int, first: np.ndarray | None = None) -> np.ndarray:
+    acc = np.full(len(at), start, np.uint64)
+    for k in range(size):
+        acc = mixed((acc + STEP) ^ (first[at] if first is not None and k == 0 else each[at + k]))
+    return acc.view(np.int64)
+
+
 class TemplateWindows:
     """Hashes of the windows of a text's template words, in each of ``sizes``.
 
-    A window with fewer than ``least`` words that are no placeholder is left out if it is not the whole text.
+    A window with fewer than ``least`` words that are no placeholder is hashed by its words themselves. If it is
+    the whole text, it has both hashes.
     """
 
     def __init__(self, sizes: list[int], least: int, inside: bool):
@@ -126,6 +137,14 @@ class TemplateWindows:
             enough = fixed >= self.least
             at = np.flatnonzero(enough | (n == size))
             yield acc.view(np.int64)[at], at, size, 0, False
+            at = np.flatnonzero(~enough)
+            if len(at):
+                yield _rolled(raw, at, size, size + EXACT), at, size, size, True
+            if self.inside and len(places):
+                at = places[places <= n - size]
+                at = at[(each[at] != MARKS[NUM]) & (fixed[at] + 1 >= self.least)]
+                if len(at):
+                    yield _rolled(each, at, size, size, raw), at, size, 1, False
 
     def slots(self, at: int, size: int, skipped: int) -> list[str]:
         """The placeholders of a window of the last text, each with its value."""

@@ -206,3 +206,14 @@ def test_every_occurrence_of_a_question_is_judged_alone(spark):
     assert set(got) == {(1, 7), (2, 7), (3, 8), (4, 7)}
     assert got[1, 7]["verbatim"] and got[3, 8]["verbatim"] and not got[2, 7]["verbatim"]
     assert all(r["coverage"] == 1.0 for r in got.values())
+
+
+def test_short_and_literal_poor_questions_are_found_in_long_files(spark):
+    short, other = "What is the capital of France?", "What is the capital of Spain?"
+    title, sums = "The Old Man And The Sea Was Written By Ernest Hemingway In Cuba", "12 + 7 = 19, 19 - 4 = 15, 15 + 20 = 35, 35 - 6 = 29"
+    around = lambda t: f"Here are some words that stand before it. {t} And here are some more words that come after it."
+    rows = [(1, around(short)), (2, around(other)), (3, around(title)), (4, around(sums)), (5, "someone asked " + short), (6, around("Nothing of the kind stands in here.")), (7, around(title.replace("Ernest", "Another").replace("Sea", "Hill")))]
+    rows += [(8, around("Who is Bob?")), (9, around("Who is Ann?"))]
+    got = leaks(spark, rows, [(1, short), (2, title), (3, sums), (4, "Who is Bob?")])
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 1), (8, 4)}
+    assert {k: r["verbatim"] for k, r in got.items()} == {k: k != (2, 1) for k in got}
