@@ -32,7 +32,7 @@ MAIN_WORDS = frozenset("article main content post entry story articlebody mainco
 BREAK = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
-SIDE, MAIN, PLAIN = "-", "+", ""
+SIDE, MAIN, PLAIN, WORDS, DOUBT = "-", "+", "", "~", "?"
 
 
 def role_of(tag: str, attributes: str) -> tuple[str, str]:

@@ -63,24 +63,44 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return cut_lineage(halfway.groupBy("host").applyInPandas(_merged, WRAPPER))
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``host, page, key``: the texts of every page at their places, and a row without a key for every page with text."""
+    for batch in batches:
+        hosts, pages, keys = [], [], []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            own = {wr.key_of(path, text) for path, _, text in blocks_of(page)}
+            if own:
+                keys += [None, *own]
+                hosts += [host] * (len(own) + 1)
+                pages += [wr.key_of("", page)] * (len(own) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(keys, pa.int64())], names=["host", "page", "key"])
+
+
+def fixed_texts(pages: DataFrame) -> DataFrame:
+    """``host, pages, fixed`` from ``host, html``: how many different pages of a host have text, and ``(key, n)`` of
+    the texts that at least ``wrapper.SHARE`` of them have at one place; those are at most as many as twice the texts of a page."""
+    met = pages.select("host", "html").mapInArrow(_places, "host string, page long, key long")
+    counts = cut_lineage(met.groupBy("host", "key").agg(F.count_distinct("page").alias("n")).where(f"key IS NULL OR n >= {wr.LEAST}"))
+    totals = counts.where("key IS NULL").select("host", F.col("n").alias("pages"))
+    often = counts.where("key IS NOT NULL").join(totals, "host").where(F.col("n") >= wr.SHARE * F.col("pages"))
+    lists = often.groupBy("host").agg(F.collect_list(F.struct("key", "n")).alias("fixed"))
+    return totals.join(lists, "host", "left")
 
 
 def _texts(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list, int]] = {}
+        known: dict[str, wr.Content] = {}
         given = shipped.value if shipped is not None else None
         for batch in batches:
             hosts = batch.column("host").to_pylist()
-            wrappers = batch.column("wrapper").to_pylist() if given is None else [given[h][0] for h in hosts]
-            counts = batch.column("pages").to_pylist() if given is None else [given[h][1] for h in hosts]
+            figures = zip(*(batch.column(c).to_pylist() for c in ("wrapper", "pages", "fixed"))) if given is None else [given[h] for h in hosts]
             texts = []
-            for host, raw, n, page in zip(hosts, wrappers, counts, batch.column("html").to_pylist()):
+            for host, (raw, n, fixed), page in zip(hosts, figures, batch.column("html").to_pylist()):
                 if host not in known:
                     if len(known) > HOSTS:
                         known.clear()
-                    known[host] = (json.loads(raw), n)
-                nodes, n = known[host]
-                texts.append("\n".join(wr.content(blocks_of(page), nodes, n < 2)))
+                    known[host] = wr.Content(json.loads(raw), n or 0, {f["key"]: f["n"] for f in fixed or ()})
+                texts.append("\n".join(known[host].of(blocks_of(page))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
             )
@@ -94,7 +114,7 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     The library has no web pages among its own records, so this operator is general: ``pages`` needs an id, an
     address and the page source. Pages are grouped by the host of their address; a page without one is
     grouped with the others that have none. The host's wrapper (``infer_wrappers``) tells which blocks hold the
-    article; menus, headers, footers, sidebars, notices, adverts, forms and comments are left out. Blocks are
+    article (``wrapper.Content``), with the texts that repeat on the host's pages (``fixed_texts``); menus, headers, footers, sidebars, notices, adverts, forms and comments are left out. Blocks are
     joined by a line break in page order; nothing is capped.
 
     A null or empty page has an empty text. Repeated pages are extracted each; null ids and addresses stay null;
@@ -103,12 +123,12 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_of(html).alias("html"), host.alias("host"))
-    wrappers = infer_wrappers(rows)
+    wrappers = cut_lineage(infer_wrappers(rows).drop("pages").join(fixed_texts(rows), "host", "left"))
     kind, address = (rows.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     shape = f"page_id {kind}, url {address}, text string"
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
+    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host") + 16 * F.coalesce(F.size("fixed"), F.lit(0))), F.lit(0))).first()[0]
     if size <= SHIPPED:
-        shipped = spark.sparkContext.broadcast({r["host"]: (r["wrapper"], r["pages"]) for r in wrappers.collect()})
+        shipped = spark.sparkContext.broadcast({r["host"]: (r["wrapper"], r["pages"], r["fixed"]) for r in wrappers.collect()})
         return rows.mapInArrow(_texts(shipped), shape)
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(4 * partitions_of(spark)))
     return hand_back(rows, wrappers, "host", salt).mapInArrow(_texts(None), shape)

@@ -10,13 +10,19 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-from annospark.llm.blocks import MAIN, SIDE
+import xxhash
+
+from annospark.llm.blocks import DOUBT, MAIN, PLAIN, SIDE, WORDS
 
 GROUP = 4  # nodes of a repeated group
 WIDE = 300  # nodes up to which a wrapper tells nodes apart; beyond, neighbours under one element become one repeated node
 
 # node: [shape, role, text or None for a slot, optional, repeated, nodes of a group]
 SHAPE, ROLE, TEXT, OPTIONAL, REPEATED, NODES = range(6)
+ROLES = (MAIN, DOUBT, PLAIN, WORDS, SIDE)  # of two roles of a node the first holds
+
+SHARE = 0.5  # of a host's pages on which a text is furniture of the host
+LEAST, LEAST_INSIDE = 2, 4  # different pages that say so, outside and inside article elements
 
 
 def of_page(blocks: list[tuple[str, str, str]]) -> list:
@@ -27,7 +33,7 @@ def _joined(a: list, b: list) -> list:
     """One node for two of the same shape."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
     inner = [_joined(x, y) for x, y in zip(a[NODES], b[NODES])]
-    return [a[SHAPE], a[ROLE], text, a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], inner]
+    return [a[SHAPE], min(a[ROLE], b[ROLE], key=ROLES.index), text, a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], inner]
 
 
 def folded(nodes: list) -> list:
@@ -88,17 +94,45 @@ def flat(nodes: list):
             yield n
 
 
-def content(blocks: list[tuple[str, str, str]], wrapper: list, single: bool) -> list[str]:
-    """The texts of a page that fill content slots of its host's wrapper.
+def key_of(path: str, text: str) -> int:
+    """What pages are compared by: a text at its place, as a signed number of 64 bits."""
+    n = xxhash.xxh3_64_intdigest(f"{path}\0{text}")
+    return n - (1 << 64) if n >> 63 else n
+
 
-    Where the wrapper has an article element, all blocks inside it are content. Elsewhere, blocks are content that
-    stand in a text slot; fixed text is the host's furniture. On a host with one page nothing can be told to be
-    fixed. Blocks of side roles are never content.
+class Content:
+    """Chooses the texts of a page that fill content slots of its host's wrapper.
+
+    ``pages`` is how many different pages of the host have text, ``fixed`` on how many of them each frequent text
+    stands at its place (``key_of``). A block maps to the node at its path, or at the beginning of it where the
+    wrapper took nodes together. It is furniture if the node has no slot or if at least ``SHARE`` of the pages have
+    its text there, also inside article elements; fewer than ``LEAST`` or ``LEAST_INSIDE`` pages say nothing.
+
+    Of what is left, roles say which slots are content: those in article elements; else the longer text of those of
+    doubtful role and those of none. What is the side by its class names is content where a host has nothing else.
     """
-    nodes = list(flat(wrapper))
-    if any(n[ROLE] == MAIN for n in nodes):
-        chosen = [text for _, role, text in blocks if role == MAIN]
-        if chosen:
-            return chosen
-    fixed = set() if single else {(n[SHAPE], n[TEXT]) for n in nodes if n[TEXT] is not None and not n[OPTIONAL]}
-    return [text for path, role, text in blocks if role != SIDE and (path, text) not in fixed]
+
+    def __init__(self, wrapper: list, pages: int, fixed: dict[int, int]):
+        self.pages, self.fixed = pages, fixed
+        self.slots: dict[str, bool] = {}
+        self.roles = set()
+        for n in flat(wrapper):
+            open_ = n[TEXT] is None or n[OPTIONAL]
+            self.slots[n[SHAPE]] = self.slots.get(n[SHAPE], False) or open_
+            if open_ or pages < LEAST:
+                self.roles.add(n[ROLE])
+
+    def _slot(self, path: str) -> bool:
+        return self.slots.get(path, True)
+
+    def of(self, blocks: list[tuple[str, str, str]]) -> list[str]:
+        left: dict[str, list[str]] = {r: [] for r in ROLES}
+        for path, role, text in blocks:
+            least = LEAST_INSIDE if role in (MAIN, DOUBT) else LEAST
+            n = self.pages if not self._slot(path) else self.fixed.get(key_of(path, text), 0)
+            if n < least or n < SHARE * self.pages:
+                left[role].append(text)
+        if left[MAIN]:
+            return left[MAIN]
+        chosen = max(left[DOUBT], left[PLAIN], key=lambda texts: sum(map(len, texts)))
+        return chosen if chosen or self.roles & {MAIN, DOUBT, PLAIN} else left[WORDS]

@@ -217,3 +217,14 @@ def test_short_and_literal_poor_questions_are_found_in_long_files(spark):
     got = leaks(spark, rows, [(1, short), (2, title), (3, sums), (4, "Who is Bob?")])
     assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 3), (5, 1), (8, 4)}
     assert {k: r["verbatim"] for k, r in got.items()} == {k: k != (2, 1) for k in got}
+
+
+def extracted(spark, pages, host="https://c.example/"):
+    rows = [(i, host + str(i), html) for i, html in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in pt.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_furniture_inside_the_article_is_left_out(spark):
+    page = lambda i: PAGE.format(body=f"<article><p>Written for you by our team<h1>Story {i}</h1><p>Text {i}</p><div><p>Read on at our shop</p></div></article>")
+    assert extracted(spark, [page(i) for i in range(9)]) == {i: f"Story {i}\nText {i}" for i in range(9)}
+    assert "our team" in extracted(spark, [page(0), page(0)])[0]  # copies of one page say nothing
