@@ -27,8 +27,9 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             own = wr.of_page(blocks_of(page))
-            old = held.get(host)
-            held[host] = (own, 1) if old is None else (wr.aligned(old[0], own), old[1] + 1)
+            old, n = held.get(host, ([], 0))
+            # a page without text says nothing of its host
+            held[host] = (wr.aligned(old, own) if n else own, n + 1) if own else (old, n)
         if len(held) > HOSTS:
             yield _rows(held)
             held = {}
@@ -44,7 +45,7 @@ def _rows(held: dict) -> pa.RecordBatch:
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    texts = sorted(set(pdf["wrapper"]))
+    texts = sorted(set(pdf["wrapper"][pdf["pages"] > 0])) or ["[]"]
     out = json.loads(texts[0])
     for t in texts[1:]:
         out = wr.aligned(out, json.loads(t))

@@ -123,6 +123,8 @@ class Content:
                 self.roles.add(n[ROLE])
 
     def _slot(self, path: str) -> bool:
+        while path not in self.slots and path:
+            path = path.rpartition(">")[0]
         return self.slots.get(path, True)
 
     def of(self, blocks: list[tuple[str, str, str]]) -> list[str]:

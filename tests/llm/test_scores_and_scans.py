@@ -228,3 +228,13 @@ def test_furniture_inside_the_article_is_left_out(spark):
     page = lambda i: PAGE.format(body=f"<article><p>Written for you by our team<h1>Story {i}</h1><p>Text {i}</p><div><p>Read on at our shop</p></div></article>")
     assert extracted(spark, [page(i) for i in range(9)]) == {i: f"Story {i}\nText {i}" for i in range(9)}
     assert "our team" in extracted(spark, [page(0), page(0)])[0]  # copies of one page say nothing
+
+
+def test_wide_hosts_and_empty_pages_keep_their_furniture_known(spark):
+    body = lambda i: "<div class='top'><p>Welcome to our site</p></div><div class='body'>" + "".join(f"<div class='{'abcdefgh'[k % 8]}{'xyz'[i % 3]}{chr(97 + k // 8 % 26)}q{i}'><p>Text {i} {k}</p></div>" for k in range(40)) + "</div>"
+    pages = [PAGE.format(body=body(i)) for i in range(12)]
+    assert sum(len(blocks_of(p)) for p in pages) > wrapper.WIDE
+    want = {i: "\n".join(f"Text {i} {k}" for k in range(40)) for i in range(12)}
+    assert extracted(spark, pages) == want
+    few = [PAGE.format(body=f"<div><p>Welcome to our site</p></div><div><p>Text {i}</p></div>") for i in range(6)]
+    assert extracted(spark, [*few, "", None]) == {i: f"Text {i}" if i < 6 else "" for i in range(8)}
