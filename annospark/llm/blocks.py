@@ -5,9 +5,9 @@ from __future__ import annotations
 import html
 import re
 
-RAW = "script|style|noscript|template|iframe|svg|math|head|title|textarea|object|canvas"
+RAW = "script|style|noscript|template|iframe|svg|math|title|textarea|object|canvas"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<({RAW})\b[^>]*+>.*?(?:</\1\b[^>]*+>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?:svg|math)\b[^>]*/>|<({RAW})\b[^>]*+>.*?(?:</\1\b[^>]*+>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""",
     re.S | re.I,
 )
@@ -32,31 +32,50 @@ MAIN_WORDS = frozenset("article main content post entry story articlebody mainco
 BREAK = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
+# WORDS is the side by class, id or role only; DOUBT is an article element in it, or one that names both.
 SIDE, MAIN, PLAIN, WORDS, DOUBT = "-", "+", "", "~", "?"
 
 
 def role_of(tag: str, attributes: str) -> tuple[str, str]:
     """What an element is for, and its name in a path: the tag and the words of its class, id and role."""
     words: list[str] = []
+    whole = tag == "main"  # a class or id that says nothing but article
     hidden = False
     for m in NAMED.finditer(attributes) if attributes else ():
         value = (m[2] or "").strip("\"'")
         if m[1].lower() in ("hidden", "aria-hidden"):
             hidden |= value.lower() != "false"
         else:
-            words += [w for w in BREAK.split(CAMEL.sub(" ", value).lower()) if w and not w.isdigit()]
+            for name in value.split():
+                parts = [w for w in BREAK.split(CAMEL.sub(" ", name).lower()) if w and not w.isdigit()]
+                whole |= bool(parts) and MAIN_WORDS.issuperset(parts)
+                words += parts
     name = ".".join([tag, *words[:4]])
-    if hidden or tag in SIDE_TAGS or not SIDE_WORDS.isdisjoint(words):
+    if hidden or tag in SIDE_TAGS:
         return SIDE, name
+    if tag not in ("html", "body") and not SIDE_WORDS.isdisjoint(words):
+        return DOUBT if whole else WORDS, name
     if tag in MAIN_TAGS or tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(words):
         return MAIN, name
     return PLAIN, name
 
 
+def _inside(above: str, tag: str, own: str) -> str:
+    """The role of an element of role ``own`` by itself that stands in one of role ``above``."""
+    if SIDE in (above, own):
+        return SIDE
+    if above == WORDS:
+        return DOUBT if tag in MAIN_TAGS and own != WORDS else WORDS
+    if own == WORDS or above == PLAIN:
+        return own
+    return above
+
+
 def blocks_of(page: str | None) -> list[tuple[str, str, str]]:
     """``(path, role, text)`` of every block with text, in page order.
 
-    The role is ``-`` inside anything that is not the article, else ``+`` inside an article element, else empty.
+    The role is ``-`` inside anything that is not the article, ``~`` inside what only a class, id or role says so of,
+    ``+`` inside an article element, ``?`` inside an article element within the former, else empty.
     Character references are decoded, white space becomes one space. Paragraphs, list items and table cells
     close where the next one opens, and an end tag closes what is open inside it, so pages with missing end tags are read too.
     """
@@ -99,7 +118,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str, str]]:
         shut(LEAVES.get(tag, {"p"} if tag in CLOSES_P else ()))
         role, name = role_of(tag, m[4] or m[7] or "")
         _, above, path = stack[-1]
-        role = SIDE if above == SIDE or role == SIDE else MAIN if above == MAIN or role == MAIN else PLAIN
+        role = _inside(above, tag, role)
         stack.append((tag, role, f"{path}>{name}" if path else name))
     held.append(page[at:])
     flush()

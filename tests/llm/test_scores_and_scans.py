@@ -238,3 +238,14 @@ def test_wide_hosts_and_empty_pages_keep_their_furniture_known(spark):
     assert extracted(spark, pages) == want
     few = [PAGE.format(body=f"<div><p>Welcome to our site</p></div><div><p>Text {i}</p></div>") for i in range(6)]
     assert extracted(spark, [*few, "", None]) == {i: f"Text {i}" if i < 6 else "" for i in range(8)}
+
+
+def test_side_words_do_not_swallow_the_article(spark):
+    for i, (start, end) in enumerate([
+        ("<body class='single-post right-sidebar'><article>", "</article></body>"), ("<div class='content with-sidebar'><article>", "</article></div>"),
+        ("<div id='page' class='social-enabled'><main>", "</main></div>"), ("<div id='page' class='social-enabled'>", "</div>"),
+        ("<head><title>t</title><meta charset=utf-8><body>", ""), ("<div><svg viewBox='0 0 1 1'/>", "</div>"), ("<article><svg><path d=''/></svg>", "</article>"),
+    ]):
+        assert extracted(spark, [f"<html>{start}<p>Text</p>{end}"]) == {0: "Text"}, i
+    comments = "<div class='comments'><article><p>First!</p></article></div>"
+    assert extracted(spark, [f"<article><p>Text</p></article>{comments}", f"<p>A longer text without the element</p>{comments}"]) == {0: "Text", 1: "A longer text without the element"}
