@@ -17,7 +17,8 @@ def scan_secrets(files: DataFrame, stem: str = "stem", text: str = "text", least
     """``stem, spans`` for every label file, ``spans`` being an array of ``(kind, start, end, novelty)``.
 
     Kinds ``assign``, ``access`` and ``hex`` are fixed patterns and always reported. Kind ``novel`` adds strings of 16
-    or more letters and digits that follow a sensitive word on their line: the compressor is primed with common
+    or more letters and digits, or of letters in changing case, whose place is sensitive by the lines around it
+    (``secret_spans.Places``), and all of that length in the body of a private key: the compressor is primed with common
     identifiers and given the text around the string, and the string is reported when it still costs at least
     ``least_novelty`` compressed bytes for each of its own. ``novelty`` gives that figure for all spans. Positions
     are code points, the end is exclusive; spans are ordered by start, then kind in the order named here.

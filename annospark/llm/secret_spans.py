@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import zstandard
 
@@ -18,7 +19,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
 SENSITIVE = re.compile(
     r"secret|passw|token|api.?key|access.?key|private.?key|auth|bearer|credential|signature|session.?id|client.?id|webhook", re.I
 )
-BEFORE = 64  # code points before a candidate that decide whether its place is sensitive
+CASES = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")
+KEY_BODY = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z0-9 ]*-----(.*?)(?:-----END|\Z)", re.S)
 AROUND = 512  # code points on each side that prime the compressor
 
 # What identifiers and settings are made of; a candidate that consists of these compresses well.
@@ -37,6 +39,55 @@ IDENTIFIERS = (
 ).encode()
 
 
+def mixed_make(word: str) -> bool:
+    """Whether a string has letters and digits, or letters that change case too often for words put together."""
+    digits = any(c.isdigit() for c in word)
+    letters = any(c.isalpha() for c in word)
+    return letters and (digits or 3 * len(CASES.findall(word)) >= len(word))
+
+
+class Places:
+    """Which places of a text are sensitive.
+
+    A block is a run of lines that are not blank. A line is sensitive if a sensitive word stands in its block, in the
+    last line before the block, or in a line that encloses it by standing less indented above.
+    """
+
+    def __init__(self, text: str):
+        self.starts, self.blocks, self.outer = [], [], []
+        self.keys = [m.span(1) for m in KEY_BODY.finditer(text)]
+        self.words: list[bool] = []  # of blocks
+        above: list[tuple[int, bool]] = []  # enclosing lines: how far indented, whether sensitive or in a sensitive one
+        at, last, blank = 0, False, True
+        for line in text.split("\n"):
+            bare = line.lstrip()
+            outer = False
+            if bare:
+                here = SENSITIVE.search(line) is not None
+                if blank:
+                    self.words.append(last)
+                self.words[-1] |= here
+                far = len(line) - len(bare)
+                while above and above[-1][0] >= far:
+                    above.pop()
+                outer = bool(above) and above[-1][1]
+                above.append((far, here or outer))
+                last = here
+            blank = not bare
+            self.starts.append(at)
+            self.blocks.append(len(self.words) - 1)
+            self.outer.append(outer)
+            at += len(line) + 1
+
+    def sensitive(self, start: int) -> bool:
+        k = bisect_right(self.starts, start) - 1
+        return self.words[self.blocks[k]] or self.outer[k]
+
+    def in_key(self, start: int) -> bool:
+        k = bisect_right(self.keys, start, key=lambda span: span[0]) - 1
+        return k >= 0 and start < self.keys[k][1]
+
+
 class SecretFinder:
     """Spans ``(kind, start, end, novelty)`` of a text, in code points with the end exclusive."""
 
@@ -68,12 +119,13 @@ class SecretFinder:
         base = self.base(text)
         taken = sorted((s, e) for _, s, e in base)
         more = []
-        for m in CANDIDATE.finditer(text):
+        places = None
+        for m in CANDIDATE.finditer(text) if SENSITIVE.search(text) else ():
             start, end = m.span()
             if any(s < end and start < e for s, e in taken):
                 continue
-            line = text.rfind("\n", max(0, start - BEFORE), start) + 1 or max(0, start - BEFORE)
-            if SENSITIVE.search(text, line, start) and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
+            places = places or Places(text)
+            if places.in_key(start) or mixed_make(m[0]) and places.sensitive(start):
                 more.append(("novel", start, end))
         measured = [(*s, self.novelty(text, s[1], s[2])) for s in base + more]
         kept = [s for s in measured if s[0] != "novel" or s[3] >= self.least]

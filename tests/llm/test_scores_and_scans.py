@@ -249,3 +249,16 @@ def test_side_words_do_not_swallow_the_article(spark):
         assert extracted(spark, [f"<html>{start}<p>Text</p>{end}"]) == {0: "Text"}, i
     comments = "<div class='comments'><article><p>First!</p></article></div>"
     assert extracted(spark, [f"<article><p>Text</p></article>{comments}", f"<p>A longer text without the element</p>{comments}"]) == {0: "Text", 1: "A longer text without the element"}
+
+
+def test_secrets_are_found_by_the_lines_around_them():
+    key, other, cases = "qN3vXk8ZpL2mRt7WcY5sHdJ9fGbV4uEa", "Zt7KpQ2xWm9RbV4nLs8YcF3hJd6GuT1e", "qNvXkZpLmRtWcYsHdJfGbVuEaKo"
+    found = lambda text: [text[s:e] for kind, s, e, _ in SecretFinder().spans(text) if kind == "novel"]
+    assert found(f"password:\n  {key}\n") == [key]
+    assert found(f"the access token\n\n{key}\n") == [key]
+    assert found("credentials:\n  - name: one\n\n  - other: two\n\n    value: " + key) == [key]
+    assert found("Authorization " + "and some more words " * 10 + key) == [key]
+    assert found(f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4\n\n{key}\n{other}\n-----END RSA PRIVATE KEY-----\n") == [key, other]
+    assert [cases in f for f in found(f"https://host.example/a?x=1&signature={key} bearer {cases}")] == [False, True]
+    assert found(f"commit {key}\n\nSome text.\n\nNothing else.") == [] == found(f"a password is needed\n\nSome text.\n\nNothing {key}")
+    assert found("the password of a Geschwindigkeitsbegrenzungen and getElementByIdentifier") == []
