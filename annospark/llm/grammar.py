@@ -13,6 +13,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 
 # Closed word classes, in English, German, French and Spanish.
 NEGATIONS = "not never no nobody neither nor don't isn't aren't nicht kein keine keinen nie pas jamais aucun ni nunca jamás".split()
@@ -133,31 +134,27 @@ class Grammar:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def learned_lexicon(texts: list[str], toxic: list[int], least: int, odds: float) -> tuple[dict, dict]:
-    """Words and word beginnings that stand in toxic texts and hardly in others.
+LEAST, ODDS = 8, 30.0  # surroundings and toxic texts of a fragment, and how much oftener toxic texts have it
+
+
+def fragments_of(text: str, toxic: int):
+    """``(fragment, None)`` for every fragment of a text, and for toxic texts also with a hash of each pair of words around it."""
+    tokens = [BARE.sub("", t) for t in text.lower().split()]
+    met = {w: set(_fragments(w)) for w in set(tokens)}
+    yield from ((f, None) for f in set().union(*met.values()))
+    if toxic:
+        for a, w, b in zip(["", *tokens], tokens, [*tokens[1:], ""]):
+            around = xxhash.xxh3_64_intdigest(f"{a} {b}") - (1 << 63)
+            yield from ((f, around) for f in met[w])
+
+
+def lexicon(around: dict[str, int]) -> tuple[dict, dict]:
+    """Words and word beginnings that stand in toxic texts and hardly in others, from clear fragments and their surroundings.
 
     A fragment counts once for each pair of words around it, not once per text, so the vocabulary of one text
     with many copies is not taken for abuse. The shortest beginning that is clear enough stands for all words with it.
     """
-    around: dict[str, set] = {}
-    totals = [0, 0]
-    for text, y in zip(texts, toxic):
-        totals[y] += 1
-        if y:
-            tokens = [BARE.sub("", t) for t in text.lower().split()]
-            for a, w, b in zip(["", *tokens], tokens, [*tokens[1:], ""]):
-                for f in _fragments(w):
-                    around.setdefault(f, set()).add(hash((a, b)))
-    around = {f: len(s) for f, s in around.items() if len(s) >= least}
-    clean, dirty = Counter(), Counter()
-    for text, y in zip(texts, toxic):
-        found = {f for w in {BARE.sub("", t) for t in text.lower().split()} for f in _fragments(w) if f in around}
-        (dirty if y else clean).update(found)
-    clear = [
-        f
-        for f in sorted(around, key=len)
-        if dirty[f] >= least and ((dirty[f] + 0.5) / (totals[1] + 1)) / ((clean[f] + 0.5) / (totals[0] + 1)) >= odds
-    ]
+    clear = sorted(around, key=lambda f: (len(f), f))
     words, stems = {}, {}
     for f in clear:
         if any(f.startswith(s) for s in stems) or f.removesuffix("$") in words:
@@ -172,6 +169,20 @@ def learned_lexicon(texts: list[str], toxic: list[int], least: int, odds: float)
     return words, stems
 
 
+def learned_lexicon(texts: list[str], toxic: list[int], least: int, odds: float) -> tuple[dict, dict]:
+    """The ``lexicon`` of texts at hand."""
+    around: dict[str, set] = {}
+    found, totals = (Counter(), Counter()), Counter(toxic)
+    for text, y in zip(texts, toxic):
+        for f, place in fragments_of(text, y):
+            if place is None:
+                found[y][f] += 1
+            else:
+                around.setdefault(f, set()).add(place)
+    often = lambda f: ((found[1][f] + 0.5) / (totals[1] + 1)) / ((found[0][f] + 0.5) / (totals[0] + 1)) >= odds
+    return lexicon({f: len(s) for f, s in around.items() if len(s) >= least and found[1][f] >= least and often(f)})
+
+
 def _fragments(word: str):
     if len(word) >= 3:
         yield word + "$"
@@ -179,22 +190,30 @@ def _fragments(word: str):
             yield word[:n]
 
 
-def fitted(texts: list[str], toxic: list[int], least: int = 8, odds: float = 30.0) -> Grammar:
+def fitted(texts: list[str], toxic: list[int], least: int = LEAST, odds: float = ODDS) -> Grammar:
     """A grammar from labelled texts: lexicon by contrast, sign weights by logistic regression.
 
     Without texts of both kinds the grammar keeps its built-in lexicon and weights.
     """
     if len(set(toxic)) < 2:
         return Grammar()
-    words, stems = learned_lexicon(texts, toxic, least, odds)
-    model = Grammar({w: 1.0 for w in INSULTS} | words, stems)
-    x = np.array([model.features(t) + [1.0] for t in texts])
-    y = np.array(toxic, float)
+    model = with_lexicon(*learned_lexicon(texts, toxic, least, odds))
+    return weighted(model, [model.features(t) for t in texts], toxic, [1] * len(texts))
+
+
+def with_lexicon(words: dict, stems: dict) -> Grammar:
+    return Grammar({w: 1.0 for w in INSULTS} | words, stems)
+
+
+def weighted(model: Grammar, features: list[list[float]], toxic: list[int], times: list[int]) -> Grammar:
+    """``model`` with sign weights for the features of texts, each of which counts ``times``."""
+    x = np.array([[*f, 1.0] for f in features])
+    y, n = np.array(toxic, float), np.array(times, float)
     beta = np.array([*model.weights, model.bias])
     anchor, pull = beta * np.array([1.0] * len(SIGNS) + [0.0]), np.array([0.5] * len(SIGNS) + [0.01])
     for _ in range(50):  # Newton steps; the built-in weights are the prior
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (y - p) - pull * (beta - anchor))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (n * (y - p)) - pull * (beta - anchor))
         size = np.abs(step).max()
         beta += step / max(1.0, size / 4)
         if size < 1e-6:

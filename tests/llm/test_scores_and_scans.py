@@ -262,3 +262,13 @@ def test_secrets_are_found_by_the_lines_around_them():
     assert [cases in f for f in found(f"https://host.example/a?x=1&signature={key} bearer {cases}")] == [False, True]
     assert found(f"commit {key}\n\nSome text.\n\nNothing else.") == [] == found(f"a password is needed\n\nSome text.\n\nNothing {key}")
     assert found("the password of a Geschwindigkeitsbegrenzungen and getElementByIdentifier") == []
+
+
+def test_grammar_is_fitted_without_gathering_texts(spark, monkeypatch):
+    files, labels, truth = labelled(spark)
+    monkeypatch.setattr(type(files.groupBy("stem")), "applyInPandas", None)
+    model = toxicity.fit_grammar(files, labels)
+    rows = sorted({(r["text"], truth[r["stem"]]) for r in files.collect()})  # copies teach once
+    want = fitted([t for t, _ in rows], [y for _, y in rows])
+    assert (model.words, model.stems) == (want.words, want.stems)
+    assert [*model.weights, model.bias] == pytest.approx([*want.weights, want.bias])
