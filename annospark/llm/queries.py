@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annospark.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, page_text, secret_scan, sharding, token_counts, toxicity
+from annospark.llm import decontaminate, exact_dedup, language_model, line_dedup, mixing, near_dedup, page_text, secret_scan, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,18 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"stem": "doc_id", "component_stem": "component_id"})
 
 
+def lm_held_out(doc_id: str = "doc_id"):
+    """Whether the language model learns nothing from a document."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10 == 0
+
+
+def op11_label_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_model.fit_model(as_files(docs.where(~lm_held_out())))
+    scored = language_model.score_files(as_files(docs), model)
+    return scored.select(F.col("stem").alias("doc_id"), lm_held_out("stem").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,6 +130,7 @@ QUERIES = {
         op8_piece_counts,
         op9_novel_secrets,
         op10_near_copies,
+        op11_label_language,
     )
 }
 
