@@ -61,6 +61,13 @@ def read_label_table(spark: SparkSession, path: str, mode: str = "strict") -> Da
     return parse_lines(spark.read.parquet(path), mode)
 
 
+def read_label_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``(stem, text)``: every label file as one text, empty ones too."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+    full = reader.load(folder).select(stem(decoded(F.col("path"))).alias("stem"), F.col("content").cast("string").alias("text"))
+    return label_files(spark, folder).join(full, "stem", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def label_files(spark: SparkSession, folder: str) -> DataFrame:
     """``stem`` of every label file, also of empty ones.
 
