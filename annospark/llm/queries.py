@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annospark.llm import decontaminate, exact_dedup, language_model, line_dedup, mixing, near_dedup, page_text, secret_scan, sharding, token_counts, toxicity
+from annospark.llm import decontaminate, exact_dedup, language_model, line_dedup, mixing, near_dedup, page_text, secret_scan, session_tree, sharding, token_counts, toxicity
+from annospark.llm.tables import text_of
+from annospark.operators.order_stats import running
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +119,39 @@ def op11_label_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("stem").alias("doc_id"), lm_held_out("stem").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def rebuilt_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as events of sessions: each conversation behind the first turns of the one its number is rounded down to.
+
+    How many are taken over, and how many own turns they replace, is the CRC-32 of the number modulo 9.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", text_of("role").alias("role"), text_of("text").alias("text"))
+    turns = running(turns, ["turn", "role", "text"], {"at": F.lit(1).cast("long")}, ["conv_id"])
+    borrowed = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    own = turns.where(F.col("at") > borrowed).withColumn("part", F.lit(1))
+    base = turns.where("at <= 8").withColumnRenamed("conv_id", "base")  # no more than 8 are ever borrowed
+    convs = turns.select("conv_id").distinct().withColumns({"base": F.expr("conv_id - conv_id % 5"), "h": borrowed})
+    front = convs.join(base, "base").where("at <= h").drop("base", "h").withColumn("part", F.lit(0))
+    return front.unionByName(own.select(front.columns)).select(
+        F.col("conv_id").alias("session_id"), (F.col("part") * F.lit(1 << 40) + F.col("at")).alias("ts_ms"), F.col("role").alias("event_type"), F.col("text").alias("payload")
+    )
+
+
+def op12_shared_beginnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
+    tree = session_tree.session_tree(rebuilt_conversations(spark, sf_dir), sessions)
+    full = tree.nodes.join(session_tree.end_digests(tree.ends), ["session_id", "depth"], "left")
+    return full.select(
+        F.col("session_id").alias("conv_id"),
+        "depth",
+        F.col("parent_session_id").alias("parent_conv_id"),
+        F.col("n_sessions").alias("n_convs"),
+        "n_children",
+        "n_leaves",
+        F.col("saved_bytes").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -131,6 +166,7 @@ QUERIES = {
         op9_novel_secrets,
         op10_near_copies,
         op11_label_language,
+        op12_shared_beginnings,
     )
 }
 
@@ -147,6 +183,25 @@ m AS (SELECT k.*, c.key IS NOT NULL AS gone FROM k LEFT JOIN c USING (key))
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op12_shared_beginnings": """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295,
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda x, y:
+    list_reduce(list_prepend(xor(x, y), CAST(range(8) AS BIGINT[])), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)),
+    4294967295) % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+f AS (SELECT c.conv_id, 0 AS part, t.pos, {'r': t.role, 't': t.text} AS step FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL SELECT t.conv_id, 1, t.pos, {'r': t.role, 't': t.text} FROM t JOIN c ON t.conv_id = c.conv_id AND t.pos > c.h),
+s AS (SELECT c.conv_id, coalesce(list(step ORDER BY part, pos) FILTER (WHERE step IS NOT NULL), []) AS steps FROM c LEFT JOIN f ON c.conv_id = f.conv_id GROUP BY c.conv_id),
+p AS (SELECT conv_id, len(steps) AS n, d, steps[1:d] AS pre FROM (SELECT *, unnest(range(len(steps) + 1)) AS d FROM s)),
+g AS (SELECT pre, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(octet_length(encode(pre[d].t)), 0) AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256 FROM p GROUP BY pre, d),
+k AS (SELECT pre[1:d - 1] AS pre, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1),
+o AS (SELECT g.*, coalesce(n_children, 0) AS n_children FROM g LEFT JOIN k ON g.pre = k.pre),
+b AS (SELECT pre[1:up] AS pre, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens
+    FROM (SELECT *, unnest(range(d + 1)) AS up FROM o) GROUP BY 1)
+SELECT o.conv_id, o.d AS depth, above.conv_id AS parent_conv_id, o.n_convs, o.n_children, b.n_leaves, b.saved_tokens, o.ends_sha256
+FROM o JOIN b ON o.pre = b.pre LEFT JOIN g above ON o.d > 0 AND above.pre = o.pre[1:o.d - 1]""",
     "op7_exact_copies": rf"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '{BLANK}', '', 'g') AS body FROM documents),
 w AS (SELECT body, count(*) AS group_size, first(doc_id ORDER BY n_chars DESC, doc_id) AS keep_id FROM n GROUP BY body)
