@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annospark.llm import decontaminate, exact_dedup, language_model, line_dedup, mixing, near_dedup, page_text, secret_scan, session_tree, sharding, token_counts, toxicity
+from annospark.llm import decontaminate, exact_dedup, language_model, line_dedup, mixing, near_dedup, page_text, secret_scan, session_tree, sharding, token_counts, toxicity, whitening
 from annospark.llm.tables import text_of
 from annospark.operators.order_stats import running
 
@@ -152,6 +152,12 @@ def op12_shared_beginnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_white_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    crops = vectors.select(F.lit(None).cast("string").alias("image_id"), F.col("vec_id").alias("box_id"), F.col("embedding").alias("features"))
+    return whitening.whiten_features(crops, components=16).drop("image_id").withColumnRenamed("box_id", "vec_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -167,6 +173,7 @@ QUERIES = {
         op10_near_copies,
         op11_label_language,
         op12_shared_beginnings,
+        op13_white_features,
     )
 }
 
