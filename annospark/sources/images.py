@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from annospark.functions.geometry import Box, box, crop_window, crop_window_float
 from annospark.functions.names import IMAGE_ENDINGS, IMAGE_ENDINGS_WIDE, decoded, ends_with_any, file_name
-
-
-def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """``path`` of the files in a folder. File contents are never read."""
-    reader = spark.read.format("binaryFile")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(folder).select(decoded(F.col("path")).alias("path"))
+from annospark.sources.folders import list_files, opened_path, read_each
+from annospark.sources.image_headers import size_of
 
 
 def list_images(spark: SparkSession, folder: str, wide: bool = False) -> DataFrame:
@@ -43,7 +38,15 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return read_images(spark, folder).select("image_id", "width", "height", "readable")
+    """``(image_id, width, height, readable)`` of the images in a folder, from their headers.
+
+    A few hundred bytes of each file are read in tasks. A file that is no image keeps its row: ``readable`` is false, the
+    sizes are null. In stores that only Spark reads, images are decoded.
+    """
+    if opened_path(folder) is None:
+        return read_images(spark, folder).select("image_id", "width", "height", "readable")
+    found = read_each(list_images(spark, folder, wide=True), size_of, "size", pa.list_(pa.int32()))
+    return found.select("image_id", F.col("size")[0].alias("width"), F.col("size")[1].alias("height"), F.col("size").isNotNull().alias("readable"))
 
 
 CROP_SCHEMA = "image_id string, box_id string, width int, height int, pixels binary"

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from annospark.functions.names import decoded, stem
 from annospark.operators import hot_images
 from annospark.operators.order_stats import numbered
+from annospark.sources.folders import in_stem_folder, list_files, opened_path, read_each, read_ranges
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 MODES = ("strict", "drop_file", "drop_row")
@@ -41,15 +43,23 @@ def parse_lines(lines: DataFrame, mode: str = "strict", key: str = "stem", order
     return placed.select(key, F.col("box_ord").cast("int").alias("box_ord"), "cls", "cx", "cy", "w", "h")
 
 
+def _text_files(spark: SparkSession, folder: str) -> DataFrame:
+    return list_files(spark, folder, recursive=True).where(F.endswith("path", F.lit(".txt")))
+
+
+def _stem_of(path: Column) -> Column:
+    in_table = in_stem_folder(path)  # files written by ``write_labels``
+    return F.when(in_table != "", in_table).otherwise(stem(path))
+
+
 def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``(stem, line_no, line)`` of all label files below ``folder``; ``line_no`` only orders lines."""
+    if opened_path(folder) is not None:
+        rows = read_ranges(_text_files(spark, folder))
+        return rows.select(_stem_of(F.col("path")).alias("stem"), F.struct("path", "block", "row").alias("line_no"), "line")
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder)
-    path = decoded(F.col("_metadata.file_path"))
-    in_table = F.regexp_extract(path, r"/stem=([^/]+)/", 1)  # files written by ``write_labels``, escaped once more
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return raw.select(
-        F.when(in_table != "", decoded(in_table)).otherwise(stem(path)).alias("stem"), at.alias("line_no"), F.col("value").alias("line")
-    )
+    return raw.select(_stem_of(decoded(F.col("_metadata.file_path"))).alias("stem"), at.alias("line_no"), F.col("value").alias("line"))
 
 
 def read_labels(spark: SparkSession, folder: str, mode: str = "strict") -> DataFrame:
@@ -63,21 +73,17 @@ def read_label_table(spark: SparkSession, path: str, mode: str = "strict") -> Da
 
 def read_label_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``(stem, text)``: every label file as one text, empty ones too."""
+    files = _text_files(spark, folder)
+    if opened_path(folder) is not None:
+        read = lambda file: file.read().removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
+        return read_each(files, read, "text", pa.string()).select(_stem_of(F.col("path")).alias("stem"), "text")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-    full = reader.load(folder).select(stem(decoded(F.col("path"))).alias("stem"), F.col("content").cast("string").alias("text"))
-    return label_files(spark, folder).join(full, "stem", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return reader.load(folder).select(_stem_of(decoded(F.col("path"))).alias("stem"), F.col("content").cast("string").alias("text"))
 
 
 def label_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``stem`` of every label file, also of empty ones.
-
-    Scans skip files without content, so this takes the listing that the reader holds anyway.
-    """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
-    listed = spark.createDataFrame([(p,) for p in reader.text(folder).inputFiles()], "path string")
-    path = decoded(F.col("path"))
-    in_table = F.regexp_extract(path, r"/stem=([^/]+)/", 1)
-    return listed.select(F.when(in_table != "", decoded(in_table)).otherwise(stem(path)).alias("stem")).distinct()
+    """``stem`` of every label file, also of empty ones. Folders are listed in tasks."""
+    return _text_files(spark, folder).select(_stem_of(F.col("path")).alias("stem")).distinct()
 
 
 def for_images(images: DataFrame, labels: DataFrame) -> DataFrame:
