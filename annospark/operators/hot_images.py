@@ -6,18 +6,18 @@ One image may hold a large share of a table. Such an image is found by counting,
   levels, each with cells ``FACTOR`` times as wide as the one below; a box lies on the level of its own size, where it
   covers few cells, and is also entered on the coarser levels, where larger boxes look for it. So neither a large box
   among tiny ones nor the reverse covers many cells;
-* suppression with containment takes its boxes in blocks of at most ``BLOCK`` by rank. A block is small enough
-  for the array fold; everything between the blocks is joins.
+* suppression takes the boxes of a tile in blocks of at most ``BLOCK`` by rank (see ``overlap.Suppression``); what reaches from
+  tile to tile is joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from annospark.session import cut_lineage
 
 HOT_IMAGE = 2_000
-BLOCK = 1_000
+BLOCK = 2_000
 GRID = 256  # cells per axis on the finest level
 FACTOR = 4
 LEVELS = 5  # a cell of the last level is as large as the image
@@ -127,9 +127,3 @@ def centre_cells(boxes: DataFrame, hot: DataFrame) -> DataFrame:
     codes = [_code(i, F.lit(CENTRE), _at(x, "__left", "__wide", i), _at(y, "__top", "__high", i)) for i in levels]
     placed = boxes.join(hot, "image_id")
     return placed.withColumn("__cell", F.explode(F.array(*codes))).drop(*[c for c in hot.columns if c != "image_id"])
-
-
-def first_of_each(boxes: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` boxes per image by rank. The bound is a literal: each task keeps only ``n``."""
-    order = Window.partitionBy("image_id").orderBy("rank", "box_ord")
-    return boxes.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")

@@ -108,9 +108,41 @@ def match_boxes(
     return _match(pred, gold, hot_images.find(pred, hot_limit, gold), at_least, class_aware)
 
 
-def match_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5, hot_limit: int = MATCH_HOT) -> DataFrame:
-    """Matches per score cut ``tau``: the assignment is redone among predictions with score >= tau."""
+def right_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5, hot_limit: int = MATCH_HOT) -> DataFrame:
+    """``tau, correct``: matches of the right class per score cut, each cut matched anew among predictions with score >= tau.
+
+    The pairs of an image are gathered and sorted once and folded for every cut in the row, so no pair is repeated and only one
+    number per cut leaves an image. A cut that no prediction of an image reaches costs nothing there.
+    """
     hot = hot_images.find(pred, hot_limit, gold)
+    right = lambda m: m["pred_label"] == m["gold_label"]
+    if hot is not None:
+        matched = match_at_cuts(pred, gold, cuts, at_least, hot_limit, hot)
+        return matched.groupBy("tau").agg(F.sum((F.col("pred_label") == F.col("gold_label")).cast("long")).alias("correct"))
+    pairs = overlap_pairs(pred, gold, at_least, False, None, [F.col("a.score").alias("score")])
+    fields = F.struct(*ORDER, "score", "pred_label", "gold_label")
+    per_image = pairs.groupBy("image_id").agg(F.sort_array(F.collect_list(fields), asc=False).alias("ranked"))
+    empty = F.struct(F.array().cast("array<bigint>").alias("pi"), F.array().cast("array<bigint>").alias("gi"), F.lit(0).alias("n"))
+
+    def step(done: Column, p: Column) -> Column:
+        taken = F.array_contains(done["pi"], p["pi"]) | F.array_contains(done["gi"], p["gi"])
+        more = F.struct(
+            F.concat(done["pi"], F.array(p["pi"])).alias("pi"),
+            F.concat(done["gi"], F.array(p["gi"])).alias("gi"),
+            (done["n"] + right(p).cast("int")).alias("n"),
+        )
+        return F.when(taken, done).otherwise(more)
+
+    at = lambda tau: F.aggregate(F.filter("ranked", lambda p: p["score"] >= tau), empty, step, lambda done: done["n"])
+    steps = [F.lit(float(t)) for t in cuts]
+    counts = per_image.select(F.transform(F.array(*steps), at).alias("n"))
+    sums = counts.agg(F.array(*[F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(len(steps))]).alias("n"))
+    return sums.select(F.explode(F.arrays_zip(F.array(*steps).alias("tau"), F.col("n").alias("correct"))).alias("r")).select("r.tau", "r.correct")
+
+
+def match_at_cuts(pred: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5, hot_limit: int = MATCH_HOT, hot: DataFrame | None = None) -> DataFrame:
+    """Matches per score cut ``tau``: the assignment is redone among predictions with score >= tau."""
+    hot = hot_images.find(pred, hot_limit, gold) if hot is None else hot
     steps = F.array(*[F.lit(float(t)) for t in cuts])
     reached = F.explode(F.filter(steps, lambda t: t <= F.col("score")))
     if hot is None:  # overlaps once; a pair is then repeated for every cut its prediction reaches

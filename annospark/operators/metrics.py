@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from annospark.functions.names import stem
-from annospark.operators.matching import match_at_cuts, match_at_limits, match_boxes
+from annospark.operators.matching import match_at_limits, match_boxes, right_at_cuts
 from annospark.operators.order_stats import running
 
 
@@ -129,8 +129,7 @@ def defect_escape(defects: DataFrame, *group: str) -> DataFrame:
 def operating_curve(scored: DataFrame, gold: DataFrame, cuts, at_least: float = 0.5) -> DataFrame:
     """Precision and recall per score cut; recall is over all gold boxes."""
     cuts = [float(t) for t in cuts]
-    right = (F.col("pred_label") == F.col("gold_label")).cast("long")
-    correct = match_at_cuts(scored, gold, cuts, at_least).groupBy("tau").agg(F.sum(right).alias("correct"))
+    correct = right_at_cuts(scored, gold, cuts, at_least)
     reached = F.explode(F.filter(F.array(*[F.lit(t) for t in cuts]), lambda t: t <= F.col("score")))
     accepted = scored.select(reached.alias("tau")).groupBy("tau").agg(F.count("*").alias("n_accepted"))
     asked = scored.sparkSession.createDataFrame([(t,) for t in cuts], "tau double")

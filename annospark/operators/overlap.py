@@ -2,12 +2,12 @@
 
 Images are small in practice (a detector keeps at most a hundred boxes), so their boxes are folded in
 one sorted array without leaving the JVM. An image with more than ``HOT_IMAGE`` boxes never reaches
-an array: ``annospark.operators.hot_images`` works it off in blocks, with the same result.
+an array: ``Suppression`` works it off in tiles, with the same result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from annospark.functions.geometry import (
     CONTAINED_FROM,
@@ -22,6 +22,7 @@ from annospark.functions.geometry import (
 )
 from annospark.operators import hot_images
 from annospark.operators.hot_images import BLOCK, HOT_IMAGE
+from annospark.operators.tile_fold import KEPT, OPEN, fold
 from annospark.session import cut_lineage
 
 LEAST_OVER = 0.05  # the smallest overlap limit of any suppression
@@ -55,22 +56,6 @@ def suppress(ordered: Column, over: float, use_containment: bool) -> Column:
     return F.aggregate(ordered, F.array().cast(STATE), step)
 
 
-def suppress_with_history(ordered: Column, over: float, use_containment: bool) -> Column:
-    """Like ``suppress``, as a struct of the kept boxes and of all boxes that were ever accepted."""
-
-    def step(state: Column, c: Column) -> Column:
-        kept = state["kept"]
-        room = F.filter(kept, lambda k: ~evicts(c, k)) if use_containment else kept
-        free = ~F.exists(kept, lambda k: blocks(k, c, over, use_containment))
-        grown = F.struct(
-            F.concat(room, F.array(c)).alias("kept"), F.concat(state["accepted"], F.array(c)).alias("accepted")
-        )
-        return F.when(free, grown).otherwise(state)
-
-    empty = F.array().cast(STATE)
-    return F.aggregate(ordered, F.struct(empty.alias("kept"), empty.alias("accepted")), step)
-
-
 def _lean(boxes: DataFrame, rank: Column) -> DataFrame:
     return boxes.select(
         "image_id",
@@ -133,22 +118,22 @@ def greedy(
         contested = cut_lineage(contested)
         small = contested.join(hot, "image_id", "left_anti")
         large = contested.join(hot, "image_id", "left_semi")
-        fold = Suppression(over, use_containment)
-        losers = _losers(small, over, use_containment).unionByName(fold.losers_in_blocks(large, hot, block))
+        tiles = Suppression(over, use_containment)
+        losers = _losers(small, over, use_containment).unionByName(tiles.losers(large, hot, block))
     return boxes.join(losers, ["image_id", "box_ord"], "left_anti")
 
 
 class Suppression:
     """Greedy suppression of images that are too large for one array.
 
-    Without containment a kept box stays kept. Each round keeps every box that no better-ranked box still
-    waiting would block, all over the image at once, and drops what those block. A box waits only behind a
-    chain of ever better overlapping boxes, so the rounds grow with the length of such chains, not with the
-    boxes.
+    The image is dealt into tiles. Each round a task takes the first ``block`` boxes of a tile by rank and has them take
+    their turns (``tile_fold``). What hangs on an undecided box of another tile stays open, everything else is final, so a chain of boxes that
+    wait for each other is followed through a whole tile at once. Rounds therefore grow with the number of tiles such a
+    chain crosses; tiles are as many as the open boxes need, and shift by half a tile from round to round. The best open box of an
+    image is always decided.
 
-    With containment an eviction may free a blocked box again. The boxes are then taken in blocks of at most
-    ``block`` by rank, from those that no kept box blocks. A round is only final up to the first box that an
-    eviction freed; that box is free in the next round.
+    With containment a box accepted in its turn may be evicted later. It is kept with the position of the first box that evicts
+    it (``dead``): it blocks those in between. Whether it still blocks is open while an undecided box may evict it before.
     """
 
     def __init__(self, over: float, use_containment: bool):
@@ -157,113 +142,113 @@ class Suppression:
         # this part of the other's side outside of it
         self.widen = max(0.25, 0.5 / over - 1)
 
-    def losers_by_leaders(self, boxes: DataFrame, hot: DataFrame) -> DataFrame:
-        waiting, kept = boxes, None
-        better = F.struct("k.rank", "k.box_ord") < F.struct("w.rank", "w.box_ord")
-        while True:
-            leaders = cut_lineage(self._against(waiting, waiting, hot, "left_anti", better))
-            if leaders.limit(1).count() == 0:
-                break
-            kept = leaders if kept is None else kept.unionByName(leaders)
-            rest = waiting.join(leaders.select("image_id", "box_ord"), ["image_id", "box_ord"], "left_anti")
-            waiting = cut_lineage(self._unblocked(rest, leaders, hot))
-        lost = boxes if kept is None else boxes.join(kept, ["image_id", "box_ord"], "left_anti")
-        return lost.select("image_id", "box_ord")
-
-    def losers_in_blocks(self, boxes: DataFrame, hot: DataFrame, block: int) -> DataFrame:
-        if not self.use_containment:
-            return self.losers_by_leaders(boxes, hot)
-        kept = boxes.limit(0)
-        waiting = boxes
-        while True:
-            head = cut_lineage(hot_images.first_of_each(self._unblocked(waiting, kept, hot), block))
-            if head.limit(1).count() == 0:
-                break
-            until = self._round_end(head, waiting, kept, hot, block)
-            final = self._before(head, until)
-            chosen = cut_lineage(self._fold(final))
-            kept = cut_lineage(self._evict(kept, chosen, hot).unionByName(chosen.where("kept").drop("kept")))
-            waiting = cut_lineage(self._after(waiting, until))
-        return boxes.join(kept, ["image_id", "box_ord"], "left_anti").select("image_id", "box_ord")
+    def losers(self, boxes: DataFrame, hot: DataFrame, block: int) -> DataFrame:
+        boxes = boxes.withColumn("rank", F.coalesce("rank", F.lit(float("-inf"))))  # no score sorts first
+        never = F.lit(None).cast("struct<rank:double,box_ord:bigint>")
+        waiting = cut_lineage(self._dealt(boxes.withColumns({"unsure": F.lit(False), "dead": never}), boxes, hot, block, 0))
+        kept = waiting.limit(0).select(*boxes.columns, "dead")
+        turn = 0
+        while waiting.limit(1).count():
+            turn += 1
+            folded = cut_lineage(self._folded(waiting, hot, block))
+            chosen = folded.where(F.col("fate") == KEPT).select(*kept.columns)
+            rest = waiting.where(F.col("turn") > block).select(*kept.columns)
+            rest = rest.unionByName(folded.where(F.col("fate") == OPEN).select(*kept.columns)).drop("dead")
+            kept = kept.unionByName(chosen)
+            if self.use_containment:
+                kept = cut_lineage(self._with_deaths(kept, chosen, hot))
+                rest = self._judged(rest, kept, hot)
+            else:
+                rest = self._unblocked(rest, chosen, hot).withColumns({"unsure": F.lit(False), "dead": never})
+            waiting = cut_lineage(self._dealt(rest, waiting, hot, block, turn))
+        return boxes.join(kept.where("dead IS NULL"), ["image_id", "box_ord"], "left_anti").select("image_id", "box_ord")
 
     # -- one round ------------------------------------------------------------------------------
-    def _fold(self, head: DataFrame) -> DataFrame:
-        """Accepted boxes of the block; ``kept`` is false for those a later box of it evicted."""
-        state = F.struct(*[c for c in head.columns if c != "image_id"])
-        per_image = head.groupBy("image_id").agg(F.array_sort(F.collect_list(state)).alias("b"))
-        both = suppress_with_history(F.col("b"), self.over, self.use_containment)
-        rows = per_image.select("image_id", both.alias("r")).select(
-            "image_id", F.col("r.kept.box_ord").alias("k"), F.explode("r.accepted").alias("a")
+    def _dealt(self, waiting: DataFrame, counted: DataFrame, hot: DataFrame, block: int, turn: int) -> DataFrame:
+        """Boxes with the tile of their centre and their place in it by rank. Tiles hold about half a block on average."""
+        counts = counted.groupBy("image_id").agg(F.ceil(F.sqrt(F.count("*") * 2 / block)).alias("__tiles"))
+        placed = waiting.join(hot, "image_id").join(counts, "image_id")
+        shift = 0.5 * (turn % 2)
+        at = lambda low, high, origin, cell: F.floor(((F.col(low) + F.col(high)) / 2 - F.col(origin)) / (F.col(cell) * hot_images.GRID) * F.col("__tiles") + shift)
+        tile = at("x1", "x2", "__left", "__wide") * (1 << 30) + at("y1", "y2", "__top", "__high")
+        order = Window.partitionBy("image_id", "tile").orderBy("rank", "box_ord")
+        return placed.withColumn("tile", tile.cast("long")).withColumn("turn", F.row_number().over(order)).select(*waiting.columns, "tile", "turn")
+
+    def _folded(self, waiting: DataFrame, hot: DataFrame, block: int) -> DataFrame:
+        """The first boxes of every tile with their fate."""
+        first = waiting.where(F.col("turn") <= block)
+        elsewhere = F.col("w.tile") != F.col("k.tile")
+        blocked = self._hits(first, waiting, hot, self.widen, elsewhere & _before("k", "w") & self._blocks("k", "w"))
+        blocked = blocked.select("w.image_id", "w.box_ord", F.lit(True).alias("__blocked")).distinct()
+        first = first.join(blocked, ["image_id", "box_ord"], "left")
+        threat = F.lit(None).cast("struct<rank:double,box_ord:bigint>")
+        if self.use_containment:
+            behind = elsewhere | (F.col("k.turn") > block)
+            found = self._hits(first, waiting, hot, 0.25, behind & _before("w", "k") & evicts(_row("k"), _row("w")))
+            found = found.groupBy("w.image_id", "w.box_ord").agg(F.min(_at("k")).alias("__threat"))
+            first, threat = first.join(found, ["image_id", "box_ord"], "left"), F.col("__threat")
+        columns = ["image_id", "rank", "box_ord", "x1", "y1", "x2", "y2", "area"]
+        ready = first.select(
+            *columns,
+            "tile",
+            (F.col("unsure") | F.col("__blocked").isNotNull()).alias("unsure"),
+            *[struct[f].alias(f"{name}_{short}") for name, struct in (("dead", F.col("dead")), ("threat", threat)) for f, short in (("rank", "rank"), ("box_ord", "ord"))],
         )
-        return rows.select("image_id", "a.*", F.array_contains("k", F.col("a.box_ord")).alias("kept"))
-
-    def _unblocked(self, waiting, kept, hot):
-        return self._against(waiting, kept, hot, "left_anti")
-
-    def _against(self, waiting, kept, hot, how, extra=None):
-        """Waiting boxes with (semi) or without (anti) a kept box that blocks them.
-
-        A box is looked up by the cell of its centre: a blocking box, widened as the overlap limit asks,
-        always covers that cell.
+        over, use_containment = self.over, self.use_containment
+        kinds = {f.name: f.dataType.simpleString() for f in ready.schema}
+        schema = ", ".join(f"{c} {kinds[c]}" for c in [*columns, "dead_rank", "dead_ord"]) + ", fate int"
+
+        def run(table):
+            return fold(table, over, use_containment).select([*columns, "dead_rank", "dead_ord", "fate"])
+
+        dead = F.when(F.col("dead_ord").isNotNull(), F.struct(F.col("dead_rank").alias("rank"), F.col("dead_ord").alias("box_ord")))
+        return ready.groupBy("image_id", "tile").applyInArrow(run, schema).select(*columns, dead.alias("dead"), "fate")
+
+    def _with_deaths(self, kept: DataFrame, chosen: DataFrame, hot: DataFrame) -> DataFrame:
+        """Accepted boxes with the first position of a box that evicts them; ``chosen`` are the new ones."""
+        found = self._hits(kept, chosen, hot, 0.25, _before("w", "k") & evicts(_row("k"), _row("w")))
+        found = found.groupBy("w.image_id", "w.box_ord").agg(F.min(_at("k")).alias("__by"))
+        both = kept.join(found, ["image_id", "box_ord"], "left")
+        return both.withColumn("dead", F.least("dead", "__by")).select(*kept.columns)
+
+    def _judged(self, waiting: DataFrame, kept: DataFrame, hot: DataFrame) -> DataFrame:
+        """Open boxes without those an accepted box blocks, and what the accepted boxes mean for the others."""
+        threat = self._hits(kept, waiting, hot, 0.25, _before("w", "k") & evicts(_row("k"), _row("w")))
+        threat = threat.groupBy("w.image_id", "w.box_ord").agg(F.min(_at("k")).alias("threat"))
+        dated = kept.join(threat, ["image_id", "box_ord"], "left")
+        there = F.col("k.dead").isNull() | (_at("w") < F.col("k.dead"))
+        surely = F.col("k.threat").isNull() | (_at("w") <= F.col("k.threat"))  # a box does not hang on itself
+        blocked = self._hits(waiting, dated, hot, self.widen, _before("k", "w") & there & self._blocks("k", "w"))
+        blocked = blocked.groupBy("w.image_id", "w.box_ord").agg(F.bool_or(surely).alias("__surely"))
+        dead = self._hits(waiting, kept, hot, 0.25, _before("w", "k") & evicts(_row("k"), _row("w")))
+        dead = dead.groupBy("w.image_id", "w.box_ord").agg(F.min(_at("k")).alias("dead"))
+        both = waiting.join(blocked, ["image_id", "box_ord"], "left").where("__surely IS NULL OR NOT __surely").join(dead, ["image_id", "box_ord"], "left")
+        return both.select(*waiting.columns, F.col("__surely").isNotNull().alias("unsure"), "dead")
+
+    def _unblocked(self, waiting: DataFrame, kept: DataFrame, hot: DataFrame) -> DataFrame:
+        hits = self._hits(waiting, kept, hot, self.widen, self._blocks("k", "w"), "left_semi").select("w.image_id", "w.box_ord").distinct()
+        return waiting.join(hits, ["image_id", "box_ord"], "left_anti")
+
+    def _blocks(self, k: str, c: str) -> Column:
+        return blocks(_row(k), _row(c), self.over, self.use_containment)
+
+    def _hits(self, w: DataFrame, k: DataFrame, hot: DataFrame, widen: float, condition: Column, how: str = "inner") -> DataFrame:
+        """Pairs ``w, k`` of one image that meet ``condition``.
+
+        ``w`` is looked up by the cell of its centre, which ``k``, made wider by ``widen`` of its sides, must cover.
         """
-        w = hot_images.centre_cells(waiting, hot).alias("w")
-        k = hot_images.cells(kept, hot, widen=self.widen).alias("k")
+        w = hot_images.centre_cells(w, hot).alias("w")
+        k = hot_images.cells(k, hot, widen=widen).alias("k")
         same = (F.col("w.image_id") == F.col("k.image_id")) & (F.col("w.__cell") == F.col("k.__cell"))
-        hit = blocks(_row("k"), _row("w"), self.over, self.use_containment)
-        condition = same & touches(box("w"), box("k")) & hit
-        if extra is not None:
-            condition = condition & extra
-        hits = w.join(k, condition, "left_semi").select("w.image_id", "w.box_ord").distinct()
-        return waiting.join(hits, ["image_id", "box_ord"], how).select(*waiting.columns)
-
-    def _evicted_at(self, kept, accepted, hot):
-        """Kept boxes with the rank position of the first accepted box that evicts them."""
-        k = hot_images.centre_cells(kept, hot).alias("k")
-        c = hot_images.cells(accepted, hot, widen=0.25).alias("c")
-        same = (F.col("k.image_id") == F.col("c.image_id")) & (F.col("k.__cell") == F.col("c.__cell"))
-        found = k.join(c, same & touches(box("k"), box("c")) & evicts(_row("c"), _row("k")))
-        return found.groupBy(F.col("k.image_id").alias("image_id"), F.col("k.box_ord").alias("box_ord")).agg(
-            F.min(F.struct("c.rank", "c.box_ord")).alias("at")
-        )
+        return w.join(k, same & touches(box("w"), box("k")) & condition, how)
 
-    def _evict(self, kept, chosen, hot):
-        gone = self._evicted_at(kept, chosen.drop("kept"), hot)
-        return kept.join(gone, ["image_id", "box_ord"], "left_anti")
 
-    def _round_end(self, head, waiting, kept, hot, block):
-        """Per image: the position the round is final to, and whether the position itself is included."""
-        full = head.groupBy("image_id").agg(
-            F.when(F.count("*") >= block, F.max(F.struct("rank", "box_ord"))).alias("end")
-        )
-        until = full.select("image_id", "end", F.lit(True).alias("included"))
-        accepted = self._fold(head).drop("kept")
-        gone = cut_lineage(self._evicted_at(kept, accepted, hot))
-        if gone.limit(1).count() == 0:
-            return until
-        dated = kept.join(gone, ["image_id", "box_ord"], "left")
-        blocked = self._against(waiting, kept, hot, "left_semi")
-        alive = F.col("k.at").isNull() | (F.col("k.at") > F.struct("w.rank", "w.box_ord"))
-        freed = self._against(blocked, dated, hot, "left_anti", alive)
-        first = freed.groupBy("image_id").agg(F.min(F.struct("rank", "box_ord")).alias("freed"))
-        sooner = F.col("freed").isNotNull() & (F.col("end").isNull() | (F.col("freed") <= F.col("end")))
-        return cut_lineage(
-            until.join(first, "image_id", "left").select(
-                "image_id",
-                F.when(sooner, F.col("freed")).otherwise(F.col("end")).alias("end"),
-                (~sooner).alias("included"),
-            )
-        )
+def _at(alias: str) -> Column:
+    return F.struct(f"{alias}.rank", f"{alias}.box_ord")
 
-    def _before(self, head, until):
-        at = F.struct("rank", "box_ord")
-        inside = F.col("end").isNull() | (at < F.col("end")) | (F.col("included") & (at == F.col("end")))
-        return head.join(until, "image_id").where(inside).drop("end", "included")
 
-    def _after(self, waiting, until):
-        """Boxes of images in this round behind its end. Other images are already done."""
-        at = F.struct("rank", "box_ord")
-        outside = (at > F.col("end")) | (~F.col("included") & (at == F.col("end")))
-        return waiting.join(until, "image_id").where(F.col("end").isNotNull() & outside).drop("end", "included")
+def _before(a: str, b: str) -> Column:
+    return _at(a) < _at(b)
 
 
 class _row:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from annospark.functions.hashing import order_key
 from annospark.functions.scores import half_even
 from annospark.operators.order_stats import kth_largest, running
+from annospark.session import cut_lineage
 
 # above this many seed images per class the firsts are numbered across tasks
 SMALL_QUOTA = 1000
@@ -84,26 +85,23 @@ def holdout_split(boxes: DataFrame, share: float = 0.2, seed: int = 42, class_aw
 
 
 def _rescued(boxes: DataFrame, val: DataFrame) -> DataFrame:
-    """For each class that only held-out images have, in class order: its first image not yet moved."""
-    having = boxes.select("image_id", "cls").distinct()
+    """For each class that only held-out images have, in class order: its first image not yet moved.
+
+    Every class asks for its first image and an image goes to the smallest class that asks; the others ask for their next one, until
+    no image is asked for twice. That is what taking the classes in turn gives, in as many rounds as classes stand in each other's way.
+    """
+    having = boxes.select("image_id", "cls").where("cls IS NOT NULL").distinct()
     trained = having.join(val, "image_id", "left_anti").select("cls").distinct()
-    missing = having.join(val, "image_id", "left_semi").join(trained, "cls", "left_anti")
-    classes = missing.agg(F.countDistinct("cls")).first()[0]
-    if classes == 0:
-        return val.limit(0)
-    # other classes can take at most one image each, so this many firsts per class are enough
-    order = Window.partitionBy("cls").orderBy("image_id")
-    firsts = missing.withColumn("place", F.row_number().over(order)).where(F.col("place") <= int(classes))
-    per_class = firsts.groupBy("cls").agg(F.array_sort(F.collect_list("image_id")).alias("images"))
-    ordered = per_class.agg(F.array_sort(F.collect_list(F.struct("cls", "images"))).alias("all"))
-    kind = boxes.schema["image_id"].dataType.simpleString()
-
-    def step(moved, c):
-        open_images = F.filter(c["images"], lambda i: ~F.array_contains(moved, i))
-        return F.concat(moved, F.slice(open_images, 1, 1))
-
-    moved = F.aggregate("all", F.array().cast(f"array<{kind}>"), step)
-    return ordered.select(F.explode(moved).alias("image_id"))
+    missing = cut_lineage(having.join(val, "image_id", "left_semi").join(trained, "cls", "left_anti"))
+    first = lambda images: images.groupBy("cls").agg(F.min("image_id").alias("image_id"))
+    asking = cut_lineage(first(missing))
+    while True:
+        judged = asking.join(asking.groupBy("image_id").agg(F.min("cls").alias("winner")), "image_id")
+        lost = judged.where("cls <> winner").select("cls", F.col("image_id").alias("tried"))
+        if not lost.limit(1).count():
+            return asking.select("image_id")
+        others = first(missing.join(lost, "cls").where(F.col("image_id") > F.col("tried")))
+        asking = cut_lineage(judged.where("cls = winner").select("cls", "image_id").unionByName(others))
 
 
 def stratified_split(rows: DataFrame, key: str, label: str, share: float = 0.2, seed: int = 42) -> DataFrame:

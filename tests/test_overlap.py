@@ -188,3 +188,59 @@ def test_hot_images_are_found_by_count(make_boxes):
     df = make_boxes(crowd(2, 40, images=2))
     assert hot_images.find(df, 10**6) is None
     assert hot_images.find(df, 5).count() == 2
+
+
+@pytest.mark.parametrize("contain", [False, True])
+def test_sliding_boxes_take_few_rounds(make_boxes, monkeypatch, contain):
+    """Every box waits for the one before it; the chain is followed tile by tile, not box by box."""
+    rows = [(3 * i, i % 3, 3 * i + 10, 10 + i % 3, 0.9) for i in range(5000)]
+    written, cut = [], overlap.cut_lineage
+    monkeypatch.setattr(overlap, "cut_lineage", lambda df: written.append(1) or cut(df))
+    got = kept(overlap.greedy(make_boxes(rows), F.lit(0.0), 0.45, contain))
+    alive = []
+    for i, r in enumerate(rows):  # a box meets only its near neighbours
+        if not any(plain.iou(r[:4], rows[k][:4]) > 0.45 for k in alive[-4:]):
+            alive.append(i)
+    assert got == set(alive) and 1000 < len(got) < 4000
+    assert len(written) <= 20
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nested_boxes_across_tiles(make_boxes, seed):
+    """Small boxes in large ones of later rank: evictions reach from tile to tile and undo what blocked others."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(90):
+        x, y, s = rng.uniform(0, 60), rng.uniform(0, 60), rng.choice([4, 6, 9, 14, 22, 35])
+        rows.append((x, y, x + s, y + s * rng.uniform(0.8, 1.2), rng.random() / s))
+    ordered = sorted(((i, r[:4]) for i, r in enumerate(rows)), key=lambda x: (-rows[x[0]][4], x[0]))
+    expected, evictions = plain.suppressed(ordered, 0.3, True)
+    assert evictions > 5
+    for block in (3, 9):
+        got = overlap.greedy(make_boxes(rows), -F.col("p_good"), 0.3, True, hot_limit=5, block=block)
+        assert kept(got) == expected
+
+
+def test_tied_groups_are_matched_at_once(make_boxes, monkeypatch):
+    """A thousand copies tie with two groups: the k-th goes with the k-th, whatever group that is of."""
+    from annospark.operators import match_copies, order_stats
+
+    pred = [(0, 0, 10, 10)] * 1000
+    gold = [(0, 0, 10, 8), (0, 2, 10, 10), (0, 2, 10, 10)] * 200
+    written = []
+    for module in (match_copies, order_stats, hot_images):
+        cut = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, cut=cut: written.append(1) or cut(df))
+    got = matching.match_boxes(make_boxes(pred), make_boxes(gold), 0.5, hot_limit=10)
+    assert {(r["pi"], r["gi"]) for r in got.collect()} == {(999 - k, 599 - k) for k in range(600)}
+    assert len(written) <= 12
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_plateaus_with_and_without_gaps(make_boxes, seed):
+    """Copies of a few boxes on a grid, where many overlaps are equal."""
+    rng = random.Random(seed)
+    some = lambda n: [(x, y, x + 4, y + 4) for x, y in ((rng.choice([0, 1, 2, 3]), rng.choice([0, 1, 20])) for _ in range(n))]
+    pred, gold = some(40), some(40)
+    got = matching.match_boxes(make_boxes(pred), make_boxes(gold), 0.2, hot_limit=3)
+    assert {(r["pi"], r["gi"]) for r in got.collect()} == plain.matched(dict(enumerate(pred)), dict(enumerate(gold)), 0.2)
