@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from annospark.functions.geometry import Box, box, centre_to_corners
 from annospark.operators import negatives as ng
@@ -85,6 +86,7 @@ def self_training_cycle(
     include_ai: bool = True,
     output: str | None = None,
     measure: Callable[[object], dict] | None = None,
+    resume: bool = False,
 ):
     """Rounds of: train, score all images, label all targets.
 
@@ -94,27 +96,46 @@ def self_training_cycle(
     and not from the plans of the rounds before. ``output`` is the folder of these tables; without it they go
     to the scratch folder of the session. ``measure(model)`` may give the round's ``map50`` and ``val_acc``.
     Returns the labels of the last round and a summary.
+
+    A round counts as finished once its figures stand in ``<output>/finished``, which is written after its labels. With
+    ``resume`` a run that was stopped goes on after its last finished round and gives the labels of an unbroken run; it must ask for
+    the same rounds, method and shares. Without, all rounds are made anew.
     """
     if not 1 <= rounds <= MOST_ROUNDS:
         raise ValueError(f"between 1 and {MOST_ROUNDS} rounds, not {rounds}")
     spark = images.sparkSession
     folder = output or f"{shared_dir(spark)}/cycle-{uuid.uuid4().hex}"
-    labels, summary = None, []
+    asked = f"rounds={rounds} method={method} fold_share={fold_share} include_ai={include_ai}"
+    done = _finished(spark, folder, asked) if resume else 0
     n_targets = images.join(ownership, "image_id", "left_anti").count()
-    for number in range(1, rounds + 1):
+    for number in range(done + 1, rounds + 1):
+        labels = spark.read.parquet(f"{folder}/round={number - 1}") if number > 1 else None
         use_ai = labels is not None and include_ai
         boxes = human_boxes.unionByName(_pixels(labels, images)) if use_ai else human_boxes
         model = train(boxes)
         candidates, figures = score(model), measure(model) if measure else {}
         gate = None if number == rounds or not include_ai else fold_share
-        automate_all(images, candidates, ownership, human_boxes, method, fold_share=gate).write.mode("overwrite").parquet(
-            f"{folder}/round={number}"
-        )
-        labels = spark.read.parquet(f"{folder}/round={number}")
+        path = f"{folder}/round={number}"
+        automate_all(images, candidates, ownership, human_boxes, method, fold_share=gate).write.mode("overwrite").parquet(path)
         shown = (figures.get("map50"), figures.get("val_acc"))
-        summary.append((number, "all" if use_ai else "human", *shown, n_targets, labels.count()))
-    kinds = "round int, scope string, map50 double, val_acc double, auto_labeled long, total_boxes long"
-    return labels, spark.createDataFrame(summary, kinds)
+        row = (number, "all" if use_ai else "human", *shown, n_targets, spark.read.parquet(path).count(), asked)
+        spark.createDataFrame([row], f"{SUMMARY}, asked string").coalesce(1).write.mode("overwrite" if number == 1 else "append").parquet(f"{folder}/finished")
+    summary = spark.read.parquet(f"{folder}/finished").drop("asked")
+    return spark.read.parquet(f"{folder}/round={rounds}"), summary
+
+
+SUMMARY = "round int, scope string, map50 double, val_acc double, auto_labeled long, total_boxes long"
+
+
+def _finished(spark: SparkSession, folder: str, asked: str) -> int:
+    """The number of rounds that a run in ``folder`` has finished."""
+    try:
+        rows = spark.read.schema(f"{SUMMARY}, asked string").parquet(f"{folder}/finished").collect()  # MOST_ROUNDS at most
+    except AnalysisException:
+        return 0
+    if any(r["asked"] != asked for r in rows):
+        raise ValueError(f"{folder} holds rounds of another run: {rows[0]['asked']}")
+    return max((r["round"] for r in rows), default=0)
 
 
 def _pixels(labels: DataFrame, images: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from annospark.registry import base
 
 
 def _load() -> None:
-    from annospark.registry import boxes, draws, folders, formats, policies, quality  # noqa: F401
+    from annospark.registry import boxes, catalogs, draws, folders, formats, policies, quality  # noqa: F401
 
 
 def queries():

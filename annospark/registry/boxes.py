@@ -1,5 +1,7 @@
 """Queries over single boxes and box pairs."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from annospark import fixtures as fx
@@ -7,7 +9,7 @@ from annospark.functions import geometry as geo
 from annospark.functions.geometry import box, named
 from annospark.functions.names import label_path, normal_name, stem
 from annospark.functions.scores import band, crop_label
-from annospark.operators import overlap, status
+from annospark.operators import overlap, status, views
 from annospark.registry import sql as q
 from annospark.registry.base import register
 
@@ -166,12 +168,48 @@ def box_formats(t):
     ),
 )
 def tta_unmap(t):
-    views = F.array(*[F.lit(v) for v in geo.VIEW_FACTORS])
-    seen = t.candidates.withColumn("view", F.element_at(views, (F.col("box_ord") % 4 + 1).cast("int")))
+    names = F.array(*[F.lit(v) for v in geo.VIEW_FACTORS])
+    seen = t.candidates.withColumn("view", F.element_at(names, (F.col("box_ord") % 4 + 1).cast("int")))
     b = geo.to_original_frame(box(), F.col("view"), F.lit(fx.WIDTH), F.lit(fx.HEIGHT))
     return seen.select("image_id", "box_ord", "view", *named(b))
 
 
+UNITED = [
+    (
+        "seen",
+        """SELECT image_id, box_ord AS view_ord, no, view, p_good - no / 1000.0::DOUBLE AS p_good, y1, y2, x1 + no AS x1, x2 + no AS x2, label
+      FROM candidates, (VALUES (0, 'original'), (1, 'hflip'), (2, 'scale_0.8'), (3, 'scale_1.2')) v(no, view) WHERE (image_id + box_ord + no) % 4 <> 3""",
+    ),
+    (
+        "united",
+        """SELECT image_id, view, view_ord, label, p_good, row_number() OVER (PARTITION BY image_id ORDER BY no, view_ord) - 1 AS box_ord,
+      CASE no WHEN 1 THEN 640 - (640 - x1) WHEN 2 THEN x1 * 0.8::DOUBLE * (640/512.0::DOUBLE) WHEN 3 THEN x1 * 1.2::DOUBLE * (640/768.0::DOUBLE) ELSE x1 END AS x1,
+      CASE no WHEN 2 THEN y1 * 0.8::DOUBLE * (480/384.0::DOUBLE) WHEN 3 THEN y1 * 1.2::DOUBLE * (480/576.0::DOUBLE) ELSE y1 END AS y1,
+      CASE no WHEN 1 THEN 640 - (640 - x2) WHEN 2 THEN x2 * 0.8::DOUBLE * (640/512.0::DOUBLE) WHEN 3 THEN x2 * 1.2::DOUBLE * (640/768.0::DOUBLE) ELSE x2 END AS x2,
+      CASE no WHEN 2 THEN y2 * 0.8::DOUBLE * (480/384.0::DOUBLE) WHEN 3 THEN y2 * 1.2::DOUBLE * (480/576.0::DOUBLE) ELSE y2 END AS y2 FROM seen""",
+    ),
+]
+
+
+@register("tta_union", q.query("SELECT image_id, box_ord, view, view_ord, label, x1, y1, x2, y2 FROM kept", UNITED, q.fold("kept", "united", "p_good DESC, box_ord", 0.45)))
+def tta_union(t):
+    """Four views that each find most boxes, a little apart, in their own frames; one suppression over all of them."""
+    parts = []
+    for no, (view, factor) in enumerate(geo.VIEW_FACTORS.items()):
+        seen = t.candidates.where((F.col("image_id") + F.col("box_ord") + no) % 4 != 3)
+        b = box()
+        x1, x2 = b.x1 + no, b.x2 + no
+        if view == "hflip":
+            x1, x2 = fx.WIDTH - x2, fx.WIDTH - x1
+        scale = F.lit(factor or 1.0)
+        corners = geo.Box(x1 * scale, b.y1 * scale, x2 * scale, b.y2 * scale)
+        parts.append(
+            seen.select("image_id", "box_ord", "label", (F.col("p_good") - no / F.lit(1000.0)).alias("p_good"), F.lit(view).alias("view"), *named(corners))
+        )
+    passes = functools.reduce(lambda a, c: a.unionByName(c), parts).withColumns({"width": F.lit(fx.WIDTH), "height": F.lit(fx.HEIGHT)})
+    return views.unite_views(passes).select("image_id", "box_ord", "view", "view_ord", "label", *geo.Box._fields)
+
+
 @register(
     "score_bands",
     q.query(

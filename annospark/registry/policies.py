@@ -1,12 +1,16 @@
 """Queries over the seed and the acceptance policies."""
 
+import functools
+import uuid
+
 from pyspark.sql import functions as F
 
 from annospark.functions.scores import bin_of
 from annospark.operators import acceptance as ac, density, order_stats, status
-from annospark.plans import automate, study
+from annospark.plans import automate, study, training
 from annospark.registry import sql as q
 from annospark.registry.base import register
+from annospark.session import shared_dir
 
 KEY = ("image_id", "box_ord")
 
@@ -310,6 +314,26 @@ def automate_all(t):
     return _all(t)
 
 
+@register("self_training_resumed", q.query(SAVED, VIEW, GUIDED, CLEAN))
+def self_training_resumed(t):
+    """Three rounds, stopped by an error in the third and taken up again: the last round's labels are those of all candidates."""
+    folder = f"{shared_dir(t.spark)}/annospark-{t.spark.sparkContext.applicationId}/cycle-{uuid.uuid4().hex}"
+    calls = []
+
+    def train(boxes):
+        calls.append(boxes.limit(1).count())
+        if len(calls) == 3:
+            raise InterruptedError("stopped in the third round")
+        return None
+
+    run = functools.partial(training.self_training_cycle, t.images, t.ownership, t.human, train, lambda model: t.candidates, rounds=3, output=folder)
+    try:
+        run()
+    except InterruptedError:
+        pass
+    return run(resume=True)[0]
+
+
 for _name, _cut in (("conf25", 0.25), ("conf50", 0.5), ("conf75", 0.75), ("conf90", 0.9)):
     register(f"automate_all_{_name}", q.query(SAVED, VIEW, _fixed(f"det_conf >= {_cut}"), CLEAN))(
         lambda t, m=_name: _all(t, method=m)

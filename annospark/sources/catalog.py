@@ -38,6 +38,14 @@ def _entry(text: Column, name: str) -> Column:
     return F.when(clean != "", clean)
 
 
+MOST_CLASSES = 100_000
+
+
+def _bounded(n: Column) -> Column:
+    """A class id or count from a file; one that would make more than ``MOST_CLASSES`` rows is an error."""
+    return F.when(n <= MOST_CLASSES, n).otherwise(F.raise_error(F.concat(F.lit("not so many classes: "), n.cast("string"))).cast("int"))
+
+
 def class_names(yamls: DataFrame, use_count: bool = False, keep_ids: bool = False) -> DataFrame:
     """``(path, cls, name)`` from the ``names`` entry, as an inline list or as a block of ``id: name``.
 
@@ -58,6 +66,7 @@ def class_names(yamls: DataFrame, use_count: bool = False, keep_ids: bool = Fals
     order = Window.partitionBy("path").orderBy("id")
     numbered = rows_block.select("path", F.col("p.i").cast("int").alias("id"), clean(F.col("p.n")).alias("name"))
     if keep_ids:
+        numbered = numbered.withColumn("id", _bounded(F.col("id")))
         last = numbered.groupBy("path").agg(F.max("id").alias("last"))
         every = last.select("path", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("id"))
         named = every.join(numbered.dropDuplicates(["path", "id"]), ["path", "id"], "left")
@@ -69,7 +78,7 @@ def class_names(yamls: DataFrame, use_count: bool = False, keep_ids: bool = Fals
         return found
     count = _entry(F.col("text"), "nc").try_cast("int")
     unnamed = yamls.join(found.select("path").distinct(), "path", "left_anti").where(count > 0)
-    by_number = unnamed.select("path", F.explode(F.sequence(F.lit(0), count - 1)).alias("cls"))
+    by_number = unnamed.select("path", F.explode(F.sequence(F.lit(0), _bounded(count) - 1)).alias("cls"))
     return found.unionByName(by_number.withColumn("name", F.col("cls").cast("string")))
 
 

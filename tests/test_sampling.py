@@ -203,3 +203,39 @@ def test_cycle(spark):
     assert [(r["scope"], r["auto_labeled"]) for r in rows] == [("human", 5), ("all", 5)]
     assert trained_on == [3, 3 + rows[0]["total_boxes"]]
     assert rows[0]["total_boxes"] < rows[1]["total_boxes"] == saved.count() == 15
+
+
+def test_stopped_cycle_goes_on(spark, tmp_path):
+    """A run that stops in its third round gives, taken up again, what an unbroken one gives, and trains no finished round again."""
+    images = spark.createDataFrame([(f"i{k}", 640, 480) for k in range(5)], "image_id string, width int, height int")
+    owned = images.where("image_id = 'i0'").select("image_id")
+    seed = gold(spark, [GT, (10, 10, 90, 90), (400, 300, 500, 400)], 1).withColumn("label", F.lit(0)).drop("width", "height")
+    raw = gold(spark, [GT, (10, 10, 90, 90), (400, 300, 500, 400)], 5).drop("width", "height").select(
+        "*", F.lit(0).alias("label"), (0.9 - F.col("box_ord") / 10).alias("p_good"), F.lit(0.5).alias("det_conf")
+    )
+    trained = []
+
+    def run(folder, stop=None, **more):
+        def train(boxes):
+            trained.append(boxes.count())
+            if len(trained) == stop:
+                raise RuntimeError("stopped")
+            return trained[-1]
+
+        # what a model finds depends on what it was trained on
+        score = lambda model: raw.withColumn("p_good", F.col("p_good") - F.lit(model % 7) / 100)
+        saved, summary = training.self_training_cycle(images, owned, seed, train, score, rounds=3, output=str(tmp_path / folder), measure=lambda m: {"map50": float(m)}, **more)
+        return sorted(map(tuple, saved.collect())), sorted(map(tuple, summary.collect()))
+
+    whole = run("whole")
+    assert len(trained) == 3
+    trained.clear()
+    with pytest.raises(RuntimeError):
+        run("parts", stop=3)
+    trained.clear()
+    assert run("parts", resume=True) == whole and len(trained) == 1
+    trained.clear()
+    assert run("parts", resume=True) == whole and not trained
+    assert run("new", resume=True) == whole and len(trained) == 3
+    with pytest.raises(ValueError):
+        run("parts", resume=True, fold_share=0.1)
