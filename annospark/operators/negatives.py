@@ -7,6 +7,7 @@ overlaps ground truth too much is removed by an anti join, and only open slots g
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import asdict, dataclass, replace
 
@@ -30,7 +31,7 @@ BAND, BAND_FLOOR = 0.12, 0.05
 SHIFT_RANGE, COUNT_RANGE = (0.1, 2.0), (1, 30)
 
 # attempts per wave; nearly all slots are filled by the first
-WAVES = ((0, 4), (4, 20), (20, DEVIATED_ATTEMPTS))
+WAVES = ((0, 1), (1, 4), (4, 20), (20, DEVIATED_ATTEMPTS))  # most slots are filled by their first attempt
 EMPTY_WAVES = (4, 16, EMPTY_ATTEMPTS * 1_000_000)  # the last one is limited by the budget
 
 
@@ -195,19 +196,26 @@ def fabricate_deviated(
         .join(gt.select("image_id", "gt_no", *[F.col(c).alias("g_" + c) for c in Box._fields]), ["image_id", "gt_no"])
         .drop("n_gt")
     )
-    waiting, done = cut_lineage(slots), None
+    waiting, done = cut_lineage(slots), []
     limit = rule.negative_iou_reject if rule.refined else rule.deviation_max_iou
     at_limit = rule.refined if inclusive is None else not inclusive
     for wave in WAVES:
         tries = _deviated_attempts(spread_out(waiting, "image_id", "slot"), rule, seed, wave, recheck_area, rule.refined if polar is None else polar)
         good = _free_of(tries, gold, limit, at_limit, "try_no", hot)
         first = good.groupBy("image_id", "slot").agg(F.min_by(F.struct("gt_no", *Box._fields), "attempt").alias("b"))
-        first = cut_lineage(first.select("image_id", "slot", "b.*"))
-        done = first if done is None else done.unionByName(first)
-        waiting = cut_lineage(waiting.join(first, ["image_id", "slot"], "left_anti"))
+        tried = cut_lineage(waiting.join(first, ["image_id", "slot"], "left"))
+        done.append(tried.where("b IS NOT NULL").select("image_id", "slot", "b.*"))
+        waiting = tried.where("b IS NULL").drop("b")
         if waiting.limit(1).count() == 0:
             break
-    return done
+    return functools.reduce(DataFrame.unionByName, done)
+
+
+def deviated_counts(wanted: DataFrame, made: DataFrame) -> DataFrame:
+    """``image_id, wanted, made`` of displaced boxes: an image crowded with boxes may leave slots open after all attempts."""
+    n = made.groupBy("image_id").agg(F.count("*").alias("made"))
+    rows = wanted.select("image_id", F.col("n_deviated").alias("wanted")).join(n, "image_id", "left")
+    return rows.withColumn("made", F.coalesce("made", F.lit(0).cast("long")))
 
 
 def _deviated_attempts(slots: DataFrame, rule: Rule, seed: int, wave, recheck_area: bool, polar: bool) -> DataFrame:

@@ -300,6 +300,18 @@ def fabricate_deviated_refined(t):
     return _deviated(t, LIBRARY_REFINED)
 
 
+@register(
+    "deviated_counts",
+    q.query(
+        """SELECT image_id, n_deviated AS wanted, coalesce(n, 0) AS made FROM wanted LEFT JOIN (SELECT image_id, count(*) AS n FROM deviated GROUP BY image_id) USING (image_id)""",
+        _deviated_sql(LIBRARY_REFINED, _wanted()),
+    ),
+)
+def deviated_counts(t):
+    wanted = ng.negative_counts(ng.good_boxes(t.gold_sized), LIBRARY_REFINED)
+    return ng.deviated_counts(wanted, ng.fabricate_deviated(t.gold_sized, wanted, LIBRARY_REFINED, SEED))
+
+
 @register(
     "preview_deviated", q.query(DEVIATED_ROWS, _deviated_sql(ng.APP_RULE, _wanted(deviated="10::BIGINT"), recheck=False, inclusive=False))
 )

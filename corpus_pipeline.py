@@ -14,27 +14,42 @@ from annospark.llm.queries import held_out, repeating_weights, table
 from annospark.llm.tables import text_of
 from annospark.session import cut_lineage
 
-KEY = ("__id", "__text", "__turn")
 
+def _unused(docs: DataFrame) -> str:
+    """A name that no column of ``docs`` begins with."""
+    name = "__row"
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    return name
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ``KEY``: id, hash of the text, and number among rows equal in both."""
-    one = docs.withColumns({"__id": F.col("doc_id"), "__text": F.xxhash64(text_of("text"))})
-    return one.withColumn("__turn", F.row_number().over(Window.partitionBy("__id", "__text").orderBy("__id")))
+
+def _key():
+    return F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of("text")).alias("text"))
 
 
 def _files(docs: DataFrame, *columns) -> DataFrame:
     """Documents as label files whose stem is id and text hash."""
-    return docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of("text")).alias("text")).alias("stem"), "text", *columns)
+    return docs.select(_key().alias("stem"), "text", *columns)
+
 
+def _joined(docs: DataFrame, decisions: DataFrame, how: str, numbered: bool = True, by_turn: bool = False) -> tuple[DataFrame, str]:
+    """``docs`` joined with ``decisions(stem, ...)`` of their rows, and the name of the columns that were added.
 
-def _decided(docs: DataFrame, decisions: DataFrame, how: str, numbered: bool = False) -> DataFrame:
-    """``docs`` joined with ``decisions(stem, [turn,] ...)`` of their rows."""
-    right = decisions.select(F.col("stem.id").alias("r_id"), F.col("stem.text").alias("r_text"), *[c for c in decisions.columns if c != "stem"])
-    same = F.col("__id").eqNullSafe(F.col("r_id")) & (F.col("__text") == F.col("r_text"))
+    ``<name>`` holds ``id, text`` and, if ``numbered``, ``turn``, the number among rows equal in both; ``<name>said`` what was
+    decided, as one struct, so no column of ``docs`` can clash. With ``by_turn`` decisions carry a ``turn`` as well.
+    """
+    name = _unused(docs)
+    found = F.col(name)
+    alike = Window.partitionBy(found["id"], found["text"]).orderBy(found["id"])
+    keyed = docs.withColumn(name, _key())
     if numbered:
-        same = same & (F.col("__turn") == F.col("turn"))
-    return _keyed(docs).join(right, same, how).drop("r_id", "r_text", "turn")
+        keyed = keyed.withColumn(name, F.struct(found["id"].alias("id"), found["text"].alias("text"), F.row_number().over(alike).alias("turn")))
+    said = decisions.select(F.struct(*decisions.columns).alias(f"{name}said"))
+    other = F.col(f"{name}said")
+    same = found["id"].eqNullSafe(other["stem"]["id"]) & (found["text"] == other["stem"]["text"])
+    if by_turn:
+        same = same & (found["turn"] == other["turn"])
+    return keyed.join(said, same, how), name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,27 +62,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group that shares 80 percent of its five-word shingles."""
     found = near_dedup.near_copies(_files(docs), near_dedup.Likeness(words=5, percent=80))
-    kept = found.where("kept").groupBy("stem").agg(F.max("n_shingles").alias("__n"))
-    return _decided(docs, kept, "inner").where("__turn = 1 OR __n = 0").select(*docs.columns)
+    kept = found.where("kept").groupBy("stem").agg(F.max("n_shingles").alias("n"))
+    both, name = _joined(docs, kept, "inner")
+    return both.where((F.col(name)["turn"] == 1) | (F.col(f"{name}said")["n"] == 0)).drop(name, f"{name}said")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item, also without one under other numbers, names or units."""
     found = decontaminate.contaminated(_files(docs), table(spark, sf_dir, "benchmark"))
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__text": F.xxhash64(text_of("text"))})
-    leaks = found.select(F.col("stem.id").alias("r_id"), F.col("stem.text").alias("r_text")).distinct()
-    same = F.col("__id").eqNullSafe(F.col("r_id")) & (F.col("__text") == F.col("r_text"))
-    return keyed.join(leaks, same, "left_anti").select(*docs.columns)
+    both, name = _joined(docs, found.select("stem").distinct(), "left_anti", numbered=False)
+    return both.drop(name)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many words as there are, dealt to sources by the weights 5, 2, 1 in turn; no document more than three times."""
     files = _files(docs, F.col("source").alias("dataset"))
     mixed = mixing.mix_datasets(files, repeating_weights(files, (5, 2, 1)), passes=3)
-    times = mixed.where("taken > 0").groupBy("stem").agg(F.sum(F.expr("taken div size")).alias("__times"), F.count("*").alias("__rows"))
-    own = F.expr("__times div __rows") + (F.col("__turn") <= F.col("__times") % F.col("__rows")).cast("int")
-    taken = _decided(docs, times, "inner").withColumn("__own", own.cast("int")).where("__own > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__own"))).alias("__copy")).drop("__copy")
+    times = mixed.where("taken > 0").groupBy("stem").agg(F.sum(F.expr("taken div size")).alias("times"), F.count("*").alias("rows"))
+    both, name = _joined(docs, times, "inner")
+    turn, said = F.col(name)["turn"], F.col(f"{name}said")
+    own = F.floor(said["times"] / said["rows"]) + (turn <= said["times"] % said["rows"]).cast("int")
+    taken = both.withColumn(name, own.cast("int")).where(F.col(name) > 0).drop(f"{name}said")
+    return taken.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name)))).drop(name)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +91,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = sharding.histogram_shards(_files(docs), n_shards=16)
     turn = F.row_number().over(Window.partitionBy("stem").orderBy("shard", "slot"))
     placed = placed.select("stem", "shard", "slot", turn.alias("turn"))
-    old = docs.drop("shard", "slot")
-    return _decided(old, placed, "inner", numbered=True).select(*old.columns, "shard", "slot")
+    both, name = _joined(docs.drop("shard", "slot"), placed, "inner", by_turn=True)
+    said = F.col(f"{name}said")
+    return both.withColumns({"shard": said["shard"], "slot": said["slot"]}).drop(name, f"{name}said")
 
 
 STAGES = [
