@@ -94,6 +94,7 @@ def test_shards_of_awkward_files(spark):
 def tables(spark, tmp_path):
     """A scale folder with the tables the stages read."""
     docs = edge.files(spark, id_name="doc_id").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long"), "stem": F.lit("clash")})
+    docs = docs.withColumns({c: F.lit("clash") for c in "turn r_id r_text __id __text __turn __n __own __copy __row __ROW_said id times rows n".split()})
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "a question that no document has in it at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
