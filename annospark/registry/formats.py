@@ -462,6 +462,19 @@ def stream_box_outcome(t):
     return ev.combine_outcomes(daily)
 
 
+@register("stream_last_outcome", q.query("SELECT * FROM outcome WHERE last_ms + 1800000 <= (SELECT max(last_ms) - 600000 FROM outcome)", ("outcome", OUTCOME)))
+def stream_last_outcome(t):
+    """Boxes that nobody has touched for half an hour, each given out once by keyed state with timers."""
+    path, provider = _scratch(t, "last-outcome"), "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(provider)
+    ev.keyed_state(t.spark)
+    try:
+        ev.write_stream(ev.stream_last_outcome(_stream(t)), f"{path}/out", f"{path}/state")
+    finally:
+        t.spark.conf.set(provider, before)
+    return ev.combine_outcomes(t.spark.read.parquet(f"{path}/out"))
+
+
 @register("stream_action_mix", q.query(MIX))
 def stream_action_mix(t):
     path = _scratch(t, "mix")

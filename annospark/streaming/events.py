@@ -6,7 +6,8 @@ applied to a stream, ``watermarked`` bounds their state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from annospark.schemas import CORRUPT, EVENT_LINE, EVENT_TYPES
 
@@ -122,6 +123,61 @@ def combine_outcomes(daily: DataFrame) -> DataFrame:
     )
 
 
+IDLE_MS = 30 * 60_000
+
+
+class LastOutcome(StatefulProcessor):
+    """Holds the last action on a box until ``idle_ms`` have passed without one, then gives it out and forgets it."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "outcome string, last_ms long, actions long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last_ms, outcome, actions = -(1 << 63), "", 0
+        if self.last.exists():
+            outcome, last_ms, actions = self.last.get()
+        for row in rows:
+            last_ms, outcome = max((last_ms, outcome), (row["ts_ms"], row["event_type"]))
+            actions += 1
+        self.last.update((outcome, last_ms, actions))
+        self.handle.registerTimer(last_ms + self.idle_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.last.exists():
+            return
+        outcome, last_ms, actions = self.last.get()
+        if last_ms + self.idle_ms > expiredTimerInfo.getExpiryTimeInMs():
+            return  # touched again after this timer was set; a later one follows
+        self.last.clear()
+        yield Row(session_id=key[0], image_id=key[1], box_id=key[2], outcome=outcome, last_ms=last_ms, actions=actions)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_last_outcome(events: DataFrame, idle_ms: int = IDLE_MS, delay: str = "10 minutes") -> DataFrame:
+    """``box_outcome`` of a stream, each box given out once, when nobody has touched it for ``idle_ms``.
+
+    Time is that of the actions on boxes, ``delay`` behind the latest. State holds one row per box that is being worked on. A box that is touched again after that gives a further row;
+    ``combine_outcomes`` takes the last. Needs the state store that ``keyed_state`` names.
+    """
+    acted = events.where(F.col("event_type").isin(*BOX_ACTIONS) & F.col("box_id").isNotNull() & F.col("ts_ms").isNotNull())
+    kept = acted.select("session_id", "image_id", "box_id", "event_type", "ts_ms", "ts")
+    out = "session_id string, image_id string, box_id string, outcome string, last_ms long, actions long"
+    keyed = watermarked(kept, delay).groupBy("session_id", "image_id", "box_id")
+    return keyed.transformWithState(LastOutcome(idle_ms), out, "Append", "EventTime")
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Choose the state store that keyed state with timers needs, for streams started from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def _mix() -> list:
     return [F.count(F.when(F.col("event_type") == a, 1)).alias(a) for a in BOX_ACTIONS]
 
