@@ -20,7 +20,7 @@ LEAVES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "
 CLOSES_P = BLOCKS - {"option", "button", "select"}
 
 # Elements, and words of class, id and role names, that mark what is not the article.
-SIDE_TAGS = frozenset("nav header footer aside form button select dialog menu".split())
+SIDE_TAGS = frozenset("nav header footer aside button select dialog menu".split())
 SIDE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adbox banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb "
     "breadcrumbs header masthead footer cookie cookies notice consent newsletter subscribe subscription signup popup modal overlay "
@@ -32,7 +32,7 @@ MAIN_WORDS = frozenset("article main content post entry story articlebody mainco
 BREAK = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
-# WORDS is the side by class, id or role only; DOUBT is an article element in it, or one that names both.
+# WORDS is the side by class, id or role only, or a form; DOUBT is an article element in it, or one that names both.
 SIDE, MAIN, PLAIN, WORDS, DOUBT = "-", "+", "", "~", "?"
 
 
@@ -53,6 +53,8 @@ def role_of(tag: str, attributes: str) -> tuple[str, str]:
     name = ".".join([tag, *words[:4]])
     if hidden or tag in SIDE_TAGS:
         return SIDE, name
+    if tag == "form":  # some pages are one form, so an article in it wins back
+        return WORDS, name
     if tag not in ("html", "body") and not SIDE_WORDS.isdisjoint(words):
         return DOUBT if whole else WORDS, name
     if tag in MAIN_TAGS or tag in ("div", "section", "td") and not MAIN_WORDS.isdisjoint(words):

@@ -106,7 +106,8 @@ class Content:
     ``pages`` is how many different pages of the host have text, ``fixed`` on how many of them each frequent text
     stands at its place (``key_of``). A block maps to the node at its path, or at the beginning of it where the
     wrapper took nodes together. It is furniture if the node has no slot or if at least ``SHARE`` of the pages have
-    its text there, also inside article elements; fewer than ``LEAST`` or ``LEAST_INSIDE`` pages say nothing.
+    its text there; fewer than ``LEAST`` or ``LEAST_INSIDE`` pages say nothing. Inside article elements that holds only where such texts are the
+    smaller part of the blocks of the page's article: where they are the larger part, the pages are versions of one article and keep it.
 
     Of what is left, roles say which slots are content: those in article elements; else the longer text of those of
     doubtful role and those of none. What is the side by its class names is content where a host has nothing else.
@@ -128,11 +129,18 @@ class Content:
         return self.slots.get(path, True)
 
     def of(self, blocks: list[tuple[str, str, str]]) -> list[str]:
-        left: dict[str, list[str]] = {r: [] for r in ROLES}
+        inside, judged = [0, 0], []
         for path, role, text in blocks:
             least = LEAST_INSIDE if role in (MAIN, DOUBT) else LEAST
             n = self.pages if not self._slot(path) else self.fixed.get(key_of(path, text), 0)
-            if n < least or n < SHARE * self.pages:
+            repeats = n >= least and n >= SHARE * self.pages
+            judged.append((role, text, repeats))
+            if role in (MAIN, DOUBT):
+                inside[repeats] += 1
+        left: dict[str, list[str]] = {r: [] for r in ROLES}
+        for role, text, repeats in judged:
+            # an article most of which repeats is one of several versions, not furniture
+            if not repeats or role in (MAIN, DOUBT) and inside[True] > inside[False]:
                 left[role].append(text)
         if left[MAIN]:
             return left[MAIN]

@@ -87,6 +87,19 @@ def test_wrappers_find_the_article_without_its_element(spark, monkeypatch, shipp
     assert got == {i: "\n".join([f"Story {i}"] + [f"Text {i} {k}" for k in range(1 + i % 3)]) for i in range(12)}
 
 
+def test_versions_of_one_article_and_pages_in_a_form(spark):
+    """Pages that share most of an article keep all of it; furniture that repeats inside articles goes; a form around the page is no form."""
+    same = "".join(f"<p>Paragraph {k} of the article that all versions have</p>" for k in range(5))
+    rows = [(i, f"https://v.example/{i}", PAGE.format(body=f"<article>{same}<p>stamp {i}</p></article>")) for i in range(4)]
+    own = lambda i: "".join(f"<p>Own text {i} {k} with some words</p>" for k in range(5))
+    rows += [(10 + i, f"https://w.example/{i}", PAGE.format(body=f"<article>{own(i)}<div><p>Read more</p></div></article>")) for i in range(5)]
+    rows += [(20 + i, f"https://f.example/{i}", PAGE.format(body=f'<form id="page"><div><article>{own(i)}</article></div><input><p>Send</p></form>')) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in pt.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    shared = "\n".join(f"Paragraph {k} of the article that all versions have" for k in range(5))
+    mine = lambda i: "\n".join(f"Own text {i} {k} with some words" for k in range(5))
+    assert got == {**{i: f"{shared}\nstamp {i}" for i in range(4)}, **{10 + i: mine(i) for i in range(5)}, **{20 + i: mine(i) for i in range(3)}}
+
+
 def test_wrapper_alignment():
     page = lambda *items: wrapper.of_page([(p, "", t) for p, t in items])
     both = wrapper.aligned(page(("h", "A"), ("p", "x"), ("p", "y"), ("f", "end")), page(("h", "B"), ("i", "pic"), ("p", "z"), ("f", "end")))
