@@ -19,14 +19,35 @@ HOSTS = 2_000  # hosts whose wrappers one task holds before it hands them on
 SALTS = 16
 SHIPPED = 32 << 20  # bytes of wrappers up to which they are sent to every task
 WRAPPER = "host string, wrapper string, pages long"
+STRINGS = pa.list_(pa.string())
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``shapes`` and ``texts`` of the blocks of every page, and ``page``, which tells pages with text apart."""
+    for batch in batches:
+        pages, shapes, texts = [], [], []
+        for source in batch.column("html").to_pylist():
+            blocks = blocks_of(source)
+            pages.append(wr.key_of("", source) if blocks else None)
+            shapes.append([wr.shape_of(path, role) for path, role, _ in blocks])
+            texts.append([text for _, _, text in blocks])
+        kept = [batch.column(c) for c in ("page_id", "url", "host")]
+        yield pa.RecordBatch.from_arrays(
+            [*kept, pa.array(pages, pa.int64()), pa.array(shapes, STRINGS), pa.array(texts, STRINGS)], names=["page_id", "url", "host", "page", "shapes", "texts"]
+        )
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[list[tuple[str, str]]]:
+    for shapes, texts in zip(batch.column("shapes").to_pylist(), batch.column("texts").to_pylist()):
+        yield list(zip(shapes, texts))
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Wrappers of the pages that one task reads."""
     held: dict[str, tuple[list, int]] = {}
     for batch in batches:
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = wr.of_page(blocks_of(page))
+        for host, blocks in zip(batch.column("host").to_pylist(), _blocks(batch)):
+            own = wr.of_page(blocks)
             old, n = held.get(host, ([], 0))
             # a page without text says nothing of its host
             held[host] = (wr.aligned(old, own) if n else own, n + 1) if own else (old, n)
@@ -52,40 +73,71 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(out)], "pages": [int(pdf["pages"].sum())]})
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """``host, wrapper, pages`` from ``host, html``: one wrapper for all pages of a host.
+def infer_wrappers(parsed: DataFrame) -> DataFrame:
+    """``host, wrapper, pages`` from ``host, shapes, texts``: one wrapper for all pages of a host.
 
     Every task folds its pages into one wrapper for each host; these are aligned in two steps, first within
     ``SALTS`` groups of tasks. A host with a third of all pages is thus read by all tasks, and what is put
     together is one short wrapper for each task.
     """
-    part = pages.select("host", "html").mapInArrow(_partial, WRAPPER).withColumn("salt", F.spark_partition_id() % SALTS)
+    part = parsed.select("host", "shapes", "texts").mapInArrow(_partial, WRAPPER).withColumn("salt", F.spark_partition_id() % SALTS)
     halfway = part.groupBy("host", "salt").applyInPandas(_merged, WRAPPER)
-    return cut_lineage(halfway.groupBy("host").applyInPandas(_merged, WRAPPER))
+    return cut_lineage(halfway.groupBy("host").applyInPandas(_merged, WRAPPER).drop("pages"))
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host, page, key``: the texts of every page at their places, and a row without a key for every page with text."""
-    for batch in batches:
-        hosts, pages, keys = [], [], []
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = {wr.key_of(path, text) for path, _, text in blocks_of(page)}
-            if own:
-                keys += [None, *own]
-                hosts += [host] * (len(own) + 1)
-                pages += [wr.key_of("", page)] * (len(own) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(keys, pa.int64())], names=["host", "page", "key"])
-
-
-def fixed_texts(pages: DataFrame) -> DataFrame:
-    """``host, pages, fixed`` from ``host, html``: how many different pages of a host have text, and ``(key, n)`` of
-    the texts that at least ``wrapper.SHARE`` of them have at one place; those are at most as many as twice the texts of a page."""
-    met = pages.select("host", "html").mapInArrow(_places, "host string, page long, key long")
-    counts = cut_lineage(met.groupBy("host", "key").agg(F.count_distinct("page").alias("n")).where(f"key IS NULL OR n >= {wr.LEAST}"))
-    totals = counts.where("key IS NULL").select("host", F.col("n").alias("pages"))
-    often = counts.where("key IS NOT NULL").join(totals, "host").where(F.col("n") >= wr.SHARE * F.col("pages"))
-    lists = often.groupBy("host").agg(F.collect_list(F.struct("key", "n")).alias("fixed"))
-    return totals.join(lists, "host", "left")
+def _per_host(batch: pa.RecordBatch, given: dict | None, columns: list[str]) -> Iterator[tuple]:
+    """Host and figures of every row, from what was shipped or from the row itself."""
+    hosts = batch.column("host").to_pylist()
+    figures = zip(*(batch.column(c).to_pylist() for c in columns)) if given is None else (given[h] for h in hosts)
+    return zip(hosts, figures)
+
+
+def _fillings(shipped):
+    """``host, page, node, key, chars``: the different texts of every page at the nodes they fill, and a row without
+    a key for every node that the page fills."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, wr.Slots] = {}
+        given = shipped.value if shipped is not None else None
+        for batch in batches:
+            rows: dict[tuple, int] = {}
+            for (host, (raw,)), page, blocks in zip(_per_host(batch, given, ["wrapper"]), batch.column("page").to_pylist(), _blocks(batch)):
+                if host not in known:
+                    if len(known) > HOSTS:
+                        known.clear()
+                    known[host] = wr.Slots(json.loads(raw))
+                for shape, text in blocks:
+                    node = known[host].node(shape)
+                    if node is not None:
+                        at = wr.key_of(node, "")
+                        rows[host, page, at, None] = 0
+                        rows[host, page, at, wr.key_of(node, text)] = len(text)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(rows.values()), pa.int64())], names=["host", "page", "node", "key", "chars"])
+
+    return run
+
+
+def known_of_slots(parsed: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """``host, pages, fixed, fill``: what the pages of a host say of the slots of its wrapper (``wrapper.Content``).
+
+    ``pages`` counts different pages with text. ``fixed`` holds ``(key, n)`` of the texts that at least ``wrapper.SHARE``
+    of them have at one node; those are at most as many as twice the texts of a page. ``fill`` holds ``(key, chars)`` of
+    every node: the code points of texts that no other page has there, for each page that fills it.
+    """
+    spark = parsed.sparkSession
+    rows = parsed.select("page_id", "url", "host", "page", "shapes", "texts").where("page IS NOT NULL")
+    met = _with_wrappers(rows, wrappers, ["wrapper"], _fillings, "host string, page long, node long, key long, chars long")
+    counts = cut_lineage(met.groupBy("host", "node", "key").agg(F.count_distinct("page").alias("n"), F.max("chars").alias("chars")))
+    totals = cut_lineage(parsed.where("page IS NOT NULL").groupBy("host").agg(F.count_distinct("page").alias("pages")))
+    shared = counts.where("key IS NOT NULL").where(F.col("n") >= wr.LEAST)
+    often = hand_back(shared, totals, "host", F.pmod("key", F.lit(4 * partitions_of(spark)))).where(F.col("n") >= wr.SHARE * F.col("pages"))
+    fixed = often.groupBy("host").agg(F.collect_list(F.struct("key", "n")).alias("fixed"))
+    own = F.sum(F.when(F.col("n") < wr.LEAST, F.col("chars"))) / F.max(F.when(F.col("key").isNull(), F.col("n")))
+    nodes = counts.groupBy("host", "node").agg(F.coalesce(own, F.lit(0.0)).alias("chars"))
+    fill = nodes.groupBy("host").agg(F.collect_list(F.struct(F.col("node").alias("key"), "chars")).alias("fill"))
+    return totals.join(fixed, "host", "left").join(fill, "host", "left")
 
 
 def _texts(shipped):
@@ -93,15 +145,14 @@ def _texts(shipped):
         known: dict[str, wr.Content] = {}
         given = shipped.value if shipped is not None else None
         for batch in batches:
-            hosts = batch.column("host").to_pylist()
-            figures = zip(*(batch.column(c).to_pylist() for c in ("wrapper", "pages", "fixed"))) if given is None else [given[h] for h in hosts]
             texts = []
-            for host, (raw, n, fixed), page in zip(hosts, figures, batch.column("html").to_pylist()):
+            for (host, (raw, n, fixed, fill)), blocks in zip(_per_host(batch, given, FIGURES), _blocks(batch)):
                 if host not in known:
                     if len(known) > HOSTS:
                         known.clear()
-                    known[host] = wr.Content(json.loads(raw), n or 0, {f["key"]: f["n"] for f in fixed or ()})
-                texts.append("\n".join(known[host].of(blocks_of(page))))
+                    counted, chars = ({f["key"]: f[c] for f in listed or ()} for listed, c in ((fixed, "n"), (fill, "chars")))
+                    known[host] = wr.Content(json.loads(raw), n or 0, counted, chars)
+                texts.append("\n".join(known[host].of(blocks)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
             )
@@ -109,27 +160,39 @@ def _texts(shipped):
     return run
 
 
+FIGURES = ["wrapper", "pages", "fixed", "fill"]
+
+
+def _with_wrappers(rows: DataFrame, wrappers: DataFrame, columns: list[str], work, shape: str) -> DataFrame:
+    """``work`` over ``rows`` with the ``columns`` of each row's host: sent to every task up to ``SHIPPED`` bytes, joined beyond."""
+    spark = rows.sparkSession
+    entries = sum((F.coalesce(F.size(c), F.lit(0)) for c in columns if c in ("fixed", "fill")), F.lit(0))
+    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host") + 16 * entries), F.lit(0))).first()[0]
+    if size <= SHIPPED:
+        shipped = spark.sparkContext.broadcast({r["host"]: tuple(r[c] for c in columns) for r in wrappers.collect()})
+        return rows.mapInArrow(work(shipped), shape)
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(4 * partitions_of(spark)))
+    return hand_back(rows, wrappers, "host", salt).mapInArrow(work(None), shape)
+
+
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id, url, text``: the main text of every page.
 
     The library has no web pages among its own records, so this operator is general: ``pages`` needs an id, an
     address and the page source. Pages are grouped by the host of their address; a page without one is
-    grouped with the others that have none. The host's wrapper (``infer_wrappers``) tells which blocks hold the
-    article (``wrapper.Content``), with the texts that repeat on the host's pages (``fixed_texts``); menus, headers, footers, sidebars, notices, adverts, forms and comments are left out. Blocks are
+    grouped with the others that have none. Pages are parsed once; the host's wrapper is inferred from them (``infer_wrappers``), the
+    pages are mapped to its nodes to learn what fills them (``known_of_slots``), and the text is what a page has in
+    the slots that hold the article (``wrapper.Content``). Menus, headers, footers, sidebars, notices, adverts, forms and comments are left out. Blocks are
     joined by a line break in page order; nothing is capped.
 
     A null or empty page has an empty text. Repeated pages are extracted each; null ids and addresses stay null;
     an empty table gives an empty result; other columns are not read.
     """
-    spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_of(html).alias("html"), host.alias("host"))
-    wrappers = cut_lineage(infer_wrappers(rows).drop("pages").join(fixed_texts(rows), "host", "left"))
     kind, address = (rows.schema[c].dataType.simpleString() for c in ("page_id", "url"))
-    shape = f"page_id {kind}, url {address}, text string"
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host") + 16 * F.coalesce(F.size("fixed"), F.lit(0))), F.lit(0))).first()[0]
-    if size <= SHIPPED:
-        shipped = spark.sparkContext.broadcast({r["host"]: (r["wrapper"], r["pages"], r["fixed"]) for r in wrappers.collect()})
-        return rows.mapInArrow(_texts(shipped), shape)
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(4 * partitions_of(spark)))
-    return hand_back(rows, wrappers, "host", salt).mapInArrow(_texts(None), shape)
+    ids = f"page_id {kind}, url {address}"
+    parsed = cut_lineage(rows.mapInArrow(_parsed, f"{ids}, host string, page long, shapes array<string>, texts array<string>"))
+    wrappers = infer_wrappers(parsed)
+    known = cut_lineage(wrappers.join(known_of_slots(parsed, wrappers), "host", "left"))
+    return _with_wrappers(parsed, known, FIGURES, _texts, f"{ids}, text string")

@@ -101,7 +101,7 @@ def test_versions_of_one_article_and_pages_in_a_form(spark):
 
 
 def test_wrapper_alignment():
-    page = lambda *items: wrapper.of_page([(p, "", t) for p, t in items])
+    page = lambda *items: wrapper.of_page(list(items))
     both = wrapper.aligned(page(("h", "A"), ("p", "x"), ("p", "y"), ("f", "end")), page(("h", "B"), ("i", "pic"), ("p", "z"), ("f", "end")))
     assert [(n[wrapper.SHAPE], n[wrapper.TEXT], n[wrapper.OPTIONAL], n[wrapper.REPEATED]) for n in both] == [
         ("h", None, False, False), ("i", "pic", True, False), ("p", None, False, True), ("f", "end", False, False)]
@@ -111,6 +111,52 @@ def test_wrapper_alignment():
     assert len(wide) <= wrapper.WIDE
 
 
+@pytest.mark.parametrize("shipped", [32 << 20, -1])
+def test_pages_are_read_through_their_wrapper(spark, monkeypatch, shipped):
+    """The given pages against one plain pass per host; without its wrapper a host has no text."""
+    monkeypatch.setattr(pt, "SHIPPED", shipped)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts: dict[str, list] = {}
+    for r in pages.collect():
+        hosts.setdefault(re.sub(r"^\w+://([^/?#:]*).*", r"\1", r["url"] or "", flags=re.S), []).append((r["page_id"], blocks_of(r["html"]), r["html"]))
+    want = {}
+    for rows in hosts.values():
+        # of each text at its place, and of each place: the different pages that have it
+        there: dict[tuple, set] = {}
+        for _, blocks, html in rows:
+            for path, role, text in blocks:
+                there.setdefault((path, role, text), set()).add(html)
+        total = len({html for _, blocks, html in rows if blocks})
+        for page_id, blocks, _ in rows:
+            often = [len(there[b]) >= (4 if b[1] in "+?" and b[1] else 2) and 2 * len(there[b]) >= total for b in blocks]
+            inner = [o for b, o in zip(blocks, often) if b[1] in ("+", "?")]
+            versions = 2 * sum(inner) > len(inner)
+            want[page_id] = "\n".join(b[2] for b, o in zip(blocks, often) if b[1] == "+" and (versions or not o))
+    assert all(want.values())  # every given page has an article element
+    texts = lambda: {r["page_id"]: r["text"] for r in pt.main_texts(pages).collect()}
+    assert texts() == want
+    infer = pt.infer_wrappers
+    monkeypatch.setattr(pt, "infer_wrappers", lambda parsed: infer(parsed).withColumn("wrapper", pt.F.lit("[]")))
+    assert set(texts().values()) == {""}
+
+
+def test_short_pages_follow_their_host(spark):
+    """A page whose article is shorter than its date line: other pages of the host show which slot holds the article."""
+    page = lambda i, text: f"<html><body><div class='when'><p>Edition number {i} of a paper that comes out now and then</p></div><div id='page' class='social-enabled'><main><p>{text}</p></main></div></body></html>"
+    pages = [page(i, f"A long text number {i} " + "with words " * 20) for i in range(5)] + [page(9, "Short.")]
+    got = extracted(spark, pages)
+    assert got[5] == "Short." and all(got[i].startswith("A long text") for i in range(5))
+
+
+def test_wrappers_stay_narrow():
+    turns = wrapper.of_page([(wrapper.shape_of(f"d{i}>p", "+~-"[i * i % 3]), f"t{i}") for i in range(700)])
+    narrow = wrapper.aligned(turns, [])
+    assert len(narrow) <= wrapper.WIDE
+    slots = wrapper.Slots(narrow)
+    assert {wrapper.role_of(slots.node(wrapper.shape_of("d5>p", r))) for r in "+~"} == {"+", "~"}
+    assert wrapper.Slots([]).node("p") is None
+
+
 def test_broken_pages():
     assert blocks_of("<p>a<!-- open") == [("p", "", "a")] and blocks_of("<script>x") == [] and blocks_of(None) == []
     assert blocks_of('<p title="a>b">x &lt; y') == [("p", "", "x < y")]
