@@ -118,11 +118,13 @@ class SecretFinder:
     def spans(self, text: str) -> list[tuple[str, int, int, float]]:
         base = self.base(text)
         taken = sorted((s, e) for _, s, e in base)
-        more = []
+        more, at, reach = [], 0, 0  # base spans that start before the candidate's end, and how far they go
         places = None
         for m in CANDIDATE.finditer(text) if SENSITIVE.search(text) else ():
             start, end = m.span()
-            if any(s < end and start < e for s, e in taken):
+            while at < len(taken) and taken[at][0] < end:
+                reach, at = max(reach, taken[at][1]), at + 1
+            if reach > start:
                 continue
             places = places or Places(text)
             if places.in_key(start) or mixed_make(m[0]) and places.sensitive(start):

@@ -6,7 +6,7 @@ import re
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from annospark.llm import decontaminate as dc, page_text as pt, secret_scan, token_counts, toxicity, wrapper
+from annospark.llm import decontaminate as dc, page_text as pt, secret_scan, secret_spans, token_counts, toxicity, wrapper
 from annospark.llm.blocks import blocks_of
 from annospark.llm.grammar import Grammar, fitted, rewritten
 from annospark.llm.longest_match import START, PieceCounter
@@ -323,6 +323,48 @@ def test_secrets_are_found_by_the_lines_around_them():
     assert found("the password of a Geschwindigkeitsbegrenzungen and getElementByIdentifier") == []
 
 
+def test_planted_secrets_are_found_and_code_is_left_alone():
+    """Random strings of several kinds that no fixed pattern covers, in several surroundings; and the standard library as code without secrets."""
+    import base64, glob, random, string, sysconfig, uuid
+
+    r, finder = random.Random(7), SecretFinder()
+    letters = string.ascii_letters + string.digits
+    kinds = {
+        "letters and digits": lambda: "".join(r.choices(letters, k=32)), "short": lambda: "".join(r.choices(letters, k=16)),
+        "base64": lambda: base64.b64encode(r.randbytes(32)).decode(), "base32": lambda: base64.b32encode(r.randbytes(20)).decode(),
+        "uuid": lambda: str(uuid.UUID(bytes=r.randbytes(16))), "letters": lambda: "".join(r.choices(string.ascii_letters, k=32)),
+        "small letters and digits": lambda: "".join(r.choices(string.ascii_lowercase + string.digits, k=32)),
+    }
+    places = [
+        "Authorization: Bearer {}\n", "curl https://h.example/a?x=1&signature={} -o out\n", "credentials:\n  user: anna\n  value: {}\n",
+        "the webhook is\n{}\nplease keep it\n", '    client_id = "abc"\n    private_key = "{}"\n    return 1\n',
+    ]
+    for kind, make in kinds.items():
+        found = 0
+        for i in range(100):
+            value = make()
+            text = f"Some words before.\n\n{places[i % 5].format(value)}\nAnd after.\n"
+            at = text.index(value)
+            found += any(k == "novel" and s <= at + 1 and e >= at + len(value) - 2 for k, s, e, _ in finder.spans(text))
+        assert found >= 90, kind
+    code = [open(p, errors="ignore").read() for p in sorted(glob.glob(sysconfig.get_paths()["stdlib"] + "/*.py"))]
+    alarms = sum(k == "novel" for text in code for k, *_ in finder.spans(text))
+    assert alarms <= 10 * sum(map(len, code)) / 1e6  # of a million characters
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token=", "AKIA" + "A1" * 9, "0123456789abcdef", "qN3vXk8ZpL2mRt7WcY5s", "x", " ", "\n", '"']), max_size=25))
+def test_overlaps_by_sweep_equal_all_pairs(parts):
+    text, finder = "secret " + "".join(parts), SecretFinder(least_novelty=0.0)
+    base = finder.base(text)
+    places = secret_spans.Places(text)
+    want = {
+        m.span() for m in secret_spans.CANDIDATE.finditer(text)
+        if not any(s < m.end() and m.start() < e for _, s, e in base) and secret_spans.mixed_make(m[0]) and places.sensitive(m.start())
+    }
+    assert {(s, e) for k, s, e, _ in finder.spans(text) if k == "novel"} == want
+
+
 def test_grammar_is_fitted_without_gathering_texts(spark, monkeypatch):
     files, labels, truth = labelled(spark)
     monkeypatch.setattr(type(files.groupBy("stem")), "applyInPandas", None)
