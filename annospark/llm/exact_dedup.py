@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from annospark.llm.tables import BLANKS, partitions_of, text_of
@@ -19,7 +21,8 @@ def exact_copies(files: DataFrame, stem: str = "stem", text: str = "text", salts
     2. The files of the other digests are dealt by (digest, salt): one group of copies may hold a third of all
        files and still spreads over ``salts`` tasks. There, identical rows become one row with a count, and
        each content names its winner.
-    3. The winners of the salts are combined per (digest, content) and handed back to each salt.
+    3. The winners of the salts are combined in bundles of about the square root of ``salts``, then per
+       (digest, content), and handed back the same way, so of the hottest group no task holds more contents than that.
 
     From step 2 on every grouping and join compares the content itself, so files whose digests agree by
     accident stay apart.
@@ -50,8 +53,12 @@ def exact_copies(files: DataFrame, stem: str = "stem", text: str = "text", salts
     local = cut_lineage(shared.groupBy("stem", *same, "n_chars").agg(F.count("*").alias("copies")))
     best = F.struct((-F.col("n_chars")).alias("n"), F.isnull("stem").alias("none"), F.col("stem").alias("stem"))
     by_salt = local.groupBy(*same).agg(F.min(best).alias("best"), F.sum("copies").alias("copies"))
-    by_text = by_salt.groupBy("digest", "content").agg(F.min("best").alias("best"), F.sum("copies").alias("group_size"))
-    back = by_salt.select(*same).join(by_text, ["digest", "content"])
+    by_salt = cut_lineage(by_salt.withColumn("bundle", F.floor(F.col("salt") / math.isqrt(salts)).cast("int")))
+    in_bundle = ["digest", "bundle", "content"]
+    by_bundle = cut_lineage(by_salt.groupBy(*in_bundle).agg(F.min("best").alias("best"), F.sum("copies").alias("copies")))
+    by_text = by_bundle.groupBy("digest", "content").agg(F.min("best").alias("best"), F.sum("copies").alias("group_size"))
+    to_bundles = by_bundle.select(*in_bundle).join(by_text, ["digest", "content"])
+    back = by_salt.select(*same, "bundle").join(to_bundles, in_bundle).drop("bundle")
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
     spread = local.join(back, same).select("stem", "n_chars", "best", "group_size", "digest", each)
     wins = F.col("stem").eqNullSafe(F.col("best.stem")) & (F.col("n_chars") == -F.col("best.n")) & (F.col("copy") == 1)
