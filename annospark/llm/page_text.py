@@ -82,7 +82,7 @@ def infer_wrappers(parsed: DataFrame) -> DataFrame:
     """
     part = parsed.select("host", "shapes", "texts").mapInArrow(_partial, WRAPPER).withColumn("salt", F.spark_partition_id() % SALTS)
     halfway = part.groupBy("host", "salt").applyInPandas(_merged, WRAPPER)
-    return cut_lineage(halfway.groupBy("host").applyInPandas(_merged, WRAPPER).drop("pages"))
+    return halfway.groupBy("host").applyInPandas(_merged, WRAPPER).drop("pages")
 
 
 def _per_host(batch: pa.RecordBatch, given: dict | None, columns: list[str]) -> Iterator[tuple]:
@@ -93,7 +93,7 @@ def _per_host(batch: pa.RecordBatch, given: dict | None, columns: list[str]) ->
 
 
 def _fillings(shipped):
-    """``host, page, node, key, chars``: the different texts of every page at the nodes they fill, and a row without
+    """``host, pages, page, node, key, chars``: the different texts of every page at the nodes they fill, and a row without
     a key for every node that the page fills."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +101,7 @@ def _fillings(shipped):
         given = shipped.value if shipped is not None else None
         for batch in batches:
             rows: dict[tuple, int] = {}
-            for (host, (raw,)), page, blocks in zip(_per_host(batch, given, ["wrapper"]), batch.column("page").to_pylist(), _blocks(batch)):
+            for (host, (raw, pages)), page, blocks in zip(_per_host(batch, given, FIGURES[:2]), batch.column("page").to_pylist(), _blocks(batch)):
                 if host not in known:
                     if len(known) > HOSTS:
                         known.clear()
@@ -110,34 +110,33 @@ def _fillings(shipped):
                     node = known[host].node(shape)
                     if node is not None:
                         at = wr.key_of(node, "")
-                        rows[host, page, at, None] = 0
-                        rows[host, page, at, wr.key_of(node, text)] = len(text)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+                        rows[host, pages, page, at, None] = 0
+                        rows[host, pages, page, at, wr.key_of(node, text)] = len(text)
+            kinds = (pa.string(), *[pa.int64()] * 4)
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(rows.values()), pa.int64())], names=["host", "page", "node", "key", "chars"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(rows.values()), pa.int64())], names=["host", "pages", "page", "node", "key", "chars"])
 
     return run
 
 
 def known_of_slots(parsed: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """``host, pages, fixed, fill``: what the pages of a host say of the slots of its wrapper (``wrapper.Content``).
+    """``host, fixed, fill``: what the pages of a host say of the slots of its wrapper (``wrapper.Content``).
 
-    ``pages`` counts different pages with text. ``fixed`` holds ``(key, n)`` of the texts that at least ``wrapper.SHARE``
-    of them have at one node; those are at most as many as twice the texts of a page. ``fill`` holds ``(key, chars)`` of
-    every node: the code points of texts that no other page has there, for each page that fills it.
+    ``wrappers`` has ``pages``, the number of different pages with text. ``fixed`` holds ``(key, n)`` of the texts that at least
+    ``wrapper.SHARE`` of them have at one node; those are at most as many as twice the texts of a page. ``fill`` holds
+    ``(key, chars)`` of every node: the code points of texts that no other page has there, for each page that fills it.
     """
-    spark = parsed.sparkSession
-    rows = parsed.select("page_id", "url", "host", "page", "shapes", "texts").where("page IS NOT NULL")
-    met = _with_wrappers(rows, wrappers, ["wrapper"], _fillings, "host string, page long, node long, key long, chars long")
-    counts = cut_lineage(met.groupBy("host", "node", "key").agg(F.count_distinct("page").alias("n"), F.max("chars").alias("chars")))
-    totals = cut_lineage(parsed.where("page IS NOT NULL").groupBy("host").agg(F.count_distinct("page").alias("pages")))
-    shared = counts.where("key IS NOT NULL").where(F.col("n") >= wr.LEAST)
-    often = hand_back(shared, totals, "host", F.pmod("key", F.lit(4 * partitions_of(spark)))).where(F.col("n") >= wr.SHARE * F.col("pages"))
-    fixed = often.groupBy("host").agg(F.collect_list(F.struct("key", "n")).alias("fixed"))
-    own = F.sum(F.when(F.col("n") < wr.LEAST, F.col("chars"))) / F.max(F.when(F.col("key").isNull(), F.col("n")))
-    nodes = counts.groupBy("host", "node").agg(F.coalesce(own, F.lit(0.0)).alias("chars"))
-    fill = nodes.groupBy("host").agg(F.collect_list(F.struct(F.col("node").alias("key"), "chars")).alias("fill"))
-    return totals.join(fixed, "host", "left").join(fill, "host", "left")
+    rows = parsed.where("page IS NOT NULL")
+    met = _with_wrappers(rows, wrappers, FIGURES[:2], _fillings, "host string, pages long, page long, node long, key long, chars long")
+    counts = met.groupBy("host", "pages", "node", "key").agg(F.count_distinct("page").alias("n"), F.max("chars").alias("chars"))
+    n, text = F.col("n"), F.col("key").isNotNull()
+    often = text & (n >= wr.LEAST) & (n >= wr.SHARE * F.col("pages"))
+    own = F.sum(F.when(n < wr.LEAST, F.col("chars"))) / F.max(F.when(~text, n))
+    nodes = counts.groupBy("host", "node").agg(
+        F.coalesce(own, F.lit(0.0)).alias("chars"), F.collect_list(F.when(often, F.struct("key", "n"))).alias("fixed")
+    )
+    fill = F.collect_list(F.struct(F.col("node").alias("key"), "chars")).alias("fill")
+    return nodes.groupBy("host").agg(F.flatten(F.collect_list("fixed")).alias("fixed"), fill)
 
 
 def _texts(shipped):
@@ -193,6 +192,7 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     kind, address = (rows.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     ids = f"page_id {kind}, url {address}"
     parsed = cut_lineage(rows.mapInArrow(_parsed, f"{ids}, host string, page long, shapes array<string>, texts array<string>"))
-    wrappers = infer_wrappers(parsed)
+    totals = parsed.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    wrappers = cut_lineage(infer_wrappers(parsed).join(totals, "host"))
     known = cut_lineage(wrappers.join(known_of_slots(parsed, wrappers), "host", "left"))
     return _with_wrappers(parsed, known, FIGURES, _texts, f"{ids}, text string")
