@@ -43,15 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from the written copy.
 
     A lost executor then costs a re-read, not a recomputation, and the copy's known size lets the
-    planner choose joins.
+    planner choose joins. ``compression`` names a denser codec for tables of long texts.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/annospark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
