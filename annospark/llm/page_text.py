@@ -191,7 +191,7 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), text_of(html).alias("html"), host.alias("host"))
     kind, address = (rows.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     ids = f"page_id {kind}, url {address}"
-    parsed = cut_lineage(rows.mapInArrow(_parsed, f"{ids}, host string, page long, shapes array<string>, texts array<string>"))
+    parsed = cut_lineage(rows.mapInArrow(_parsed, f"{ids}, host string, page long, shapes array<string>, texts array<string>"), "zstd")
     totals = parsed.groupBy("host").agg(F.count_distinct("page").alias("pages"))
     wrappers = cut_lineage(infer_wrappers(parsed).join(totals, "host"))
     known = cut_lineage(wrappers.join(known_of_slots(parsed, wrappers), "host", "left"))
